@@ -126,27 +126,30 @@ def assign_detections(pairs: DataFrame) -> DataFrame:
 
 
 def detection_map(pred: DataFrame, gt: DataFrame, tious=TIOUS) -> DataFrame:
-    """(label, tiou_t, ap, n_gt): interpolated AP of greedily matched detections per label and threshold."""
+    """(label, tiou_t, ap, n_gt): interpolated AP of greedily matched detections per label and threshold.
+
+    Predictions are ranked once per label; only the matched ones go through the running sums, as
+    recall rises and the envelope changes nowhere else.
+    """
+    levels = F.array(*[F.lit(float(t)) for t in tious])
     pairs = match_segments(pred, gt).where(F.col("tiou") >= min(tious))
-    at = pairs.withColumn("tiou_t", F.explode(F.array(*[F.lit(float(t)) for t in tious]))).where("tiou >= tiou_t")
-    hits = assign_detections(at).select("tiou_t", "pred_id", F.lit(1).alias("tp"))
+    at = pairs.withColumn("tiou_t", F.explode(levels)).where("tiou >= tiou_t")
+    hits = assign_detections(at).select("tiou_t", "pred_id")
     n_gt = gt.groupBy("label").agg(F.count("*").alias("n_gt"))
-    ranked = (
-        pred.select("label", "pred_id", "score")
-        .withColumn("tiou_t", F.explode(F.array(*[F.lit(float(t)) for t in tious])))
-        .join(hits, ["tiou_t", "pred_id"], "left")
-        .withColumn("tp", F.coalesce("tp", F.lit(0)))
+    ranked = keyed_index(
+        pred.select("label", "pred_id", "score"), ["label"], [F.col("score").desc(), F.col("pred_id")], "rank"
     )
     keys = ["label", "tiou_t"]
-    run = _ranked_sums(ranked, keys, [F.col("score").desc(), F.col("pred_id")], F.col("tp"), F.lit(1))
-    curve = run.join(F.broadcast(n_gt), "label").select(  # one row per label class
-        *keys, F.col("cum_n").alias("rank"), (F.col("cum_tp") / F.col("cum_n")).alias("precision"),
-        (F.col("cum_tp") / F.col("n_gt")).alias("recall"), "n_gt", "tp",
+    run = ordered_scan(
+        ranked.join(hits, "pred_id"), keys, [F.col("rank")], {"cum_tp": ("sum", F.lit(1), True)}
+    ).select(*keys, "rank", (F.col("cum_tp") / (F.col("rank") + 1)).alias("precision"))
+    env = ordered_scan(run, keys, [F.col("rank").desc()], {"envelope": ("max", F.col("precision"), True)})
+    area = env.groupBy(*keys).agg(F.sum("envelope").alias("area"))
+    return (
+        n_gt.withColumn("tiou_t", F.explode(levels))
+        .join(area, keys, "left")
+        .select("label", "tiou_t", (F.coalesce("area", F.lit(0.0)) / F.col("n_gt")).alias("ap"), "n_gt")
     )
-    # only ranks with a hit change recall; the envelope needs only those ranks, too
-    ap = interpolated_ap(curve.where("tp = 1"), keys)
-    grid = n_gt.withColumn("tiou_t", F.explode(F.array(*[F.lit(float(t)) for t in tious])))
-    return grid.join(ap, keys, "left").select("label", "tiou_t", F.coalesce("ap", F.lit(0.0)).alias("ap"), "n_gt")
 
 
 def mean_ap(ap: DataFrame) -> DataFrame:

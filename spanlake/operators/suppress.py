@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from spanlake.plans.binned import overlap_join, with_bins
 from spanlake.plans.scan import ordered_scan
-from spanlake.session import cut
+from spanlake.session import cut, shuffle_width
 
 GROUP_ROWS = 20_000
+MATRIX_ROWS = 512
 HARD, LINEAR, GAUSS = "hard", "linear", "gauss"
 SEGMENT = ("t_start", "t_end")
 BOX = ("x0", "x1", "y0", "y1")
@@ -27,10 +28,9 @@ BOX = ("x0", "x1", "y0", "y1")
 
 def _overlap_arrays(p, i: int, rest) -> np.ndarray:
     """Overlap of row i with the rows in rest; p is a list of (low, high) arrays per dimension."""
-    inter = np.ones(len(rest))
-    area_i, area = 1.0, np.ones(len(rest))
+    inter, area_i, area = 1.0, 1.0, 1.0
     for lo, hi in p:
-        inter *= np.maximum(0.0, np.minimum(hi[i], hi[rest]) - np.maximum(lo[i], lo[rest]))
+        inter = inter * np.maximum(0.0, np.minimum(hi[i], hi[rest]) - np.maximum(lo[i], lo[rest]))
         area_i *= hi[i] - lo[i]
         area = area * (hi[rest] - lo[rest])
     pad = 1e-6 if len(p) == 1 else 0.0
@@ -71,24 +71,31 @@ def _fold(dims, ident, method, threshold, strict, sigma, min_score):
         return np.exp(-(ovr * ovr) / sigma)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident).reset_index(drop=True)
+        pdf = pdf.sort_values(ident)
         spans = [(pdf[dims[i]].to_numpy(float), pdf[dims[i + 1]].to_numpy(float)) for i in range(0, len(dims), 2)]
         score = pdf["score"].to_numpy(float).copy()
-        alive = np.arange(len(pdf))
-        kept = []
-        while len(alive):
-            at = int(np.argmax(score[alive]))  # rows are in id order, so ties go to the smaller id
-            i = alive[at]
+        n = len(score)
+        # rows of the decay matrix: all at once for small groups, one by one otherwise
+        table = None
+        if n <= MATRIX_ROWS:
+            table = decay(np.stack([_overlap_arrays(spans, i, slice(None)) for i in range(n)]))
+        live = np.where(np.isnan(score), -np.inf, score)
+        kept, final = [], []
+        for _ in range(n):
+            i = int(live.argmax())  # rows are in id order, so ties go to the smaller id
+            if live[i] == -np.inf:
+                break
             kept.append(i)
-            alive = np.delete(alive, at)
-            w = decay(_overlap_arrays(spans, i, alive))
+            final.append(live[i])
+            w = table[i] if table is not None else decay(_overlap_arrays(spans, i, slice(None)))
+            live[i] = -np.inf
             if method == HARD:
-                alive = alive[w > 0]
+                live[w == 0.0] = -np.inf
             else:
-                score[alive] *= w
-                alive = alive[score[alive] >= min_score]
+                live = np.where(live == -np.inf, live, live * w)
+                live[live < min_score] = -np.inf
         out = pdf.iloc[kept].copy()
-        out["score"] = score[kept]
+        out["score"] = final
         return out
 
     return run
@@ -176,8 +183,10 @@ def suppress(
     else:
         df = df.where(F.col("score") >= min_score)
     fold = _fold(dims, ident, method, threshold, strict, sigma, min_score)
+    # an explicit width keeps the fold parallel where a small shuffle would be merged into one task
+    width = shuffle_width(df.sparkSession)
     small, large = _by_size(df, keys, group_rows)
-    parts = [small.groupBy(*keys).applyInPandas(fold, df.schema)]
+    parts = [small.repartition(width, *keys).groupBy(*keys).applyInPandas(fold, df.schema)]
     if large is not None:
         runs = cut(islands(large, keys, dims[0], dims[1], ident, "_island"))
         small, large = _by_size(runs, [*keys, "_island"], group_rows)
