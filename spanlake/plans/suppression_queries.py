@@ -65,13 +65,13 @@ def _(t):
             (least(k.t_end, a.t_end) - greatest(k.t_start, a.t_start))
             / (greatest(k.t_end, a.t_end) - least(k.t_start, a.t_start)) AS tiou
         FROM kept k JOIN predictions a ON a.clip_id = k.clip_id AND a.t_start < k.t_end AND k.t_start < a.t_end)
-    SELECT pred_id, round(sum(w * t_start) / sum(w), 4) AS t_start, round(sum(w * t_end) / sum(w), 4) AS t_end
+    SELECT pred_id, round(sum(w * t_start) / sum(w), 2) AS t_start, round(sum(w * t_end) / sum(w), 2) AS t_end
     FROM near WHERE tiou >= 0.75 GROUP BY 1"""),
     ["segments", "predictions"],
 )
 def _(t):
     out = N.nms(t.predictions(), iou=0.3, multiclass=False, voting=0.75)
-    return out.select("pred_id", F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"))
+    return out.select("pred_id", F.round("t_start", 2).alias("t_start"), F.round("t_end", 2).alias("t_end"))
 
 
 @query("soft_nms")
@@ -90,8 +90,8 @@ def _(t):
     near AS (SELECT k.pred_id, a.t_start, a.t_end, a.score, (least(k.t_end, a.t_end) - greatest(k.t_start, a.t_start))
             / (greatest(k.t_end, a.t_end) - least(k.t_start, a.t_start)) AS tiou
         FROM kept k JOIN predictions a ON a.clip_id = k.clip_id AND a.t_start < k.t_end AND k.t_start < a.t_end)
-    SELECT pred_id, round(sum(score * tiou * t_start) / sum(score * tiou), 4) AS t_start,
-        round(sum(score * tiou * t_end) / sum(score * tiou), 4) AS t_end
+    SELECT pred_id, round(sum(score * tiou * t_start) / sum(score * tiou), 2) AS t_start,
+        round(sum(score * tiou * t_end) / sum(score * tiou), 2) AS t_end
     FROM near WHERE tiou >= 0.5 AND pred_id > 0 GROUP BY 1""",
     ["segments", "predictions"],
 )
@@ -99,7 +99,7 @@ def _(t):
     p = t.predictions()
     # prediction 0 has score 0 and no weight of its own
     out = N.segment_voting(p.where(F.pmod("pred_id", F.lit(3)) == 0), p, 0.5).where("pred_id > 0")
-    return out.select("pred_id", F.round("t_start", 4).alias("t_start"), F.round("t_end", 4).alias("t_end"))
+    return out.select("pred_id", F.round("t_start", 2).alias("t_start"), F.round("t_end", 2).alias("t_end"))
 
 
 @query(
