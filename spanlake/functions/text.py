@@ -207,12 +207,20 @@ def concat_sentences(*tokens: Column) -> Column:
     return F.concat(*tokens)
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """All n-grams of a token array as space-joined strings."""
-    last = F.size(tokens) - n + 1
-    return F.when(
-        last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    ).otherwise(F.array().cast("array<string>"))
+def ngrams(tokens: Column, n: int, sep: str = " ") -> Column:
+    """All n-grams of a token array as joined strings.
+
+    Each order extends the one below by a shifted copy of the tokens, so the work is linear in the
+    text; cutting out every n-gram by itself would copy the whole array each time.
+    """
+    grams = tokens
+    size = F.size(tokens)
+    for k in range(2, n + 1):
+        keep = F.greatest(size - k + 1, F.lit(0))
+        grams = F.zip_with(
+            F.slice(grams, 1, keep), F.slice(tokens, k, keep), lambda a, b: F.concat(a, F.lit(sep), b)
+        )
+    return grams
 
 
 def remap_label(label: Column, mode: str) -> Column:

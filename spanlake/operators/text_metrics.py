@@ -12,8 +12,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanlake.functions.text import _words, ngrams, normalize_answer, strip_punct_tokens
+from spanlake.session import shuffle_width
 
 
 # ---- answers -------------------------------------------------------------------------------
@@ -37,29 +39,45 @@ def token_f1(df: DataFrame, ident: str = "id", pred: str = "pred", ref: str = "r
 
 
 def ngram_rows(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
-    """(keys, order, gram) for orders 1..n, one row per occurrence."""
-    grams = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), ngrams(tokens, i).alias("g")) for i in range(1, n + 1)]))
-    return df.select(*keys, grams.alias("_s")).select(*keys, F.col("_s.order").alias("order"), F.explode("_s.g").alias("gram"))
+    """(keys, order, gram) for orders 1..n, one row per occurrence.
+
+    Texts are partitioned by key before their n-grams are laid out, so counting per key moves each
+    text once and no n-gram at all.
+    """
+    t = df.select(*keys, tokens.alias("_tok")).repartition(shuffle_width(df.sparkSession), *keys)
+    tok = F.col("_tok")
+    grams = F.explode(F.array(*[F.struct(F.lit(i).alias("order"), ngrams(tok, i).alias("g")) for i in range(1, n + 1)]))
+    return t.select(*keys, grams.alias("_s")).select(*keys, F.col("_s.order").alias("order"), F.explode("_s.g").alias("gram"))
 
 
 def ngram_matches(df: DataFrame, n: int = 4, ident: str = "id", pred: str = "pred", ref: str = "ref", chars: bool = False) -> DataFrame:
-    """(id, order, match, n_pred, n_ref): clipped n-gram matches per row and order, zeros included."""
+    """(id, order, match, n_pred, n_ref): clipped n-gram matches per row and order, zeros included.
+
+    Both sides are laid out in one pass over texts partitioned by id; an order without n-gram keeps
+    one null row, so no grid has to be joined.
+    """
 
     def toks(c: str) -> Column:
         if chars:
             return F.filter(F.split(F.regexp_replace(F.col(c), r"(?U)\s+", ""), ""), lambda x: x != "")
         return _words(F.col(c))
 
-    p = ngram_rows(df, [ident], toks(pred), n).select("*", F.lit(1).alias("p"), F.lit(0).alias("r"))
-    r = ngram_rows(df, [ident], toks(ref), n).select("*", F.lit(0).alias("p"), F.lit(1).alias("r"))
-    counts = p.unionByName(r).groupBy(ident, "order", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    sums = counts.groupBy(ident, "order").agg(
-        F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref")
+    t = df.select(ident, toks(pred).alias("_p"), toks(ref).alias("_r")).repartition(shuffle_width(df.sparkSession), ident)
+    sep = "" if chars else " "
+    lists = [
+        F.struct(F.lit(i).alias("order"), F.lit(side).alias("side"), ngrams(F.col(c), i, sep).alias("g"))
+        for i in range(1, n + 1)
+        for side, c in ((1, "_p"), (0, "_r"))
+    ]
+    rows = t.select(ident, F.explode(F.array(*lists)).alias("_s")).select(
+        ident, "_s.order", "_s.side", F.explode_outer("_s.g").alias("gram")
     )
-    grid = df.select(ident, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("order"))
-    zero = F.lit(0)
-    return grid.join(sums, [ident, "order"], "left").select(
-        ident, "order", *[F.coalesce(c, zero).alias(c) for c in ("match", "n_pred", "n_ref")]
+    real = F.col("gram").isNotNull()
+    counts = rows.groupBy(ident, "order", "gram").agg(
+        F.count(F.when(real & (F.col("side") == 1), 1)).alias("p"), F.count(F.when(real & (F.col("side") == 0), 1)).alias("r")
+    )
+    return counts.groupBy(ident, "order").agg(
+        F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref")
     )
 
 
@@ -204,7 +222,7 @@ def rouge_tokens(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays, by bit-parallel rows."""
 
@@ -260,7 +278,7 @@ def chrf(df: DataFrame, n: int = 6, beta: float = 2.0, ident: str = "id", pred:
     )
 
 
-@F.pandas_udf("struct<p:string,r:string>")
+@F.pandas_udf(StructType([StructField("p", StringType()), StructField("r", StringType())]))
 def words_as_chars(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Both token arrays with each distinct word written as one character, for a character edit distance."""
 
