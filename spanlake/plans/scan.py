@@ -37,10 +37,10 @@ def ordered_scan(
     staged = df.select("*", *[outputs[n][1].alias(f"_v_{n}") for n in names])
     ranged = cut(
         staged.repartitionByRange(width, *[F.col(k) for k in keys], *order).withColumn(
-            "_run", F.spark_partition_id()
+            "_scan_run", F.spark_partition_id()
         )
     )
-    by_run = Window.partitionBy("_run", *keys).orderBy(*order)
+    by_run = Window.partitionBy("_scan_run", *keys).orderBy(*order)
     until_here = by_run.rowsBetween(Window.unboundedPreceding, 0)
     before = by_run.rowsBetween(Window.unboundedPreceding, -1)
     folds = {
@@ -51,7 +51,7 @@ def ordered_scan(
     }
     local = ranged.select(
         "*",
-        F.row_number().over(by_run).alias("_pos"),
+        F.row_number().over(by_run).alias("_scan_pos"),
         *[
             folds[outputs[n][0]](F.col(f"_v_{n}")).over(until_here if outputs[n][2] else before).alias(f"_l_{n}")
             for n in names
@@ -61,13 +61,13 @@ def ordered_scan(
 
     def total(n: str) -> Column:
         if outputs[n][0] == "last":
-            return F.max_by(f"_z_{n}", "_pos").alias(f"_t_{n}")
+            return F.max_by(f"_z_{n}", "_scan_pos").alias(f"_t_{n}")
         return folds[outputs[n][0]](F.col(f"_v_{n}")).alias(f"_t_{n}")
 
-    totals = local.groupBy("_run", *keys).agg(*[total(n) for n in names])
-    earlier = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("_scan_run", *keys).agg(*[total(n) for n in names])
+    earlier = Window.partitionBy(*keys).orderBy("_scan_run").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        "_run", *keys, *[folds[outputs[n][0]](F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n in names]
+        "_scan_run", *keys, *[folds[outputs[n][0]](F.col(f"_t_{n}")).over(earlier).alias(f"_c_{n}") for n in names]
     )
 
     def combine(n: str) -> Column:
@@ -83,7 +83,7 @@ def ordered_scan(
         return F.coalesce(a, c).alias(n)
 
     keep = [c for c in df.columns if c not in names]
-    return local.join(carry, ["_run", *keys], "left").select(*keep, *[combine(n) for n in names])
+    return local.join(carry, ["_scan_run", *keys], "left").select(*keep, *[combine(n) for n in names])
 
 
 def global_index(df: DataFrame, order: list[Column], name: str = "idx", partitions: int | None = None) -> DataFrame:
