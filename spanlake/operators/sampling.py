@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import clean_label
 from spanlake.operators.sequence import build_prompt, split_common_rare
 from spanlake.plans.scan import draw_key, draw_unit, global_index, keyed_index, ordered_scan
+from spanlake.session import spread
 
 TOP_ROWS = 10_000
 
@@ -325,4 +326,4 @@ def sample_constraints(pairs: DataFrame, number: int, length: int, seed: int = 0
 
         return pd.Series([one(i, t) for i, t in zip(ids, texts)])
 
-    return pairs.withColumn("constraints", draw(F.col(ident), F.col(tgt)))
+    return spread(pairs).withColumn("constraints", draw(F.col(ident), F.col(tgt)))

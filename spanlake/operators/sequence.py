@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.text import clean_label
 from spanlake.plans.packing import CHUNK_ROWS, batch_next, greedy_blocks, sizes_next
 from spanlake.plans.scan import draw_unit, global_index, keyed_index, ordered_scan
+from spanlake.session import spread
 
 
 # ---- clip and frame windows ----------------------------------------------------------------
@@ -262,31 +263,38 @@ def token_blocks(docs: DataFrame, size: int, mode: str = "none", ident: str = "d
     alone. complete_doc: the same inside each group, blocks of one token dropped. eos: one sentence
     per block. block is the dense position of the block.
     """
-    rows = docs.select(*([group] if group else []), F.col(ident), F.col(tokens), F.size(tokens).cast("long").alias("_n"))
-    order = [F.col(c) for c in ([group] if group else [])] + [F.col(ident)]
+    by = [group] if group else []
+    # positions are found on the narrow (id, length) table; the tokens are joined once afterwards
+    rows = docs.select(*by, ident, F.size(tokens).cast("long").alias("_n")).where("_n > 0")
+    order = [F.col(c) for c in [*by, ident]]
+    text = docs.select(ident, tokens)
     if mode == "none":
-        pos = ordered_scan(rows.where("_n > 0"), [], order, {"_s": ("sum", F.col("_n"), False)})
+        pos = ordered_scan(rows, [], order, {"_s": ("sum", F.col("_n"), False)}).join(text, ident)
         first, last = F.floor(F.col("_s") / size), F.floor((F.col("_s") + F.col("_n") - 1) / size)
         piece = pos.withColumn("block", F.explode(F.sequence(first, last)))
         lo = F.greatest(F.col("block") * size - F.col("_s"), F.lit(0))
         hi = F.least((F.col("block") + 1) * size - F.col("_s"), F.col("_n"))
         piece = piece.select("block", "_s", F.slice(F.col(tokens), (lo + 1).cast("int"), (hi - lo).cast("int")).alias("_t"))
         return _join_pieces(piece, "block", "_s", tokens)
-    idx = global_index(rows.where("_n > 0"), order, "idx")
+    idx = global_index(rows, order, "idx")
     if mode == "eos":
-        return idx.select(F.col("idx").alias("block"), tokens)
+        return idx.join(text, ident).select(F.col("idx").alias("block"), tokens)
     if mode not in ("complete", "complete_doc"):
         raise ValueError(f"unknown mode {mode}")
     by_doc = mode == "complete_doc"
     if by_doc and not group:
         raise ValueError("complete_doc needs the document column")
     fn = sizes_next(["_n"], size, group if by_doc else None)
-    at = greedy_blocks(idx, fn, ["_n", *([group] if by_doc else [])], "idx", chunk_rows)
-    pieces = idx.join(at, "idx").select("block_start", "idx", F.col(tokens).alias("_t"))
-    blocks = _join_pieces(pieces, "block_start", "idx", tokens)
+    at = greedy_blocks(idx, fn, ["_n", *(by if by_doc else [])], "idx", chunk_rows)
+    place = idx.select(ident, "idx", "_n").join(at, "idx")
     if by_doc:
-        blocks = blocks.where(F.size(tokens) > 1)
-    return global_index(blocks, [F.col("block_start")], "block").select("block", tokens)
+        # blocks of one token drop; the kept starts are numbered on the narrow table
+        big = place.groupBy("block_start").agg(F.sum("_n").alias("_w")).where("_w > 1")
+    else:
+        big = place.select("block_start").distinct()
+    number = global_index(big.select("block_start"), [F.col("block_start")], "block")
+    pieces = place.join(number, "block_start").join(text, ident).select("block", "idx", F.col(tokens).alias("_t"))
+    return _join_pieces(pieces, "block", "idx", tokens)
 
 
 def _join_pieces(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
@@ -301,9 +309,10 @@ def pack_pairs(df: DataFrame, max_tokens: int, ident: str = "id", src: str = "sr
     def words(c: str) -> Column:
         return F.size(F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")).cast("long")
 
-    idx = global_index(df.select(ident, src, tgt, words(src).alias("_a"), words(tgt).alias("_b")), [F.col(ident)], "idx")
+    idx = global_index(df.select(ident, words(src).alias("_a"), words(tgt).alias("_b")), [F.col(ident)], "idx")
     at = greedy_blocks(idx, sizes_next(["_a", "_b"], max_tokens), ["_a", "_b"], "idx", chunk_rows)
-    rows = idx.join(at, "idx").groupBy("block_start").agg(F.sort_array(F.collect_list(F.struct("idx", src, tgt))).alias("l"))
+    place = idx.select(ident, "idx").join(at, "idx")
+    rows = df.select(ident, src, tgt).join(place, ident).groupBy("block_start").agg(F.sort_array(F.collect_list(F.struct("idx", src, tgt))).alias("l"))
     return rows.select(
         F.col("block_start").alias("block"),
         F.array_join(F.transform("l", lambda x: x[src]), " ").alias(src),
@@ -329,9 +338,10 @@ def context_window(blocks: DataFrame, ctx: int, stream: str = "stream", pos: str
     """
     if max_len is not None and max_len < 2 * ctx:
         raise ValueError("max_len must be at least twice ctx")
-    run = ordered_scan(
-        blocks.withColumn("_n", F.size(tokens).cast("long")), [stream], [F.col(pos)], {"_s": ("sum", F.col("_n"), False)}
+    place = ordered_scan(
+        blocks.select(stream, pos, F.size(tokens).cast("long").alias("_n")), [stream], [F.col(pos)], {"_s": ("sum", F.col("_n"), False)}
     )
+    run = place.join(blocks.select(stream, pos, tokens), [stream, pos])
     if ctx <= 0:
         return run.select(stream, pos, tokens, F.lit(0).alias("start"))
     end = F.col("_s") + F.col("_n")
@@ -343,7 +353,7 @@ def context_window(blocks: DataFrame, ctx: int, stream: str = "stream", pos: str
     room = F.least(F.lit(ctx).cast("long"), F.col("_s"))
     if max_len is not None:
         room = F.least(room, F.greatest(F.lit(0), F.lit(max_len) - F.col("_n")))
-    want = run.select(stream, pos, (F.col("_s") - room).alias("_ws"), F.col("_s").alias("_we")).where("_we > _ws").withColumn(
+    want = place.select(stream, pos, (F.col("_s") - room).alias("_ws"), F.col("_s").alias("_we")).where("_we > _ws").withColumn(
         "_bin", F.explode(F.sequence(F.floor(F.col("_ws") / ctx), F.floor((F.col("_we") - 1) / ctx)))
     )
     lo = F.greatest("_ts", "_ws", F.col("_bin") * ctx)
@@ -397,7 +407,7 @@ def mask_tokens(
     n = F.size(tokens)
     spots = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     key = F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(ident).cast("string"))
-    d = df.withColumn("_key", key).withColumn("_h", F.transform(spots, lambda i: F.md5(F.concat_ws(":", "_key", i.cast("string")))))
+    d = spread(df).withColumn("_key", key).withColumn("_h", F.transform(spots, lambda i: F.md5(F.concat_ws(":", "_key", i.cast("string")))))
     unit = draw_unit(seed, F.lit(str(epoch)), F.col(ident), F.lit("n"))
     count = F.least(n, F.floor(F.lit(float(prob)) * n / float(multi_len) + unit).cast("int"))
     d = d.withColumn("_cut", F.when(count > 0, F.try_element_at(F.array_sort("_h"), count)))
@@ -467,7 +477,7 @@ def pack_repeats(df: DataFrame, max_reps: int, tokens: str = "tokens") -> DataFr
 
         return col.map(one)
 
-    return df.withColumn(tokens, run(F.col(tokens)))
+    return spread(df).withColumn(tokens, run(F.col(tokens)))
 
 
 def unpack_repeats(df: DataFrame, max_reps: int, tokens: str = "tokens") -> DataFrame:

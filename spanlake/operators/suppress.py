@@ -26,13 +26,16 @@ SEGMENT = ("t_start", "t_end")
 BOX = ("x0", "x1", "y0", "y1")
 
 
-def _overlap_arrays(p, i: int, rest) -> np.ndarray:
-    """Overlap of row i with the rows in rest; p is a list of (low, high) arrays per dimension."""
+def _overlap_arrays(p, i) -> np.ndarray:
+    """Overlap of the rows i with all rows; p is a list of (low, high) arrays per dimension.
+
+    An integer i gives one row of the overlap matrix, a column of indices gives several at once.
+    """
     inter, area_i, area = 1.0, 1.0, 1.0
     for lo, hi in p:
-        inter = inter * np.maximum(0.0, np.minimum(hi[i], hi[rest]) - np.maximum(lo[i], lo[rest]))
-        area_i *= hi[i] - lo[i]
-        area = area * (hi[rest] - lo[rest])
+        inter = inter * np.maximum(0.0, np.minimum(hi[i], hi) - np.maximum(lo[i], lo))
+        area_i = area_i * (hi[i] - lo[i])
+        area = area * (hi - lo)
     pad = 1e-6 if len(p) == 1 else 0.0
     union = area_i + pad + area + pad - inter
     return np.divide(inter, union, out=np.zeros_like(inter), where=union > 0)
@@ -75,24 +78,31 @@ def _fold(dims, ident, method, threshold, strict, sigma, min_score):
         spans = [(pdf[dims[i]].to_numpy(float), pdf[dims[i + 1]].to_numpy(float)) for i in range(0, len(dims), 2)]
         score = pdf["score"].to_numpy(float).copy()
         n = len(score)
-        # rows of the decay matrix: all at once for small groups, one by one otherwise
-        table = None
-        if n <= MATRIX_ROWS:
-            table = decay(np.stack([_overlap_arrays(spans, i, slice(None)) for i in range(n)]))
-        live = np.where(np.isnan(score), -np.inf, score)
+        # the whole decay matrix for small groups, row by row otherwise
+        table = decay(_overlap_arrays(spans, np.arange(n)[:, None])) if n <= MATRIX_ROWS else None
+
+        def weights(i: int) -> np.ndarray:
+            return table[i] if table is not None else decay(_overlap_arrays(spans, i))
+
         kept, final = [], []
-        for _ in range(n):
-            i = int(live.argmax())  # rows are in id order, so ties go to the smaller id
-            if live[i] == -np.inf:
-                break
-            kept.append(i)
-            final.append(live[i])
-            w = table[i] if table is not None else decay(_overlap_arrays(spans, i, slice(None)))
-            live[i] = -np.inf
-            if method == HARD:
-                live[w == 0.0] = -np.inf
-            else:
-                live = np.where(live == -np.inf, live, live * w)
+        if method == HARD:
+            # scores never change: one pass in score order, ties by id
+            gone = np.zeros(n, bool)
+            for i in np.argsort(-score, kind="stable"):
+                if not gone[i]:
+                    kept.append(i)
+                    final.append(score[i])
+                    gone |= weights(i) == 0.0
+        else:
+            live = score.copy()
+            for _ in range(n):
+                i = int(live.argmax())  # rows are in id order, so ties go to the smaller id
+                if live[i] == -np.inf:
+                    break
+                kept.append(i)
+                final.append(live[i])
+                live[i] = -np.inf
+                live = np.where(live == -np.inf, live, live * weights(i))
                 live[live < min_score] = -np.inf
         out = pdf.iloc[kept].copy()
         out["score"] = final

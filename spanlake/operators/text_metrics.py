@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from spanlake.functions.text import _words, ngrams, normalize_answer, strip_punct_tokens
-from spanlake.session import shuffle_width
+from spanlake.session import shuffle_width, spread
 
 
 # ---- answers -------------------------------------------------------------------------------
@@ -248,8 +248,7 @@ def rouge(df: DataFrame, ident: str = "id", pred: str = "pred", ref: str = "ref"
     )
     if with_l:
         p, r = _words(F.col("pred")), _words(F.col("ref"))
-        # an explicit width keeps the Python helper parallel on few input files
-        lcs = t.select(ident, p.alias("p"), r.alias("r")).select(
+        lcs = spread(t).select(ident, p.alias("p"), r.alias("r")).select(
             ident, F.lit("rougeL").alias("metric"), lcs_length("p", "r").alias("match"),
             F.size("p").cast("long").alias("n_pred"), F.size("r").cast("long").alias("n_ref"),
         )
@@ -306,7 +305,7 @@ def error_counts(df: DataFrame, ident: str = "id", pred: str = "pred", ref: str
             s = F.lower(s)
         return s
 
-    t = df.select(ident, prep(pred).alias("p"), prep(ref).alias("r"))
+    t = spread(df).select(ident, prep(pred).alias("p"), prep(ref).alias("r"))
     if char_level:
         # spaces are characters of their own here
         return t.select(ident, F.levenshtein("p", "r").alias("distance"), F.length("r").alias("ref_len"))

@@ -74,12 +74,22 @@ def _(t):
     return out.select("pred_id", F.round("t_start", 2).alias("t_start"), F.round("t_end", 2).alias("t_end"))
 
 
-@query("soft_nms")
+# the state of a group is the list of live segments, best first; each step takes the head and decays the rest
+SOFT_SQL = """WITH RECURSIVE run AS (SELECT clip_id, label, 0 AS step, NULL::STRUCT(n DOUBLE, i BIGINT, s DOUBLE, e DOUBLE) AS pick,
+            list_sort(list({{'n': -score, 'i': pred_id, 's': t_start, 'e': t_end}})) AS live FROM predictions WHERE score >= 0.001 GROUP BY 1, 2
+        UNION ALL SELECT clip_id, label, step + 1, live[1], list_sort(list_filter(list_transform(live[2:], lambda k: {{'n': k.n * {weight}, 'i': k.i, 's': k.s, 'e': k.e}}), lambda k: k.n <= -0.001))
+        FROM run WHERE len(live) > 0)
+    SELECT clip_id, label, pick.i AS pred_id, round(-pick.n, 6) AS score FROM run WHERE step > 0"""
+SOFT_OVR = """(greatest(0.0, least(k.e, live[1].e) - greatest(k.s, live[1].s)) / ((k.e - k.s) + 1e-6 + (live[1].e - live[1].s) + 1e-6
+    - greatest(0.0, least(k.e, live[1].e) - greatest(k.s, live[1].s))))"""
+
+
+@rec_query("soft_nms", SOFT_SQL.format(weight=f"exp(-({SOFT_OVR} * {SOFT_OVR}) / 0.5)"), ["segments", "predictions"])
 def _(t):
     return N.soft_nms(t.predictions(), sigma=0.5, min_score=0.001).select("clip_id", "label", "pred_id", r6("score"))
 
 
-@query("soft_nms_linear")
+@rec_query("soft_nms_linear", SOFT_SQL.format(weight=f"CASE WHEN {SOFT_OVR} >= 0.3 THEN 1 - {SOFT_OVR} ELSE 1.0 END"), ["segments", "predictions"])
 def _(t):
     return N.soft_nms(t.predictions(), method=1, iou=0.3).select("clip_id", "label", "pred_id", r6("score"))
 

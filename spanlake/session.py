@@ -15,6 +15,8 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "12g") -
         .appName("spanlake")
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        # as many shuffle partitions as cores: merging them further would only idle cores
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
@@ -48,3 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a small table over all tasks ahead of work that is heavy per row.
+
+    A table with less than SMALL_BYTES per shuffle partition may sit in one file split or one merged
+    shuffle partition; moving it costs little. A larger table already has splits enough and is left
+    as it is.
+    """
+    width = shuffle_width(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(width, *keys) if size < width * SMALL_BYTES else df
