@@ -8,9 +8,6 @@ from spanlake.operators import joins as J
 from spanlake.plans.annotation_queries import r6
 from spanlake.plans.registry import query
 
-SEC0 = "2024-01-01"
-
-
 def actions(t):
     n = t.narrations()
     return n.withColumn("frame_path", F.concat_ws("|", F.col("video_uid").cast("string"), F.col("clip_index").cast("string")))

@@ -73,12 +73,10 @@ def _(t):
 )
 def _(t):
     e = F.col("event_id")
-    tail = F.format_string(":%02d:%s", e % 60, F.format_number(F.lit(0), 0))
     sec = F.format_string("%02d:%04.1f", e % 60, (e % 600) / 10)
     start = F.concat(F.lpad((e % 5).cast("string"), 2, "0"), F.lit(":"), sec)
     stop = F.concat(F.lpad((e % 5 + 1).cast("string"), 2, "0"), F.lit(":"), sec)
     stamp = F.when(e % 3 == 0, start)
-    del tail
     return t.raw("events").select("event_id", r6(T.narration_time(stamp, start, stop), "t"))
 
 
