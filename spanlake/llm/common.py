@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words between ASCII white space; null or blank text gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANK + "+"), lambda w: w != "")
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANK + "+"))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -26,3 +27,14 @@ def groups_for(df: DataFrame, size: Column, target: int) -> int:
     """Number of groups of about target size each, from one pass over the rows; at least one."""
     total = df.agg(F.sum(size).alias("n")).first()["n"] or 0
     return int(total // target) + 1
+
+
+def text_key(text: Column) -> Column:
+    """Tells rows that repeat an id apart by their text."""
+    return F.xxhash64(text)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs, with all their columns, whose (doc_id, text) has a row (_id, _text) in kept."""
+    same = docs["doc_id"].eqNullSafe(kept["_id"]) & (text_key(docs["text"]) == kept["_text"])
+    return docs.join(kept, same, "left_semi")
