@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import language_id, license_rules, packing_tiers, quality_llr, token_counts
+from spanlake.llm import language_id, license_rules, near_dedup, packing_tiers, quality_llr, token_counts
 from spanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +17,31 @@ def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
 
+#: Word shingles of op5 and their links, components by reachability.
+ORACLES["op5_near_dedup"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM words),
+each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN sets x ON x.doc_id = a.doc_id JOIN sets y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (any_value(len(x.s)) + any_value(len(y.s)) - count(*))),
+reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents
+  UNION
+  SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM sets JOIN least ON u = doc_id
+"""
+
 
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +67,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("_text")
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents")).drop("_text")
