@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm import language_id, license_rules, near_dedup, packing_tiers, quality_llr, token_counts
+from spanlake.llm import language_id, license_rules, mixture_tree, near_dedup, packing_tiers, quality_llr, token_counts
 from spanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,48 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents")).drop("_text")
+
+
+@query
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_tree.mix(table(spark, sf_dir, "documents")).drop("_text")
+
+
+def _shares(level: str, node: str, parent: str | None) -> str:
+    """CTE that shares the budget of a level's parents among its nodes, as mixture_tree.shared_out does."""
+    weights = "".join(f" WHEN '{k}' THEN {w}" for k, w in mixture_tree.WEIGHTS[level].items())
+    by = f"PARTITION BY {parent}" if parent else ""
+    above, on = (f"JOIN {parent.split(', ')[-1]}_given USING ({parent})", "b") if parent else ("", "(SELECT sum(size) // 2 FROM leaves)")
+    return f"""
+{level}_nodes AS (
+  SELECT {node}, sum(cap)::HUGEINT AS cap, (CASE {level}{weights} ELSE 1 END)::HUGEINT AS w FROM leaves GROUP BY {node}),
+{level}_full AS (
+  SELECT *, {on}::HUGEINT AS whole,
+    cap * sum(w) OVER ({by} ORDER BY cap::DOUBLE / w::DOUBLE, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= w * ({on}::HUGEINT
+      - coalesce(sum(cap) OVER ({by} ORDER BY cap::DOUBLE / w::DOUBLE, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled
+  FROM {level}_nodes {above}),
+{level}_given AS (
+  SELECT {node}, CASE WHEN filled THEN cap ELSE (whole - coalesce(sum(cap) FILTER (filled) OVER ({by}), 0)) * w
+    // sum(w) FILTER (NOT filled) OVER ({by}) END AS b FROM {level}_full)"""
+
+
+_DOMAIN = "coalesce(CASE TRY_CAST(substr(source, 4, 9) AS INT) % 4" + "".join(f" WHEN {i} THEN '{d}'" for i, d in enumerate(mixture_tree.DOMAINS)) + " END, 'unknown')"
+ORACLES["op8_mixture"] = rf"""
+WITH rows AS (
+  SELECT doc_id, {_DOMAIN} AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS size, 2 * sum(n_tokens) AS cap FROM rows GROUP BY ALL),
+{_shares("domain", "domain", None)},
+{_shares("lang", "domain, lang", "domain")},
+{_shares("source", "domain, lang, source", "domain, lang")},
+plan AS (
+  SELECT domain, lang, source, b::BIGINT AS leaf_budget, CASE WHEN size > 0 THEN b // size ELSE 0 END AS passes, size
+  FROM leaves JOIN source_given USING (domain, lang, source)),
+runs AS (
+  SELECT rows.*, leaf_budget, passes, unnest(range(2)) AS epoch, size FROM rows JOIN plan USING (domain, lang, source)),
+placed AS (
+  SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('11:' || epoch || ':' || doc_id), doc_id
+    ROWS UNBOUNDED PRECEDING) AS so_far FROM runs)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INT) AS epoch, leaf_budget FROM placed
+WHERE epoch < passes OR (epoch = passes AND so_far <= leaf_budget - size * passes)
+"""
