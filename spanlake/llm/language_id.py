@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3, 4)
-PER_LANGUAGE = 800
+PER_LANGUAGE = 500
 DIM = 16
 EPOCHS = 8
 LETTER = regex.compile(r"\p{L}")
@@ -84,17 +84,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, n_languages: int, seed: int = 7, rate: float = 8.0, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Embeddings times layer, and bias, after EPOCHS of stochastic gradient descent on rows of mean bucket counts."""
+class Sample:
+    """Bucket shares of texts in sparse rows, and their languages; only a batch is ever laid out in full."""
+
+    def __init__(self, at: list[np.ndarray], share: list[np.ndarray], y: np.ndarray):
+        self.at, self.share, self.y = at, share, y
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for i, r in enumerate(rows):
+            x[i, self.at[r]] = self.share[r]
+        return x
+
+    def part(self, rows: np.ndarray) -> Sample:
+        return Sample([self.at[r] for r in rows], [self.share[r] for r in rows], self.y[rows])
+
+
+def train(sample: Sample, n_languages: int, seed: int = 7, rate: float = 8.0, batch: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings times layer, and bias, after EPOCHS of stochastic gradient descent."""
     draw = np.random.default_rng(seed)
-    embed = draw.normal(0, 0.3, (x.shape[1], DIM)).astype(np.float32)
+    embed = draw.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
     layer = draw.normal(0, 0.3, (DIM, n_languages)).astype(np.float32)
-    bias = np.zeros(n_languages, np.float32)
+    bias, y = np.zeros(n_languages, np.float32), sample.y
     weight = (len(y) / (n_languages * np.bincount(y, minlength=n_languages).clip(1))).astype(np.float32)
     for epoch in range(EPOCHS):
         step = rate * (1 - epoch / EPOCHS)
         for rows in np.array_split(draw.permutation(len(y)), max(1, len(y) // batch)):
-            mean = x[rows]
+            mean = sample.dense(rows)
             hidden = mean @ embed
             error = softmax(hidden @ layer + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
@@ -134,19 +153,21 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_false_rejecti
         at = [np.flatnonzero(p) for p in found]
         return pd.DataFrame({"at": at, "n": [p[i] for p, i in zip(found, at, strict=True)]})
 
-    sample = drawn.select("lang", "_n", counted("text").alias("c")).select("lang", "_n", "c.at", "c.n").toPandas()
-    sample = sample.sort_values(["lang", "_n"])
-    languages = sorted(sample["lang"].unique())
+    # arrays of numbers, at most languages x per_language rows
+    counts = drawn.select("lang", "_n", counted("text").alias("c")).select("lang", "_n", "c.at", "c.n")
+    rows = counts.toArrow().sort_by([("lang", "ascending"), ("_n", "ascending")])
+    languages = sorted(set(rows["lang"].to_pylist()))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
-    y = sample["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()
-    x = np.zeros((len(sample), BUCKETS), np.float32)
-    for i, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
-        x[i, np.asarray(at, np.int64)] = np.asarray(n, np.float32) / max(1, int(np.sum(n)))
-    back = sample["_n"].to_numpy() % 5 == 0  # kept back for calibration
-    back &= not back.all()
-    weights, bias = train(x[~back], y[~back], len(languages), seed)
-    temperature, bound = calibrate((x[back] @ weights + bias).astype(np.float64), y[back], max_false_rejections)
+    at = [x.values.to_numpy() for x in rows["at"]]
+    n = [x.values.to_numpy().astype(np.float32) for x in rows["n"]]
+    y = np.array([languages.index(x) for x in rows["lang"].to_pylist()])
+    sample = Sample(at, [x / max(1.0, float(x.sum())) for x in n], y)
+    back = rows["_n"].to_numpy() % 5 == 0  # kept back for calibration
+    taught, tried = sample.part(np.flatnonzero(~back)), sample.part(np.flatnonzero(back))
+    weights, bias = train(taught, len(languages), seed)
+    logits = np.array([s @ weights[i] + bias for i, s in zip(tried.at, tried.share, strict=True)], np.float64)
+    temperature, bound = calibrate(logits, tried.y, max_false_rejections)
     return Model(languages, weights.astype(np.float64), bias, temperature, bound)
 
 

@@ -4,9 +4,9 @@ Words and pairs of neighbouring words are hashed into BUCKETS. Two multinomials
 add-one smoothing: one from the trusted documents (label quality = 1), one from all documents. A document's score is the
 mean over its n-grams of log p(trusted) - log p(raw). Every document whose score is at least the bound is kept; the bound
 is the highest score that still keeps `trusted_share` of the trusted documents, so the verdict is the same in every run.
-For the bound the trusted documents fall into two folds, and each is scored by the other fold's multinomial: its own
-n-grams would lift it above equally good documents without a label. Counts cover every document; what reaches the driver
-is BUCKETS rows of counts and a histogram of scores.
+One in HELD_BACK trusted documents teaches the multinomial nothing and sets the bound: a document's own n-grams would lift
+it above equally good documents without a label. The raw counts cover every document; what reaches the driver is BUCKETS
+rows of counts and a histogram of scores.
 
 Base rules come first: fewer than 50 words, or more than half of the words in repeated 3-word windows, fail a document.
 
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import keep_rows, text_key, words
+from spanlake.session import cut
 
 BUCKETS = 1 << 13
 MIN_WORDS = 50
+HELD_BACK = 4
 SYMBOLS = r"[^#*$%&|<>]+"
 STEP = 1000
 
@@ -47,43 +48,26 @@ def grams(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    """(doc_id, fold) of the trusted documents, one row each."""
+    """(doc_id, held) of the trusted documents, one row each."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
+    return good.withColumn("held", F.pmod(F.xxhash64("doc_id"), F.lit(HELD_BACK)) == 0)
 
 
 def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """(bucket, raw, fold0, fold1) over all n-grams of all documents."""
-    hashed = grams(docs.select("doc_id", "text").join(trusted, "doc_id", "left"), ["fold"])
-    every = hashed.select("fold", F.explode(F.concat(F.transform("h", bucket), pair_buckets(F.col("h")))).alias("bucket"))
-    return every.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("raw"), F.count_if(F.col("fold") == 0).alias("fold0"), F.count_if(F.col("fold") == 1).alias("fold1")
-    )
-
-
-@dataclass
-class Ratios:
-    """log p(trusted) - log p(raw) of each bucket: from all trusted documents, and for each fold from the other one."""
+    """(bucket, raw, trusted) over all n-grams of all documents."""
+    hashed = grams(docs.select("doc_id", "text").join(trusted, "doc_id", "left"), ["held"])
+    every = hashed.select("held", F.explode(F.concat(F.transform("h", bucket), pair_buckets(F.col("h")))).alias("bucket"))
+    return every.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if(~F.col("held")).alias("trusted"))
 
-    values: list[float]
-    other: list[list[float]]
-    known: bool
 
-
-def ratios(counted: DataFrame) -> Ratios:
-    names = ("raw", "fold0", "fold1")
-    n = {k: [0] * BUCKETS for k in names}
+def ratios(counted: DataFrame) -> list[float] | None:
+    """log p(trusted) - log p(raw) of each bucket; None without trusted n-grams."""
+    raw, trusted = [1] * BUCKETS, [1] * BUCKETS
     for r in counted.collect():  # at most BUCKETS rows
-        for k in names:
-            n[k][r["bucket"]] = r[k]
-    raw = [x + 1 for x in n["raw"]]
-
-    def against_raw(trusted: list[int]) -> list[float]:
-        a, b = sum(trusted) + BUCKETS, sum(raw)
-        return [math.log((t + 1) / a) - math.log(r / b) for t, r in zip(trusted, raw, strict=True)]
-
-    both = [x + y for x, y in zip(n["fold0"], n["fold1"], strict=True)]
-    return Ratios(against_raw(both), [against_raw(n["fold1"]), against_raw(n["fold0"])], any(n["fold0"]) and any(n["fold1"]))
+        raw[r["bucket"]] += r["raw"]
+        trusted[r["bucket"]] += r["trusted"]
+    a, b = sum(trusted), sum(raw)
+    return [math.log(t / a) - math.log(r / b) for t, r in zip(trusted, raw, strict=True)] if a > BUCKETS else None
 
 
 def constant(values: list, kind: str) -> Column:
@@ -98,9 +82,9 @@ def score_of(h: Column, table: Column) -> Column:
     return (one + F.aggregate(pair_buckets(h), F.lit(0.0), add)) / F.greatest(2 * F.size(h), F.lit(1))
 
 
-def measured(docs: DataFrame, found: Ratios) -> DataFrame:
+def measured(docs: DataFrame, found: list[float] | None) -> DataFrame:
     """doc_id, _text, the base columns, base_failed and the score of every whole text."""
-    table = constant(found.values, "array<double>")
+    table = constant(found or [0.0] * BUCKETS, "array<double>")
     rows = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
     hashed = rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -146,14 +130,10 @@ def measured(docs: DataFrame, found: Ratios) -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def score_bound(docs: DataFrame, trusted: DataFrame, found: Ratios, trusted_share: float) -> float:
-    """The highest step of scores that keeps the share of the trusted documents of MIN_WORDS and more."""
-    if not found.known:
-        return -math.inf
-    tables = constant(found.other, "array<array<double>>")
-    good = grams(docs.select("doc_id", "text").join(trusted, "doc_id"), ["fold"]).where(F.size("h") >= MIN_WORDS)
-    scored = good.select(score_of(F.col("h"), F.get(tables, F.col("fold"))).alias("score"))
-    steps = scored.groupBy(F.floor(F.col("score") * STEP).alias("s")).count().orderBy("s").collect()  # logs have a bounded range
+def score_bound(scored: DataFrame, trusted: DataFrame, trusted_share: float) -> float:
+    """The highest step of scores that keeps the share of the trusted documents that were held back."""
+    good = scored.where(F.col("n_words") >= MIN_WORDS).join(trusted.where("held"), "doc_id", "left_semi")
+    steps = good.groupBy(F.floor(F.col("score") * STEP).alias("s")).count().orderBy("s").collect()  # logs have a bounded range
     room = int((1 - trusted_share) * sum(r["count"] for r in steps))
     for r in steps:
         if r["count"] > room:
@@ -166,8 +146,9 @@ def judge(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999) -> D
     """Base columns, score and kept of every document."""
     trusted = trusted_ids(labels)
     found = ratios(counts(docs, trusted))
-    bound = score_bound(docs, trusted, found, trusted_share)
-    return measured(docs, found).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(bound)))
+    scored = cut(measured(docs, found))
+    bound = score_bound(scored, trusted, trusted_share) if found else -math.inf
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(bound)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from spanlake.llm import language_id, license_rules, mixture_tree, near_dedup, packing_tiers, quality_llr, token_counts
+from pyspark.sql import functions as F
+
+from spanlake.llm import (
+    chat_windows,
+    language_id,
+    license_rules,
+    mixture_tree,
+    near_dedup,
+    packing_tiers,
+    quality_llr,
+    token_counts,
+    url_equivalence,
+)
 from spanlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +128,102 @@ placed AS (
 SELECT doc_id, domain, lang, source, n_tokens, CAST(epoch AS INT) AS epoch, leaf_budget FROM placed
 WHERE epoch < passes OR (epoch = passes AND so_far <= leaf_budget - size * passes)
 """
+
+
+@query
+def op6_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_equivalence.judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    return chat_windows.digests(chat_windows.windows(turns.union(odd)))
+
+
+#: Windows from running sums, repeated turns from the rows before them; BUDGET, HISTORY and TURN_COST as in chat_windows.
+ORACLES["op9_chat_windows"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+sized AS (
+  SELECT *, (octet_length(encode(text)) + 3) // 4 + {chat_windows.TURN_COST} AS n,
+    {len('<turn role="">')} + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))
+      + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '"', '&quot;')) + {len(chat_windows.TAIL)} AS chars FROM turns),
+placed AS (
+  SELECT *, row_number() OVER o - 1 AS pos, sum(n) OVER o - n AS before FROM sized
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+spans AS (
+  SELECT conv_id, before // {chat_windows.BUDGET // 2} AS win, min(pos) AS f, sum(n) AS cost, sum(chars) AS chars FROM placed GROUP BY ALL),
+system AS (SELECT conv_id, min(pos) AS spos, arg_min(n, pos) AS sn, arg_min(chars, pos) AS schars FROM placed WHERE role = 'system' GROUP BY conv_id),
+started AS (
+  SELECT spans.*, spos, coalesce(sn, 0) AS sn, coalesce(schars, 0) AS schars FROM spans LEFT JOIN system ON spans.conv_id = system.conv_id AND spos < f),
+past AS (
+  SELECT s.conv_id, win, p.chars, sum(p.n) OVER (PARTITION BY s.conv_id, win ORDER BY p.pos DESC) AS upto, {chat_windows.BUDGET} - cost - sn AS room
+  FROM started s JOIN placed p ON p.conv_id = s.conv_id AND p.pos BETWEEN f - {chat_windows.HISTORY} AND f - 1 AND p.pos IS DISTINCT FROM spos),
+formatted AS (
+  SELECT conv_id, sum(chars + schars) + coalesce((SELECT sum(chars) FROM past WHERE past.conv_id = started.conv_id AND upto <= room), 0) AS c
+  FROM started GROUP BY conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(any_value(c) AS BIGINT) AS formatted_chars
+FROM placed JOIN formatted USING (conv_id) GROUP BY conv_id
+"""
+
+
+def _fits(verdict_or_rule: int) -> str:
+    """CASE over the rules, the longest first."""
+    arms = ""
+    for pair in sorted(url_equivalence.RULES, key=lambda r: -len(r[1])):
+        name, slash, rest = pair[1].partition("/")
+        arms += f" WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{rest}') THEN '{pair[verdict_or_rule]}'"
+    return f"CASE{arms} END"
+
+
+_HOST = "translate(regexp_extract(coalesce({u}, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+#: References, canonical forms, components by reachability, and block decisions carried over them.
+ORACLES["op6_url_equivalence"] = rf"""
+WITH RECURSIVE judged AS (
+  SELECT *, {_fits(1)} AS rule, {_fits(0)} AS own FROM (
+    SELECT page_id, url, html, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM pages)),
+tags AS (
+  SELECT page_id, host, path, unnest(regexp_extract_all(coalesce(html, ''), '<(?:link|meta)\b[^>]*>', 0, 'is')) AS tag FROM judged),
+named AS (
+  SELECT page_id, host, path, replace(trim(CASE
+    WHEN regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b', 'is')
+      THEN regexp_extract(tag, '\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1, 'is')
+    WHEN regexp_matches(tag, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?\s*refresh\b', 'is')
+      THEN regexp_extract(tag, '\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
+    ELSE '' END), '&amp;', '&') AS t FROM tags),
+urls AS (
+  SELECT page_id, url AS u FROM judged
+  UNION ALL
+  SELECT page_id, CASE WHEN regexp_matches(t, '^https?://', 'i') THEN t
+    WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') AND host <> '' THEN 'http://' || host || t
+    WHEN NOT regexp_matches(t, '^(?:$|#|[A-Za-z][A-Za-z0-9+.-]*:)') AND host <> ''
+      THEN 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || t END FROM named),
+seen AS (
+  SELECT DISTINCT page_id, own, name || regexp_replace(path, '/+$', '') || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS key FROM (
+    SELECT page_id, path, {_fits(0)} AS own, regexp_replace(host, ':(?:80|443)?$', '') AS name,
+      array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1, 's'), '&'),
+        lambda p: p <> '' AND NOT regexp_matches(p, '^{url_equivalence.TRACKING}(?:=|$)', 'i')), '&') AS q
+    FROM (SELECT page_id, u, {_HOST.format(u="u")} AS host, {_PATH.format(u="u")} AS path FROM urls)) WHERE name <> ''),
+links AS (SELECT DISTINCT a.page_id AS u, b.page_id AS v FROM seen a JOIN seen b USING (key) WHERE a.page_id <> b.page_id),
+reach AS (
+  SELECT DISTINCT u, u AS v FROM links
+  UNION
+  SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v),
+least AS (SELECT u AS page_id, min(v) AS component_id FROM reach GROUP BY u),
+hit AS (
+  SELECT DISTINCT coalesce(component_id, page_id) AS c FROM (SELECT page_id FROM seen WHERE own = 'block') LEFT JOIN least USING (page_id))
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN c IS NOT NULL THEN 'block' END, 'allow') AS verdict, component_id
+FROM judged LEFT JOIN least USING (page_id) LEFT JOIN hit ON c = coalesce(component_id, page_id)
+"""
