@@ -17,6 +17,7 @@ from spanlake.llm import (
     quality_llr,
     token_counts,
     url_equivalence,
+    vp_search,
 )
 from spanlake.llm.common import table
 
@@ -227,3 +228,23 @@ hit AS (
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN c IS NOT NULL THEN 'block' END, 'allow') AS verdict, component_id
 FROM judged LEFT JOIN least USING (page_id) LEFT JOIN hit ON c = coalesce(component_id, page_id)
 """
+
+
+@query
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+#: Every usable vector against every query, nearest first.
+ORACLES["op1_nearest_vectors"] = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
