@@ -24,10 +24,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), guard * norm(b))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it or a lambda inside runs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / _sum(e))
+    e = bound(F.array_max(a), lambda top: F.transform(a, lambda x: F.exp(x.cast("double") - top)))
+    return bound(e, lambda v: bound(_sum(v), lambda total: F.transform(v, lambda x: x / total)))
 
 
 def f1(p: Column, r: Column) -> Column:

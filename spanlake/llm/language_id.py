@@ -142,10 +142,15 @@ def calibrate(logits: np.ndarray, y: np.ndarray, max_false_rejections: float) ->
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_false_rejections: float = 0.001, seed: int = 7) -> Model:
     """Learn from rows (doc_id, text, lang); rows without text or lang teach nothing."""
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.octet_length("text"))
-    by_language = Window.partitionBy("lang").orderBy(order, "doc_id", "text")
-    # each task keeps its first rows of a language before they are shuffled
-    drawn = rows.select("doc_id", "text", "lang").withColumn("_n", F.row_number().over(by_language)).where(F.col("_n") <= per_language)
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.octet_length("text")), 1)
+    # rows whose hash lies under a bound that a few times the wanted number of each language pass; one count per language
+    bounds = {r["lang"]: min(1.0, 4 * per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    bound = F.lit(None).cast("long")
+    for lang, part in bounds.items():
+        bound = F.when(F.col("lang") == lang, F.lit(int(part * (2**63 - 1)))).otherwise(bound)
+    by_language = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
+    few = rows.select("doc_id", "text", "lang", order.alias("_o")).where(F.col("_o") <= bound)
+    drawn = few.withColumn("_n", F.row_number().over(by_language)).where(F.col("_n") <= per_language)
 
     @F.pandas_udf("struct<at:array<int>,n:array<int>>")
     def counted(texts: pd.Series) -> pd.DataFrame:

@@ -14,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.vectors import bound
 from spanlake.operators.sets import greedy_one_to_one
 from spanlake.plans.scan import draw_key, draw_unit, global_index
 from spanlake.session import cut, shuffle_width
@@ -243,7 +244,8 @@ def similar_partner(x: DataFrame, top_k: int, n: int, seed: int = 0, ident: str
     """(id, pick, partner, distance): n seeded picks among the top_k nearest rows by cosine distance above zero."""
     v = F.col(vec).cast("array<double>")
     size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, a: s + a * a))
-    unit = x.select(F.col(ident).alias("x_id"), F.transform(v, lambda a: F.try_divide(a, size)).alias(vec)).where(size > 0)
+    scaled = bound(size, lambda n: F.transform(v, lambda a: F.try_divide(a, n)))
+    unit = x.where(size > 0).select(F.col(ident).alias("x_id"), scaled.alias(vec))
     near = knn_join(unit, unit.withColumnRenamed("x_id", "y_id"), top_k, vec=vec, skip_same=True)
     w = Window.partitionBy("x_id").orderBy(F.col("sim").desc(), "y_id")
     ranked = near.withColumn("_r", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("x_id")))

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.functions.vectors import bound
 from spanlake.functions.text import clean_label
 from spanlake.plans.packing import CHUNK_ROWS, batch_next, greedy_blocks, sizes_next
 from spanlake.plans.scan import draw_unit, global_index, keyed_index, ordered_scan
@@ -410,16 +411,16 @@ def mask_tokens(
     d = spread(df).withColumn("_key", key).withColumn("_h", F.transform(spots, lambda i: F.md5(F.concat_ws(":", "_key", i.cast("string")))))
     unit = draw_unit(seed, F.lit(str(epoch)), F.col(ident), F.lit("n"))
     count = F.least(n, F.floor(F.lit(float(prob)) * n / float(multi_len) + unit).cast("int"))
-    d = d.withColumn("_cut", F.when(count > 0, F.try_element_at(F.array_sort("_h"), count)))
+    last = F.when(count > 0, F.try_element_at(F.array_sort("_h"), count))
 
     def draw(i: Column, what: str) -> Column:
         h = F.md5(F.concat_ws(":", F.col("_key"), i.cast("string"), F.lit(what)))
         return F.conv(F.substring(h, 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
 
-    def one(x: Column, i: Column) -> Column:
+    def one(x: Column, i: Column, last: Column) -> Column:
         opened = F.lit(False)
         for back in range(multi_len):
-            opened = opened | ((i >= back) & (F.get("_h", i - back) <= F.col("_cut")))
+            opened = opened | ((i >= back) & (F.get("_h", i - back) <= last))
         chosen = F.coalesce(opened, F.lit(False))
 
         def fill(value: Column) -> Column:
@@ -434,10 +435,10 @@ def mask_tokens(
             new = F.when(u < leave, x).otherwise(new)
         return F.when(chosen, new).otherwise(x)
 
-    out = F.transform(F.col(tokens), one)
+    out = bound(last, lambda c: F.transform(F.col(tokens), lambda x, i: one(x, i, c)))
     if whole_words:
         out = F.flatten(out)
-    return d.withColumn("masked", out).drop("_key", "_h", "_cut")
+    return d.withColumn("masked", out).drop("_key", "_h")
 
 
 def length_buckets(df: DataFrame, n: int, size: str = "n") -> DataFrame:

@@ -357,24 +357,30 @@ def _draw12(expr: str) -> str:
     return f"(('0x' || substr(md5({expr}), 1, 12))::BIGINT / 281474976710656e0)"
 
 
-@query(
-    "mask_tokens",
-    f"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS tk, '7:1:' || doc_id AS key,
-            least(len(string_split(text, ' ')), floor(0.15::DOUBLE * len(string_split(text, ' ')) / 2e0 + {unit_sql("'7'", "'1'", "doc_id", "'n'")})::INT) AS cnt FROM documents),
+def _masked_sql(span: int) -> str:
+    wider = "".join(f" OR (i > {back} AND hs[i - {back}] <= cut)" for back in range(1, span))
+    return f"""WITH d AS (SELECT doc_id, string_split(text, ' ') AS tk, '7:1:' || doc_id AS key,
+            least(len(string_split(text, ' ')), floor(0.15::DOUBLE * len(string_split(text, ' ')) / {span}e0 + {unit_sql("'7'", "'1'", "doc_id", "'n'")})::INT) AS cnt FROM documents),
     h AS (SELECT *, list_transform(range(len(tk)), lambda i: md5(key || ':' || i)) AS hs FROM d),
     c AS (SELECT *, CASE WHEN cnt > 0 THEN list_sort(hs)[cnt] END AS cut FROM h)
     SELECT doc_id, md5(array_to_string(list_transform(tk, lambda x, i:
-        CASE WHEN cut IS NOT NULL AND (hs[i] <= cut OR (i > 1 AND hs[i - 1] <= cut)) THEN
+        CASE WHEN cut IS NOT NULL AND (hs[i] <= cut{wider}) THEN
             CASE WHEN {_draw12("key || ':' || (i - 1) || ':u'")} < 0.1 THEN x
                  WHEN {_draw12("key || ':' || (i - 1) || ':u'")} < 0.2
                  THEN ['aa', 'bb', 'cc'][floor({_draw12("key || ':' || (i - 1) || ':v'")} * 3)::INT + 1]
-                 ELSE '<mask>' END ELSE x END), ' ')) AS h FROM c""",
-)
-def _(t):
-    out = Q.mask_tokens(
-        _docs(t), "<mask>", 0.15, 2, 0.1, 0.1, 7, 1, ["aa", "bb", "cc"], "doc_id", "tokens"
-    )
-    return out.select("doc_id", F.md5(F.array_join("masked", " ")).alias("h"))
+                 ELSE '<mask>' END ELSE x END), ' ')) AS h FROM c"""
+
+
+def _masked(span: int):
+    def run(t):
+        out = Q.mask_tokens(_docs(t), "<mask>", 0.15, span, 0.1, 0.1, 7, 1, ["aa", "bb", "cc"], "doc_id", "tokens")
+        return out.select("doc_id", F.md5(F.array_join("masked", " ")).alias("h"))
+
+    return run
+
+
+query("mask_tokens", _masked_sql(2))(_masked(2))
+query("mask_tokens_single", _masked_sql(1))(_masked(1))
 
 
 @query(

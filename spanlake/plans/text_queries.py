@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanlake.functions.vectors import bound
 from spanlake.functions import boxes as B
 from spanlake.functions import intervals as I
 from spanlake.functions import text as T
@@ -220,7 +221,7 @@ def _(t):
 
 @query(
     "token_edits",
-    """WITH d AS (SELECT doc_id, string_split(text, ' ')[1:12] AS tk FROM documents)
+    """WITH d AS (SELECT doc_id, string_split(text, ' ') AS tk FROM documents)
     SELECT doc_id, array_to_string(list_append(tk, '</s>'), ' ') AS app, array_to_string(list_prepend('<s>', tk), ' ') AS pre,
         array_to_string(list_transform(tk, lambda x: CASE x WHEN 'the' THEN 'THE' WHEN 'of' THEN 'OF' ELSE x END), ' ') AS rep,
         array_to_string(list_concat(tk[len(tk) - 3 % len(tk) + 1:], tk[:len(tk) - 3 % len(tk)]), ' ') AS roll,
@@ -228,7 +229,7 @@ def _(t):
 )
 def _(t):
     tk = F.col("tk")
-    d = _docs(t).select("doc_id", F.slice("tokens", 1, 12).alias("tk"))
+    d = _docs(t).select("doc_id", F.col("tokens").alias("tk"))
     j = lambda c: F.array_join(c, " ")
     return d.select(
         "doc_id", j(T.append_token(tk, "</s>")).alias("app"), j(T.prepend_token(tk, "<s>")).alias("pre"),
@@ -240,10 +241,10 @@ def _(t):
 @query(
     "strip_token",
     """SELECT doc_id, regexp_replace(regexp_replace(text, '^(#)+', ''), '#+$', '') AS s FROM (
-        SELECT doc_id, translate(array_to_string(string_split(text, '')[1:40], ''), 'eE aA', '#####') AS text FROM documents)""",
+        SELECT doc_id, translate(text, 'eE aA', '#####') AS text FROM documents)""",
 )
 def _(t):
-    chars = F.filter(F.split(F.translate(F.substring("text", 1, 40), "eE aA", "#####"), ""), lambda c: c != "")
+    chars = F.filter(F.split(F.translate("text", "eE aA", "#####"), ""), lambda c: c != "")
     return t.raw("documents").select("doc_id", F.array_join(T.strip_token(chars, "#"), "").alias("s"))
 
 
@@ -451,18 +452,16 @@ def _(t):
 
 @query(
     "first_structured_noun",
-    """SELECT l_orderkey, min_by('n' || l_suppkey, l_linenumber * 1000000 + l_partkey) FILTER (WHERE l_returnflag = 'R' AND l_suppkey % 3 > 0) AS noun
-    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem
-          QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_returnflag) = 1) GROUP BY 1""",
+    """SELECT l_orderkey, first('n' || l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (WHERE l_returnflag = 'R' AND l_suppkey % 3 > 0) AS noun
+    FROM lineitem GROUP BY 1""",
 )
 def _(t):
-    one = t.raw("lineitem").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.min(F.struct("l_suppkey", "l_returnflag")).alias("m"))
     box = F.struct(
-        F.col("l_linenumber").alias("a"), F.col("l_partkey").alias("b"),
-        F.when(F.col("m.l_returnflag") == "R", "object_of_change").otherwise("hand").alias("object_type"),
-        F.when(F.col("m.l_suppkey") % 3 > 0, F.concat(F.lit("n"), F.col("m.l_suppkey").cast("string"))).alias("structured_noun"),
+        F.col("l_linenumber").alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c"),
+        F.when(F.col("l_returnflag") == "R", "object_of_change").otherwise("hand").alias("object_type"),
+        F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("n"), F.col("l_suppkey").cast("string"))).alias("structured_noun"),
     )
-    rows = one.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
+    rows = t.raw("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(box)).alias("boxes"))
     kept = F.transform("boxes", lambda b: F.struct(b["object_type"].alias("object_type"), b["structured_noun"].alias("structured_noun")))
     pre = F.struct(F.lit("pre_frame").alias("frame_type"), F.slice(kept, 1, 0).alias("boxes"))
     pnr = F.struct(F.lit("pnr_frame").alias("frame_type"), kept.alias("boxes"))
@@ -549,7 +548,7 @@ def _(t):
 def _(t):
     sq = F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + 0.01)
     e = t.raw("embeddings").select("vec_id", sq.alias("v"))
-    p = e.select("vec_id", F.transform("v", lambda x: x / F.aggregate("v", F.lit(0.0), lambda a, b: a + b)).alias("probs"))
+    p = e.select("vec_id", bound(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), lambda n: F.transform("v", lambda x: x / n)).alias("probs"))
     return C.inception_score(p, 5, ["vec_id"]).select(r6("mean_score"), r6("std_score"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,12 +28,14 @@ def local_session(cores: int | str = 8, shuffle: int = 8, memory: str = "12g") -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, a temporary one only if none is named."""
+    """Folder for checkpoints: the one the cluster names; a local master may do without and gets a temporary one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanlake-ckpt-"))
     return sc.getCheckpointDir()
 

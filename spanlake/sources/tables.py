@@ -6,7 +6,7 @@ expression (CTES) for checking against another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
@@ -107,26 +107,24 @@ class Tables:
         )
 
     def boxes(self) -> DataFrame:
-        """(frame_id, det_id, x0, y0, x1, y1, label, score), one row per (frame_id, det_id)."""
-        # rows sharing a key differ only by part, so the smallest part row is kept whole
-        packed = F.min(
-            F.struct("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount")
-        ).alias("r")
-        x0 = 10 * F.col("r.l_quantity")
-        y0 = F.pmod(F.col("r.l_partkey"), F.lit(500)).cast("double")
+        """(frame_id, det_id, x0, y0, x1, y1, label, score), one row per line; lines of one number are told apart by rank."""
+        same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
+            "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_discount"
+        )
+        x0 = 10 * F.col("l_quantity")
+        y0 = F.pmod(F.col("l_partkey"), F.lit(500)).cast("double")
         return (
             self.raw("lineitem")
-            .groupBy("l_orderkey", "l_linenumber")
-            .agg(packed)
+            .withColumn("rn", F.row_number().over(same))
             .select(
                 F.col("l_orderkey").alias("frame_id"),
-                F.col("l_linenumber").alias("det_id"),
+                (F.col("l_linenumber") + 8 * (F.col("rn") - 1)).alias("det_id"),
                 x0.alias("x0"),
                 y0.alias("y0"),
-                (x0 + 20 + F.pmod(F.col("r.l_suppkey"), F.lit(50))).alias("x1"),
+                (x0 + 20 + F.pmod(F.col("l_suppkey"), F.lit(50))).alias("x1"),
                 (y0 + 30).alias("y1"),
-                F.col("r.l_returnflag").alias("label"),
-                (1 - F.col("r.l_discount")).alias("score"),
+                F.col("l_returnflag").alias("label"),
+                (1 - F.col("l_discount")).alias("score"),
             )
         )
 
@@ -135,14 +133,12 @@ class Tables:
             F.col("conv_id").alias("video_uid"),
             F.col("turn").alias("clip_index"),
             F.col("role").alias("verb"),
-            F.concat(
-                F.lit("#C C "), F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
-            ).alias("narration_text"),
+            F.concat(F.lit("#C C "), "text").alias("narration_text"),
         )
 
     def texts(self) -> DataFrame:
-        """(id, pred, ref): a document and the next document of its source, both at most 2000 characters."""
-        docs = self.raw("documents").where("n_chars <= 2000").select("doc_id", "source", "text")
+        """(id, pred, ref): a document and the next document of its source."""
+        docs = self.raw("documents").select("doc_id", "source", "text")
         # the successor id comes from a narrow scan; the long text is joined only afterwards
         from spanlake.plans.scan import ordered_scan
 
@@ -174,15 +170,14 @@ CTES: dict[str, str] = {
     "frame_scores": """SELECT clip_id AS video_id, t, cls AS label, abs(embedding[cls + 1]::DOUBLE) AS score,
         CASE WHEN label = cls THEN 1 ELSE 0 END AS target
         FROM frames, (SELECT unnest(range(10))::INT AS cls)""",
-    "boxes": """SELECT l_orderkey AS frame_id, l_linenumber AS det_id, 10 * l_quantity AS x0,
+    "boxes": """SELECT l_orderkey AS frame_id, l_linenumber + 8 * (row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+              ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_discount) - 1) AS det_id, 10 * l_quantity AS x0,
         (l_partkey % 500)::DOUBLE AS y0, 10 * l_quantity + 20 + l_suppkey % 50 AS x1,
-        (l_partkey % 500)::DOUBLE + 30 AS y1, l_returnflag AS label, 1 - l_discount AS score
-        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
-              ORDER BY l_partkey, l_suppkey, l_quantity, l_returnflag, l_discount) AS rn FROM lineitem) WHERE rn = 1""",
+        (l_partkey % 500)::DOUBLE + 30 AS y1, l_returnflag AS label, 1 - l_discount AS score FROM lineitem""",
     "narrations": """SELECT conv_id AS video_uid, turn AS clip_index, role AS verb,
-        '#C C ' || array_to_string(string_split(text, ' ')[1:8], ' ') AS narration_text FROM conversations""",
+        '#C C ' || text AS narration_text FROM conversations""",
     "texts": """SELECT id, pred, ref FROM (SELECT doc_id AS id, text AS pred,
-        lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS ref FROM documents WHERE n_chars <= 2000)
+        lead(text) OVER (PARTITION BY source ORDER BY doc_id) AS ref FROM documents)
         WHERE ref IS NOT NULL""",
 }
 
