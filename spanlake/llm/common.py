@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.session import scratch_path
+
 #: What splits words: the ASCII white space, as a Java character class.
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -13,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write rows to the shared folder and read them again: cuts the lineage and survives lost executors.
+
+    Unlike a checkpoint, which hands on the estimate of the plan that it cut, the files have a true size; in loops of joins
+    those estimates would multiply without bound.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def words(text: Column) -> Column:
     """Words between ASCII white space; null or blank text gives an empty array."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

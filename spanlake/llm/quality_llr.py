@@ -23,8 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import keep_rows, text_key, words
-from spanlake.session import cut
+from spanlake.llm.common import keep_rows, stored, text_key, words
 
 BUCKETS = 1 << 13
 MIN_WORDS = 50
@@ -55,7 +54,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """(bucket, raw, trusted) over all n-grams of all documents."""
-    hashed = grams(docs.select("doc_id", "text").join(trusted, "doc_id", "left"), ["held"])
+    # both sides grow with the data, so they are shuffled at any size
+    hashed = grams(docs.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left"), ["held"])
     every = hashed.select("held", F.explode(F.concat(F.transform("h", bucket), pair_buckets(F.col("h")))).alias("bucket"))
     return every.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if(~F.col("held")).alias("trusted"))
 
@@ -146,7 +146,7 @@ def judge(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999) -> D
     """Base columns, score and kept of every document."""
     trusted = trusted_ids(labels)
     found = ratios(counts(docs, trusted))
-    scored = cut(measured(docs, found))
+    scored = stored(measured(docs, found))
     bound = score_bound(scored, trusted, trusted_share) if found else -math.inf
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(bound)))
 
