@@ -147,7 +147,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, max_false_rejecti
     bounds = {r["lang"]: min(1.0, 4 * per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
     bound = F.lit(None).cast("long")
     for lang, part in bounds.items():
-        bound = F.when(F.col("lang") == lang, F.lit(int(part * (2**63 - 1)))).otherwise(bound)
+        bound = F.when(F.col("lang") == lang, F.lit(min(int(part * 2**63), 2**63 - 1))).otherwise(bound)
     by_language = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
     few = rows.select("doc_id", "text", "lang", order.alias("_o")).where(F.col("_o") <= bound)
     drawn = few.withColumn("_n", F.row_number().over(by_language)).where(F.col("_n") <= per_language)
