@@ -103,11 +103,11 @@ CLAUSES = r"""
 mit :: permission is hereby granted :: permission is hereby granted, free of charge, to any person obtaining a copy
 isc :: permission to use, copy, modify :: permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose
 bsd :: redistribution and use in source :: redistribution and use in source and binary forms, with or without modification
-gpl :: free software; you can redistribute :: this program is free software[:;] you can redistribute it and/or modify
-apache :: in compliance with the license :: you may not use this file except in compliance with the licen[sc]e
+gpl :: you can redistribute it and/or modify :: this program is free software[:;] you can redistribute it and/or modify
+apache :: except in compliance with the licen :: you may not use this file except in compliance with the licen[sc]e
 zlib :: provided 'as-is' :: this software is provided 'as-is', without any express or implied warranty
-proprietary :: without permission :: (?:no part of|may not be) [^.\n]{0,120}(?:reproduced|copied|distributed)[^.\n]{0,80}without (?:prior |written )*permission
-copyleft :: share alike :: (?:attribution[ -])?share[ -]?alike
+proprietary :: permission :: (?:no part of|may not be) [^.\n]{0,120}(?:reproduced|copied|distributed)[^.\n]{0,80}without (?:prior |written )*permission
+copyleft :: alike :: (?:attribution[ -])?share[ -]?alike
 """
 
 #: A text without any of these holds no licence that the rules know.
