@@ -89,16 +89,19 @@ def clip_feature_windows(clips: DataFrame, clip_size: int = 32, stride: int = 16
 
 
 def slice_clip_features(windows: DataFrame, features: DataFrame, video: str = "video_uid") -> DataFrame:
-    """Feature rows (clip, t) with si <= t < ei; clips whose range passes the feature length give one error row."""
+    """Feature rows (clip, t) with si <= t < ei; clips whose range passes the feature length give one error row.
+
+    A clip of a video without any feature gives an error row, too.
+    """
     n = features.groupBy(video).agg(F.count("*").alias("n_feats"))
-    w = windows.join(n, video)
+    w = windows.join(n, video, "left")
     good = w.where("ei <= n_feats").withColumn("_t", F.explode(F.when(F.col("ei") > F.col("si"), F.sequence("si", F.col("ei") - 1))))
     rows = good.join(features.withColumnRenamed("t", "_t"), [video, "_t"]).select(
         "clip_uid", (F.col("_t") - F.col("si")).alias("t"), "_t", F.lit(None).cast("string").alias("error")
     )
-    bad = w.where("ei > n_feats").select(
-        "clip_uid", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("_t"),
-        F.lit("end index exceeds feature length").alias("error"),
+    error = F.when(F.col("n_feats").isNull(), "no features").otherwise("end index exceeds feature length")
+    bad = w.where("n_feats is null or ei > n_feats").select(
+        "clip_uid", F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("_t"), error.alias("error")
     )
     return rows.unionByName(bad)
 

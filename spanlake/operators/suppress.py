@@ -192,6 +192,10 @@ def suppress(
         df = df.where(F.col("score") > min_score) if min_score > 0 else df
     else:
         df = df.where(F.col("score") >= min_score)
+    if method == HARD and threshold <= 0 and not strict:
+        # every row is hit, near or far: the best one of each group stays, whatever the group's size
+        best = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(ident))
+        return df.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
     fold = _fold(dims, ident, method, threshold, strict, sigma, min_score)
     # an explicit width keeps the fold parallel where a small shuffle would be merged into one task
     width = shuffle_width(df.sparkSession)

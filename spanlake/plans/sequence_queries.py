@@ -91,7 +91,8 @@ def _(t):
     f"""WITH {WIN_SQL}, n AS (SELECT clip_id AS video_uid, count(*) AS nf FROM frames GROUP BY 1)
     SELECT clip_uid, f.t - si AS t, NULL AS error FROM win JOIN n USING (video_uid) JOIN frames f
         ON f.clip_id = win.video_uid AND f.t >= si AND f.t < ei WHERE ei <= nf
-    UNION ALL SELECT clip_uid, NULL, 'end index exceeds feature length' FROM win JOIN n USING (video_uid) WHERE ei > nf""",
+    UNION ALL SELECT clip_uid, NULL, CASE WHEN nf IS NULL THEN 'no features' ELSE 'end index exceeds feature length' END
+    FROM win LEFT JOIN n USING (video_uid) WHERE nf IS NULL OR ei > nf""",
     ["frames"],
 )
 def _(t):

@@ -273,7 +273,8 @@ def parse_mot(lines: DataFrame, mode: str = "result", labelled: bool = True) ->
     """(frame, id, x, y, w, h, score) from comma-separated tracks; lines with fewer than 7 fields or frame < 1 drop.
 
     gt keeps marked rows of valid classes, ignore keeps rows of ignored classes or negative
-    visibility, result keeps every row with its score. labelled says whether class columns exist.
+    visibility, result keeps every row with its score. labelled says whether mark, class and visibility have columns of
+    their own; without, the seventh column is the class of an ignored row and gt keeps every row.
     """
     f = F.split("value", ",")
     d = lines.select(f.alias("f")).where(F.size("f") >= 7).where(F.col("f")[0].cast("int") >= 1)
@@ -284,7 +285,7 @@ def parse_mot(lines: DataFrame, mode: str = "result", labelled: bool = True) ->
             d = d.where((F.col("f")[6].cast("double").cast("int") != 0) & label.isin(*VALID_CLASSES))
     elif mode == "ignore":
         if not labelled:
-            d = d.where(F.lit(False))
+            d = d.where(F.col("f")[6].cast("double").cast("int").isin(*IGNORED_CLASSES))
         else:
             d = d.where(label.isin(*IGNORED_CLASSES) | (F.get("f", F.lit(8)).cast("double") < 0))
     elif mode == "result":

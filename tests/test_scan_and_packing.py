@@ -132,3 +132,12 @@ def test_narration_window_examples(spark):
         df = spark.createDataFrame([(float(t), duration) for t in ts], "t double, duration double")
         got = [(r.w_start, r.w_end) for r in Q.narration_windows(df).orderBy("t").collect()]
         assert got == want
+
+
+def test_clip_of_a_video_without_features_gives_an_error_row(spark):
+    from spanlake.operators import sequence as Q
+
+    windows = spark.createDataFrame([("c", "v", 0, 2), ("d", "w", 0, 1)], "clip_uid string, video_uid string, si long, ei long")
+    feats = spark.createDataFrame([("v", 0), ("v", 1)], "video_uid string, t long")
+    got = sorted((r.clip_uid, r.t, r.error) for r in Q.slice_clip_features(windows, feats).collect())
+    assert got == [("c", 0, None), ("c", 1, None), ("d", None, "no features")]

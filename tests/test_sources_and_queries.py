@@ -122,3 +122,8 @@ def test_query_equals_sql(spark, sf, name):
     want = sorted((tuple(r[i] for i in pos) for r in res.fetchall()), key=key)
     assert len(got) == len(want)
     assert all(same(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
+
+
+def test_ignored_rows_of_the_older_track_format(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("1,7,1,2,3,4,1,-1,-1,-1\n2,8,1,2,3,4,8,-1,-1,-1\n3,9,1,2,3,4,12\n")
+    assert sorted(r.id for r in R.read_mot(spark, str(tmp_path / "m.txt"), "ignore", False).collect()) == [8, 9]

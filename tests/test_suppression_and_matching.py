@@ -148,3 +148,10 @@ def test_nms_defaults_and_voting(preds):
     kept = N.nms(df, iou=0.3, multiclass=False, voting=0.75, max_seg=10).cache()
     assert kept.count() == 10
     assert kept.where(F.col("t_end") <= F.col("t_start")).count() == 0
+
+
+def test_threshold_zero_keeps_the_best_row_for_any_group_size(spark):
+    rows = [(1, 1, "a", 0.0, 1.0, 0.9), (1, 2, "a", 5.0, 6.0, 0.9), (1, 3, "a", 9.0, 9.5, 0.7)]
+    df = spark.createDataFrame(rows, "clip_id int, pred_id long, label string, t_start double, t_end double, score double")
+    for group_rows in (1, 100):
+        assert [r.pred_id for r in N.suppress(df, ["clip_id"], threshold=0.0, group_rows=group_rows).collect()] == [1]
