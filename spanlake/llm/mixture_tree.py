@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import keep_rows, text_key, words
-from spanlake.session import cut
+from spanlake.llm.common import keep_rows, stored, text_key, words
 
 LEVELS = ["domain", "lang", "source"]
 DOMAINS = ["web", "books", "news", "forum"]
@@ -104,8 +103,8 @@ def mix(
 
     The budget is share (as a fraction) of all tokens.
     """
-    rows = cut(measured(docs))
-    leaves = cut(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("cap", F.col("size") * max_epochs))
+    rows = stored(measured(docs))
+    leaves = stored(rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("cap", F.col("size") * max_epochs))
     whole = leaves.agg(F.sum("size").alias("size"), F.sum("n").alias("n")).first()
     budget = (whole["size"] or 0) * share[0] // share[1]
     digits = 1
@@ -113,10 +112,10 @@ def mix(
         digits += 1
     given = shared_out(leaves, budget, weights or WEIGHTS)
     passes = F.when(F.col("size") > 0, quotient(F.col("budget"), F.col("size"))).otherwise(F.lit(0)).cast("int")
-    plan = cut(given.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("size") * F.col("passes")).drop("cap", "n", "size"))
+    plan = stored(given.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("size") * F.col("passes")).drop("cap", "n", "size"))
 
     placed = rows.join(plan, LEVELS).withColumn("at", place(seed, F.col("passes"), F.col("doc_id")))
-    placed = cut(placed.withColumn("bucket", F.substring("at", 1, digits)))
+    placed = stored(placed.withColumn("bucket", F.substring("at", 1, digits)))
     sums = placed.groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("t"))
     so_far = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     ends = sums.withColumn("end", F.sum("t").over(so_far)).select(*LEVELS, "bucket", "end", (F.col("end") - F.col("t")).alias("begin"))

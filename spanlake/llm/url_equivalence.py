@@ -22,9 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import ascii_lower
+from spanlake.llm.common import ascii_lower, stored
 from spanlake.llm.components import components
-from spanlake.session import cut
 
 #: (verdict, host and path)
 RULES = [
@@ -102,14 +101,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataF
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     known = rows.where(F.col("page_id").isNotNull())
     named = known.select("page_id", F.explode(F.concat(F.array("url"), references(F.col("html"), F.col("url")))).alias("u"))
-    seen = cut(
+    seen = stored(
         named.select("page_id", canonical(F.col("u")).alias("key"), decide(rules, host(F.col("u")), path(F.col("u")))["verdict"].alias("v"))
         .where(F.col("key").isNotNull())
         .distinct()
     )
     standing = seen.groupBy("key").agg(F.min("page_id").alias("v"), F.max("page_id").alias("_last")).where(F.col("v") < F.col("_last"))
     edges = seen.select(F.col("page_id").alias("u"), "key").join(standing.select("key", "v"), "key").select("u", "v")
-    member = components(edges)
+    member = components(edges, local=False)
     blocked = seen.where(F.col("v") == "block").select("page_id").distinct()
     # a page without aliases is its own component
     own = blocked.join(member.toDF("page_id", "c"), "page_id", "left").select(F.coalesce("c", "page_id").alias("c")).distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.session import cut
+from spanlake.llm.common import stored
 
 FACTOR = 1.0
 SHARD_ROWS = 8192
@@ -193,7 +193,7 @@ def nearest(
         d = distances(np.stack(v.to_numpy()), pivots) if len(v) else np.zeros((0, len(pivots)))
         return pd.DataFrame({"cell": d.argmin(1).astype("int32"), "d": d.min(1)})
 
-    celled = cut(rows.withColumn("c", cell_of("v")).select("vec_id", "v", "c.cell", "c.d"))
+    celled = stored(rows.withColumn("c", cell_of("v")).select("vec_id", "v", "c.cell", "c.d"))
     n_cells = len(pivots)
     cells = Cells(pivots, np.full(n_cells, -np.inf), np.zeros(n_cells, np.int64))
     n_queries = 0
@@ -214,7 +214,7 @@ def nearest(
         return df.select("query_id", "q", "reach", "cell", own.alias("_s")).select("query_id", "q", "reach", (F.col("cell") * F.lit(1 << 32) + F.col("_s")).alias("shard"))
 
     home = every_shard(queries.withColumn("reach", F.lit(float("inf"))))
-    found = cut(best(searched(index, home, blocks, k, factor), k))
+    found = stored(best(searched(index, home, blocks, k, factor), k))
     if n_cells > 1:
         reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("reach"))
         told = queries.join(reached, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
