@@ -2,15 +2,19 @@
 
 import collections
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
+from spanlake.functions import vectors as V
 from spanlake.operators import corpus as C
 from spanlake.operators import embeddings as E
 from spanlake.operators import sampling as S
+from spanlake.operators import sequence as Q
 from spanlake.operators import text_metrics as M
 
 
@@ -181,3 +185,39 @@ def test_constraints_are_in_order_and_apart(spark):
         flat = [int(w[1:]) for c in r.constraints for w in c.split()] if r.id != 99 else []
         assert flat == sorted(set(flat))
         assert r.id != 99 or r.constraints == []
+
+
+def test_edit_distance_equals_the_table_of_prefixes():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc é") for _ in range(rng.randint(0, 90))) for _ in range(240)]
+
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    a, b = texts[::2], texts[1::2]
+    assert M.edit_distance.func(pd.Series(a), pd.Series(b)).tolist() == [slow(x, y) for x, y in zip(a, b)]
+
+
+def test_array_functions_stay_linear(spark):
+    def seconds(make):
+        make().write.format("noop").mode("overwrite").save()
+        t0 = time.perf_counter()
+        make().write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t0
+
+    def soft(n):
+        a = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i + F.col("id")).cast("double") / n)
+        return spark.range(200).select(V.softmax(a).alias("s"))
+
+    def masked(n):
+        tokens = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i.cast("string"))
+        return Q.mask_tokens(spark.range(20).select("id", tokens.alias("tokens")), "m", 0.2, 1, 0.0, 0.0, ident="id", tokens="tokens")
+
+    for make, n in ((soft, 500), (masked, 1000)):
+        assert seconds(lambda: make(4 * n)) < 1 + 8 * seconds(lambda: make(n))
