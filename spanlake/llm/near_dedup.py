@@ -2,13 +2,13 @@
 
 A document is the set of its distinct word shingles (five words, lower-cased A-Z). Documents with one and the same set form
 a class, and one document stands for it. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band
-are candidates. A candidate pair's signatures are compared batch by batch: after each batch the pair is dropped if the
-posterior probability that its similarity reaches the threshold, given the agreements so far and a flat prior, is below
-MISS. Survivors are compared on their full sets, and only those links count. At similarity 0.75 a pair shares no band with
+are candidates. A candidate pair is compared batch by batch: first set sizes and one bit of each minimum, as the join of a
+band's members already does, then the minima themselves. After each batch the pair is dropped if the posterior probability
+that its similarity reaches the threshold, given the agreements so far and a flat prior, is below MISS. Survivors are compared on their full sets, and only those links count. At similarity 0.75 a pair shares no band with
 probability (1 - 0.75 ** 4) ** 32 = 5e-6.
 
 A band shared by very many documents does not give all their pairs. In a few rounds each member is compared with one pivot
-of the band, and members that are connected already are not compared again. What is still apart is compared exhaustively,
+of the band, first the one whose bands are fullest, and members that are connected already are not compared again. What is still apart is compared exhaustively,
 but only the members outside a band's largest component against the rest: if a band's documents are alike, that is few
 pairs; if they are not, every pair still gets its comparison, so no link is lost.
 
@@ -27,20 +27,19 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import keep_rows, text_key
+from spanlake.llm.common import keep_rows, stored, text_key
 from spanlake.llm.components import components
-from spanlake.session import cut
 
 WORDS = 5
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-5
 PIVOT_ROUNDS = 3
-#: Members times this is what a band may cost in the exhaustive pass before another pivot round is tried.
-FEW = 16
+#: The exhaustive pass may compare this many pairs per band member; while it would be more, another pivot round is tried.
+FEW = 8
 
 _draw = np.random.Generator(np.random.PCG64(20))
 BYTE = _draw.integers(0, 1 << 64, 256, np.uint64)
@@ -110,21 +109,38 @@ def least_agreements(threshold: float, miss: float) -> list[int]:
     return found
 
 
+def most_bits_apart(threshold: float, miss: float) -> int:
+    """Most differing bits d of BANDS x ROWS with P(similarity >= threshold | d) >= miss: bits agree with (1 + similarity) / 2."""
+    n, p = BANDS * ROWS, np.linspace(0.5, 1, 20_001)[:-1]
+    for d in range(n):
+        density = np.exp((n - d) * np.log(p) + d * np.log(1 - p))
+        if density[p >= (1 + threshold) / 2].sum() < miss * density.sum():
+            return d - 1
+    return n
+
+
+def bits(minima: np.ndarray) -> np.ndarray:
+    """One mixed bit of each minimum, packed into two longs."""
+    return np.packbits(((minima * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)).view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, _text, n, fp (fingerprint of the set, null if empty) and minima of every row."""
-    schema = "doc_id long, _text long, n long, fp binary, minima binary"
+    """doc_id, _text, n, fp (fingerprint of the set, null if empty), minima and their bits (s0, s1) of every row."""
+    schema = "doc_id long, _text long, n long, fp binary, minima binary, s0 long, s1 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, fp, minima = [], [], []
-            for t in b["text"]:
+            n, fp, minima, sketch = [], [], [], np.zeros((b.num_rows, 2), np.int64)
+            for i, t in enumerate(b["text"]):
                 found = shingles(t.as_py())
+                least = signature(found)
                 n.append(len(found))
                 fp.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                minima.append(signature(found).tobytes() if len(found) else None)
+                minima.append(least.tobytes() if len(found) else None)
+                sketch[i] = bits(least)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["_text"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(minima, pa.binary())],
-                names=["doc_id", "_text", "n", "fp", "minima"],
+                [b["doc_id"], b["_text"], pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(minima, pa.binary()), *map(pa.array, sketch.T.copy())],
+                names=["doc_id", "_text", "n", "fp", "minima", "s0", "s1"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_text"), "text")
@@ -183,58 +199,74 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "s"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("_text"), "text")
-    found = rows.join(wanted, ["id", "_text"], "left_semi").select("id", "text")
-    return found.mapInArrow(run, "id long, s array<long>")
+    same = rows.join(wanted, ["id", "_text"], "left_semi").groupBy("id", "_text").agg(F.first("text").alias("text"))
+    return same.select("id", "text").mapInArrow(run, "id long, s array<long>")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(id, component) of the classes that are linked with another one."""
     keys = banded(classes)
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    members = cut(keys.join(shared, "key"))
-    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
-    sets = cut(full_sets(docs, wanted.select("id", "_text")).groupBy("id").agg(F.first("s").alias("s")))
-    found, labels = None, None
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = stored(keys.join(shared, "key"))
+    # the text that others were copied from shares its bands with most of them
+    centre = members.groupBy("id").agg(F.sum("m").alias("w"))
+    members = members.select("key", "id")
+    own = stored(classes.select("id", "_text", "n", "s0", "s1").join(centre, "id"))
+    sets = stored(full_sets(docs, own.select("id", "_text")))
+    apart_at_most = most_bits_apart(percent / 100, MISS)
+
+    def alike(a: str, b: str) -> Column:
+        """Sizes and bits of two members do not rule the pair out."""
+        x, y = (lambda f: F.col(f"{a}.{f}")), (lambda f: F.col(f"{b}.{f}"))
+        sizes = 100 * F.least(x("n"), y("n")) >= percent * F.greatest(x("n"), y("n"))
+        differing = F.bit_count(x("s0").bitwiseXOR(y("s0"))) + F.bit_count(x("s1").bitwiseXOR(y("s1")))
+        return sizes & (differing <= apart_at_most)
+
+    own = own.drop("_text")
+    labels = None
     for n in range(PIVOT_ROUNDS + 1):
         if labels is None:
-            apart = members.withColumn("c", F.col("id"))
-            last = False
+            apart, last = members.join(own.withColumn("c", F.col("id")), "id"), False
         else:
-            apart = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-            sizes = apart.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
+            known = own.join(labels, "id", "left").select("id", "n", "s0", "s1", "w", F.coalesce("component", "id").alias("c"))
+            placed = members.join(known, "id")
+            sizes = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
             by_band = sizes.groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("big"))
             open_bands = by_band.where(F.col("big.m") < F.col("m")).select("key", "m", F.col("big.m").alias("b"), F.col("big.c").alias("big"))
-            apart = cut(apart.join(open_bands, "key"))
-            dear = apart.where((F.col("m") - F.col("b")) > FEW)
-            last = n == PIVOT_ROUNDS or dear.isEmpty()
+            apart = stored(placed.join(open_bands, "key"))
+            cost = apart.agg(F.sum(F.col("m") - F.col("b")).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+            if not cost["rows"]:
+                break
+            last = n == PIVOT_ROUNDS or cost["pairs"] <= FEW * cost["rows"]
+        one = F.struct("id", "n", "s0", "s1", "c")
         if last:
-            small = apart.where(F.col("c") != F.col("big")).select("key", F.col("id").alias("u"), F.col("c").alias("cu"), "big")
-            rest = apart.select("key", F.col("id").alias("v"), F.col("c").alias("cv"))
-            twice = (F.col("cv") == F.col("big")) | (F.col("u") < F.col("v"))  # two small members meet once
-            pairs = small.join(rest, "key").where((F.col("cu") != F.col("cv")) & twice)
+            small = apart.where(F.col("c") != F.col("big")).select("key", one.alias("x"), "big")
+            rest = apart.select("key", one.alias("y"))
+            twice = (F.col("y.c") == F.col("big")) | (F.col("x.id") < F.col("y.id"))  # two small members meet once
+            both = small.join(rest, "key").where((F.col("x.c") != F.col("y.c")) & twice & alike("x", "y"))
         else:
-            rank = F.struct(F.xxhash64(F.lit(n), "id").alias("r"), F.col("id"), F.col("c"))
-            pivots = apart.groupBy("key").agg(F.min(rank).alias("p"))
-            pairs = apart.join(pivots, "key").where(F.col("p.c") != F.col("c")).select(F.col("id").alias("u"), F.col("p.id").alias("v"))
+            first = F.struct((-F.col("w")).alias("w"), F.col("id")) if n == 0 else F.struct(F.xxhash64(F.lit(n), "id").alias("w"), F.col("id"))
+            pivots = apart.groupBy("key").agg(F.min(F.struct(first.alias("r"), one.alias("y"))).alias("p"))
+            both = apart.select("key", one.alias("x")).join(pivots.select("key", "p.y"), "key").where((F.col("x.c") != F.col("y.c")) & alike("x", "y"))
+        pairs = both.select(F.col("x.id").alias("u"), F.col("y.id").alias("v"))
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        new = cut(linked(pairs, classes, sets, percent))
-        found = new if found is None else found.union(new)
-        labels = components(found)
+        new = linked(pairs, classes, sets, percent)
+        if labels is not None:  # known components as stars
+            new = new.union(labels.select(F.col("component").alias("u"), F.col("id").alias("v")))
+        labels = stored(components(new))
         if last:
             break
-        labels = cut(labels)
     return labels
 
 
 def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and _text of every row of docs."""
-    rows = cut(signed(docs))
+    rows = stored(signed(docs))
     real = rows.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
-    one = real.groupBy("fp").agg(F.min(F.struct("doc_id", "_text")).alias("k"))
-    first = real.join(one.select("fp", "k.doc_id", "k._text"), ["fp", "doc_id", "_text"], "left_semi")
-    # rows of one class have one signature, so any row of the standing document serves
-    of_id = first.groupBy("doc_id").agg(F.min(F.struct("fp", "_text", "minima")).alias("k"))
-    classes = cut(of_id.select(F.col("doc_id").alias("id"), "k._text", "k.fp", "k.minima"))
+    # rows of one class have one signature; the row of the smallest doc_id stands for them
+    one = real.groupBy("fp").agg(F.min(F.struct("doc_id", "_text", "minima", "n", "s0", "s1")).alias("k")).select("fp", "k.*")
+    of_id = one.groupBy("doc_id").agg(F.min(F.struct("fp", "_text", "minima", "n", "s0", "s1")).alias("k"))
+    classes = stored(of_id.select(F.col("doc_id").alias("id"), "k.*"))
     found = links(docs, classes, percent)
     of_class = classes.select("fp", "id").join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("c"))
     told = rows.select("doc_id", "_text", "n", "fp").join(of_class, "fp", "left")
