@@ -221,3 +221,21 @@ def test_array_functions_stay_linear(spark):
 
     for make, n in ((soft, 500), (masked, 1000)):
         assert seconds(lambda: make(4 * n)) < 1 + 8 * seconds(lambda: make(n))
+
+
+def test_chrf_equals_counted_grams(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab cé\n\U0001f600") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    pairs = [(i, a, b) for i, (a, b) in enumerate(zip(texts[::2], texts[1::2]))] + [(99, None, "abc")]
+    p, r = [], []
+    for k in range(1, 7):
+        m = n_p = n_r = 0
+        for _, a, b in pairs:
+            x, y = ("".join(s for s in (t or "") if s not in " \n") for t in (a, b))
+            g, h = (collections.Counter(z[i : i + k] for i in range(len(z) - k + 1)) for z in (x, y))
+            m, n_p, n_r = m + sum((g & h).values()), n_p + sum(g.values()), n_r + sum(h.values())
+        p.append(m / n_p)
+        r.append(m / n_r)
+    p, r = sum(p) / 6, sum(r) / 6
+    got = M.chrf(spark.createDataFrame(pairs, "id long, pred string, ref string")).first().chrf
+    assert abs(got - 100 * 5 * p * r / (4 * p + r)) < 1e-9
