@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -176,6 +176,7 @@ def multi_ref_bleu(hyps: DataFrame, refs: DataFrame, n: int = 4, ident: str = "i
     first): refs_covered is the mean number of references taken per source, best_ref_bleu the corpus
     BLEU against them. loo_bleu is the mean over held-out references of the multi-reference corpus
     BLEU against the others (clipping by the largest count, closest length, ties to the shorter).
+    Hypotheses of a source without references take no part.
     """
     h = ngram_rows(hyps, [ident, hyp], _words(F.col(text)), n).groupBy(ident, hyp, "order", "gram").agg(F.count("*").alias("c"))
     r = ngram_rows(refs, [ident, ref], _words(F.col(text)), n).groupBy(ident, ref, "order", "gram").agg(F.count("*").alias("rc"))
@@ -195,15 +196,30 @@ def multi_ref_bleu(hyps: DataFrame, refs: DataFrame, n: int = 4, ident: str = "i
     covered = best.groupBy(ident).agg(F.countDistinct(ref).alias("k")).agg(F.avg("k").alias("refs_covered"))
     sums = m.join(best, [ident, hyp, ref], "left_semi").agg(*_order_sums(n, "match", "total", "rl"))
     best_bleu = sums.select(bleu_from_sums(n).alias("best_ref_bleu"))
-    # held-out references: r2 repeats each reference for every other reference of the source
-    others = rl.select(ident, F.col(ref).alias("held")).join(rl.select(ident, ref, "rl"), ident).where(F.col("held") != F.col(ref))
-    clip = others.join(r, [ident, ref]).groupBy(ident, "held", "order", "gram").agg(F.max("rc").alias("mc"))
-    loo_m = h.join(clip, [ident, "order", "gram"]).groupBy(ident, hyp, "held", "order").agg(F.sum(F.least("c", "mc")).alias("match"))
-    near = others.join(hl, ident).groupBy(ident, hyp, "held").agg(
-        F.min(F.struct(F.abs(F.col("rl") - F.col("hl")).alias("d"), F.col("rl").alias("rl"))).alias("x"), F.max("hl").alias("hl")
-    ).select(ident, hyp, "held", F.col("x.rl").alias("rl"), "hl")
-    full = near.withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(loo_m, [ident, hyp, "held", "order"], "left")
-    full = full.select("held", "order", "rl", F.coalesce("match", F.lit(0)).alias("match"), total.alias("total"))
+    # without one reference the largest count of a gram falls to the second largest, if that reference holds the largest
+    by_count = Window.partitionBy(ident, "order", "gram").orderBy(F.col("rc").desc(), ref)
+    ranked = r.withColumn("rn", F.row_number().over(by_count)).where("rn <= 2")
+    clip = ranked.groupBy(ident, "order", "gram").agg(
+        F.max(F.when(F.col("rn") == 1, F.col("rc"))).alias("m1"), F.max(F.when(F.col("rn") == 1, F.col(ref))).alias("held"),
+        F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("rc"))), F.lit(0)).alias("m2"),
+    )
+    cut = h.join(clip, [ident, "order", "gram"]).groupBy(ident, hyp, "held", "order").agg(
+        F.sum(F.least("c", "m1")).alias("match"), F.sum(F.least("c", "m1") - F.least("c", "m2")).alias("less")
+    )
+    every = cut.groupBy(ident, hyp, "order").agg(F.sum("match").alias("match"))
+    # likewise the closest length
+    by_length = Window.partitionBy(ident, hyp).orderBy(F.abs(F.col("rl") - F.col("hl")), "rl", ref)
+    lengths = hl.join(rl, ident).withColumn("rn", F.row_number().over(by_length)).where("rn <= 2").groupBy(ident, hyp).agg(
+        F.max(F.when(F.col("rn") == 1, F.col(ref))).alias("r1"), F.max(F.when(F.col("rn") == 1, F.col("rl"))).alias("rl1"),
+        F.max(F.when(F.col("rn") == 2, F.col("rl"))).alias("rl2"), F.max("hl").alias("hl"),
+    )
+    near = lengths.join(rl.select(ident, F.col(ref).alias("held")), ident).select(
+        ident, hyp, "held", F.when(F.col("held") == F.col("r1"), F.col("rl2")).otherwise(F.col("rl1")).alias("rl"), "hl"
+    ).where("rl IS NOT NULL")
+    full = near.withColumn("order", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(every, [ident, hyp, "order"], "left")
+    full = full.join(cut.select(ident, hyp, "held", "order", "less"), [ident, hyp, "held", "order"], "left")
+    full = full.withColumn("match", F.coalesce("match", F.lit(0)) - F.coalesce("less", F.lit(0)))
+    full = full.select("held", "order", "rl", "match", total.alias("total"))
     loo = full.groupBy("held").agg(*_order_sums(n, "match", "total", "rl")).select(bleu_from_sums(n).alias("b")).agg(F.avg("b").alias("loo_bleu"))
     return covered.join(F.broadcast(best_bleu)).join(F.broadcast(loo))  # three one-row tables
 

@@ -239,3 +239,56 @@ def test_chrf_equals_counted_grams(spark):
     p, r = sum(p) / 6, sum(r) / 6
     got = M.chrf(spark.createDataFrame(pairs, "id long, pred string, ref string")).first().chrf
     assert abs(got - 100 * 5 * p * r / (4 * p + r)) < 1e-9
+
+
+def _brute_multi_ref(turns):
+    """refs_covered, best_ref_bleu and loo_bleu of even turns against odd ones, pair by pair."""
+    from collections import Counter
+    from math import exp, log
+
+    grams = lambda w, o: Counter(tuple(w[i : i + o]) for i in range(len(w) - o + 1))
+    clipped = lambda a, b: sum(min(c, b[g]) for g, c in a.items())
+
+    def corpus(rows):  # (hypothesis, clip per order, reference length)
+        m = [sum(clipped(grams(h, o), c[o - 1]) for h, c, _ in rows) for o in range(1, 5)]
+        t = [sum(max(len(h) - o + 1, 0) for h, _, _ in rows) for o in range(1, 5)]
+        return 0.0 if min(m) == 0 else 100 * exp(sum(log(x / y) for x, y in zip(m, t)) / 4) * min(1, exp(1 - sum(n for _, _, n in rows) / t[0]))
+
+    def sentence(h, r):
+        s = 0.0
+        for o in range(1, 5):
+            m, t = clipped(grams(h, o), grams(r, o)), max(len(h) - o + 1, 0)
+            s += log((m + 1) / (t + 1)) if o > 1 else log((m or 0.5) / t)
+        return exp(s / 4) * min(1, exp(1 - len(r) / len(h)))
+
+    covered, best, held = [], [], {}
+    for conv in turns.values():
+        refs = {i: w for i, w in conv.items() if i % 2}
+        taken = set()
+        for h in (w for i, w in conv.items() if i % 2 == 0 and refs):
+            r = max(refs, key=lambda r: (round(sentence(h, refs[r]), 9), -r))
+            taken.add(r)
+            best.append((h, [grams(refs[r], o) for o in range(1, 5)], len(refs[r])))
+            for out in refs:
+                rest = [w for i, w in refs.items() if i != out]
+                if rest:
+                    clip = [Counter() for _ in range(4)]
+                    for w in rest:
+                        for o in range(4):
+                            clip[o] |= grams(w, o + 1)
+                    held.setdefault(out, []).append((h, clip, min((abs(len(w) - len(h)), len(w)) for w in rest)[1]))
+        covered += [len(taken)] if refs else []
+    return sum(covered) / len(covered), corpus(best), sum(map(corpus, held.values())) / len(held)
+
+
+def test_multi_ref_bleu_reads_every_turn(spark, tmp_path):
+    import random
+
+    import __spark_entry__ as entry
+
+    rnd = random.Random(3)
+    turns = {c: {i: [rnd.choice("abcd") for _ in range(rnd.randint(4, 14))] for i in range(n)} for c, n in enumerate((1, 2, 3, 5, 9, 12))}
+    rows = [(c, i, "user", " ".join(w)) for c, conv in turns.items() for i, w in conv.items()]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = entry.queries()["multi_ref_bleu"](spark, str(tmp_path)).first()
+    assert tuple(got[c] for c in ("refs_covered", "best_ref_bleu", "loo_bleu")) == pytest.approx(_brute_multi_ref(turns), abs=2e-6)
