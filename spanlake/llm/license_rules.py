@@ -2,8 +2,9 @@
 
 A few thousand licences speak in set phrases, so the rules are made from a plain list of names: for each licence its
 identifier tag, its grant ("licensed under the X"), its title and its address, some 300 patterns in all. A text reaches the
-patterns only if it holds one of the STEMS, and each pattern only if the text holds the rule's own keyword. The hits of a
-document form intervals; rules have priorities (tag before grant before address before title), and a hit that lies inside
+patterns only if it holds one of the STEMS, which are taken from the rules, and each pattern only if the text holds the
+rule's own keyword. Before that, line breaks with their comment marks and runs of blanks become one blank, as the patterns
+have it. The hits of a document form intervals; rules have priorities (tag before grant before address before title), and a hit that lies inside
 another hit of the same or a better priority is suppressed. What is left gives labels and the score.
 
 Beside the rules, fixed phrases are matched on words; their labels always stay.
@@ -110,20 +111,26 @@ proprietary :: permission :: (?:no part of|may not be) [^.\n]{0,120}(?:reproduce
 copyleft :: alike :: (?:attribution[ -])?share[ -]?alike
 """
 
-#: A text without any of these holds no licence that the rules know.
-STEMS = ("licen", "spdx", "public domain", "publicdomain", "creativecommons", "creative commons", "gnu.org", "permission", "cc by", "cc-by", "cc0", "cc zero", "redistribut", "rights reserved", "provided 'as-is'", "good, not evil", "nasa open", "share alike", "sharealike", "share-alike", "wtfpl", "cecill", "cdla", "mozilla.org/mpl", "eclipse.org", "opendatacommons", "scripts.sil.org", "joinup.ec", "elastic.co", "mariadb.com/bsl")
+#: A line break with the blanks and comment marks around it, or a run of blanks; one blank stands for it.
+WRAP = r"[ \t\x0B\f\r]*+(?:(?<=[ \t\x0B\f\r])[*#/;%!>|-]++[ \t\x0B\f\r]*+)?\n[ \t\x0B\f\r\n]*+(?:[*#/;%!>|-]++[ \t\x0B\f\r\n]*+){0,3}|[ \t\x0B\f\r]{2,}+|[\t\x0B\f\r]"
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+SPDX = "spdx-license-identifier:"
 TAG, GRANT, CLAUSE, ADDRESS, TITLE = range(5)
 SCORE = {TAG: 1.0, GRANT: 0.95, CLAUSE: 0.9, ADDRESS: 0.85, TITLE: 0.7}
 
 
+def runs(pattern: str) -> list[str]:
+    """The literal runs that every match of a pattern holds."""
+    outside = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\](?:\{[^}]*\})?\??|[\w -]\?|\\d", "\0", pattern)
+    return re.sub(r"\\(.)", r"\1", outside).split("\0")
+
+
 def keyword(pattern: str) -> str:
     """The longest literal run that every match of a pattern holds."""
-    outside = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\](?:\{[^}]*\})?\??|\w\?|\\d", "\0", pattern)
-    return max(re.sub(r"\\(.)", r"\1", outside).split("\0"), key=len)
+    return max(runs(pattern), key=len)
 
 
 def rules() -> list[tuple[int, str, str, str]]:
@@ -135,7 +142,7 @@ def rules() -> list[tuple[int, str, str, str]]:
     for line in LICENSES.strip().splitlines():
         label, ids, title, address = line.split(" :: ")
         for name in ids.split(",") if ids != "-" else ():
-            found.append((TAG, label, name, rf"spdx-license-identifier:[ \t]*{re.escape(name)}(?![\w.+-])"))
+            found.append((TAG, label, name, rf"{SPDX}[ \t]*{re.escape(name)}\+?(?![\w.+-])"))
         found.append((GRANT, label, keyword(title), rf"{grant}{title}(?!\w)"))
         found.append((TITLE, label, keyword(title), rf"(?<!\w){title}(?!\w)"))
         if address != "-":
@@ -146,6 +153,26 @@ def rules() -> list[tuple[int, str, str, str]]:
     return sorted(found, key=lambda r: r[0])
 
 
+#: What a match holds if its rule has no keyword of some length.
+SHORT = {"cc0": ("cc0", "cc zero", "creative commons zero"), "cc-by": ("cc by", "cc-by")}
+
+
+def stems() -> tuple[str, ...]:
+    """Words of which every hit of any rule holds one."""
+    found = set()
+    for priority, label, word, pattern in rules():
+        if priority == TAG:
+            found.add(SPDX)
+        elif priority in (GRANT, TITLE) and any("licen" in r for r in runs(pattern)):
+            found.add("licen")
+        else:
+            found |= {word} if len(word) > 4 else set(SHORT[label])
+    return tuple(sorted(w for w in found if not any(v in w for v in found - {w})))
+
+
+#: A text without any of these holds no licence that the rules know.
+STEMS = stems()
+
 CHUNK = 256
 HITS = "array<struct<b:int,e:int,p:int,i:int>>"
 
@@ -227,13 +254,14 @@ def scan(docs: DataFrame) -> DataFrame:
     # full lower case is cheap and holds every stem that the lower-cased A-Z hold, so it serves as the gate
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("raw"))
     low = raw.withColumn("low", F.lower("raw"))
-    stems = F.lit(False)
-    for stem in STEMS:
-        stems = stems | F.contains("low", F.lit(stem))
+    low = low.withColumn("flat", F.regexp_replace("low", WRAP, " "))
+    stem = F.lit(False)
+    for s in STEMS:
+        stem = stem | F.contains("flat", F.lit(s))
     gated = low.select(
         "doc_id",
         F.regexp_count("raw", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-        F.when(stems, ascii_lower(F.col("raw"))).alias("t"),
+        F.when(stem, F.regexp_replace(ascii_lower(F.col("raw")), WRAP, " ")).alias("t"),
         F.when(F.contains("low", F.lit("license")) | F.contains("low", F.lit("cc")), ascii_lower(F.col("raw"))).alias("b"),
     )
     read = gated.select(

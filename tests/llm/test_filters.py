@@ -206,3 +206,49 @@ def test_rules_are_gated_by_what_they_match():
         assert re.compile(pattern) and label
         assert word == "" or word in pattern.replace("\\", "") or word in pattern
     assert len(license_rules.rules()) > 200
+
+
+def least_text(tree):
+    """A shortest text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += {"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: "1", "RANGE": lambda v: chr(v[0])}[str(arg[0][0])](arg[0][1])
+        elif name == "MAX_REPEAT":
+            out += least_text(arg[2]) * arg[0] if arg[0] else ""
+        elif name == "SUBPATTERN":
+            out += least_text(arg[-1])
+        elif name == "BRANCH":
+            out += least_text(arg[1][0])
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_each_rule_fires_on_a_least_text_plain_and_wrapped(spark):
+    some = license_rules.rules()
+    plain = [least_text(re._parser.parse(x)).replace("\t", " ") for *_, x in some]
+    texts = [t for p in plain for t in (p, p.replace(" ", "\n * "), p.replace(" ", "  \r\n\t// "))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    missed = [(some[r.doc_id // 3][1], texts[r.doc_id]) for r in license_rules.scan(df).collect() if some[r.doc_id // 3][1] not in r.labels.split(",")]
+    assert not missed
+    kept = {r.doc_id // 3: r.rules for r in license_rules.scan(df).collect() if r.doc_id % 3 == 1}
+    assert all(some[i][3] in [some[k][3] for k in v] for i, v in kept.items())
+
+
+def test_wrapped_clauses_and_later_versions(spark):
+    texts = {
+        1: "Redistribution and use in source and binary forms, with or without\nmodification, are permitted. All rights reserved",
+        2: "# Permission to use, copy, modify, and distribute this software for any\n# purpose",
+        3: "see https://www.latex-project.org/lppl.txt",
+        4: "SPDX-License-Identifier: GPL-2.0+",
+        5: "licenced under CC\nBY\n",
+        6: "https://creativecommons.org/licenses/by/\nnext",
+        7: " \t" * 20000 + "*/ " * 20000 + "GNU General\r\n\r\n ** Public  Licence",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_rules.scan(df).collect()}
+    assert got == {1: "bsd,proprietary", 2: "isc", 3: "lppl", 4: "gpl", 5: "cc-by", 6: "cc-by", 7: "gpl"}
