@@ -1,7 +1,7 @@
 """Near-duplicate groups: MinHash bands, sequential Bayesian verification, exact check of the survivors.
 
 A document is the set of its distinct word shingles (five words, lower-cased A-Z). Documents with one and the same set form
-a class, and one document stands for it. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band
+a class, and one row stands for it. Signatures of BANDS x ROWS minima are cut into bands; documents that share a band
 are candidates. A candidate pair is compared batch by batch: first set sizes and one bit of each minimum, as the join of a
 band's members already does, then the minima themselves. After each batch the pair is dropped if the posterior probability
 that its similarity reaches the threshold, given the agreements so far and a flat prior, is below MISS. Survivors are compared on their full sets, and only those links count. At similarity 0.75 a pair shares no band with
@@ -13,8 +13,8 @@ but only the members outside a band's largest component against the rest: if a b
 pairs; if they are not, every pair still gets its comparison, so no link is lost.
 
 Defined cases: a null or blank text has no shingles, is linked with nothing and stays; fewer than five words are one
-shingle; of rows that repeat a doc_id with other words, the one with the least fingerprint is linked, the others stand alone
-unless they are copies; a null doc_id has a null component and stays; an empty table gives no rows; sets of any size are
+shingle; rows that repeat a doc_id with other words are linked each by its own words, and a component goes by the smallest
+doc_id among its rows; a row stays if that is its own doc_id; a null doc_id has a null component and stays; an empty table gives no rows; sets of any size are
 read whole; other columns are ignored.
 """
 
@@ -189,7 +189,7 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, s): the full set of one row of each wanted (id, _text)."""
+    """(id, s): the full set of each wanted id, from one row of its (doc_id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,8 +198,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             values = np.concatenate(sets or [np.empty(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["id", "s"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(F.col("text")).alias("_text"), "text")
-    same = rows.join(wanted, ["id", "_text"], "left_semi").groupBy("id", "_text").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("_text"), "text")
+    same = rows.join(wanted, ["doc_id", "_text"]).groupBy("doc_id", "_text").agg(F.first("id").alias("id"), F.first("text").alias("text"))
     return same.select("id", "text").mapInArrow(run, "id long, s array<long>")
 
 
@@ -211,8 +211,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     # the text that others were copied from shares its bands with most of them
     centre = members.groupBy("id").agg(F.sum("m").alias("w"))
     members = members.select("key", "id")
-    own = stored(classes.select("id", "_text", "n", "s0", "s1").join(centre, "id"))
-    sets = stored(full_sets(docs, own.select("id", "_text")))
+    own = stored(classes.select("id", "doc_id", "_text", "n", "s0", "s1").join(centre, "id"))
+    sets = stored(full_sets(docs, own.select("id", "doc_id", "_text")))
     apart_at_most = most_bits_apart(percent / 100, MISS)
 
     def alike(a: str, b: str) -> Column:
@@ -222,7 +222,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         differing = F.bit_count(x("s0").bitwiseXOR(y("s0"))) + F.bit_count(x("s1").bitwiseXOR(y("s1")))
         return sizes & (differing <= apart_at_most)
 
-    own = own.drop("_text")
+    own = own.drop("doc_id", "_text")
     labels = None
     for n in range(PIVOT_ROUNDS + 1):
         if labels is None:
@@ -265,10 +265,12 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     real = rows.where(F.col("fp").isNotNull() & F.col("doc_id").isNotNull())
     # rows of one class have one signature; the row of the smallest doc_id stands for them
     one = real.groupBy("fp").agg(F.min(F.struct("doc_id", "_text", "minima", "n", "s0", "s1")).alias("k")).select("fp", "k.*")
-    of_id = one.groupBy("doc_id").agg(F.min(F.struct("fp", "_text", "minima", "n", "s0", "s1")).alias("k"))
-    classes = stored(of_id.select(F.col("doc_id").alias("id"), "k.*"))
+    # a doc_id may have several classes, so they go by numbers of their own, written once
+    classes = stored(one.withColumn("id", F.monotonically_increasing_id()))
     found = links(docs, classes, percent)
-    of_class = classes.select("fp", "id").join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("c"))
+    own = classes.select("fp", "id", "doc_id").join(found, "id", "left").select("fp", "doc_id", F.coalesce("component", "id").alias("g"))
+    least = own.groupBy("g").agg(F.min("doc_id").alias("c"))
+    of_class = own.join(least, "g").select("fp", "c")
     told = rows.select("doc_id", "_text", "n", "fp").join(of_class, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return told.select(

@@ -92,6 +92,18 @@ def test_odd_rows_stay(spark):
     assert kept.columns == odd_docs(spark).columns and kept.count() == 8
 
 
+def test_copies_of_every_text_of_a_repeated_id_are_linked(spark):
+    rnd = random.Random(6)
+    base = [[f"t{k}_{rnd.randrange(10**6)}" for _ in range(60)] for k in range(3)]
+    rows = [(5, " ".join(t)) for t in base] + [(7 + k, " ".join(t)) for k, t in enumerate(base)]
+    rows += [(20 + k, " ".join([*t[:-1], "other"])) for k, t in enumerate(base)] + [(3, " ".join(["first", *base[0][1:]]))]
+    df = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.groups(df).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (7, 3, False), (20, 3, False), (5, 5, True)} | {(d, 5, False) for d in (8, 9, 21, 22)}
+    texts = sorted(r.text for r in near_dedup.keep_one(df).collect())
+    assert texts == sorted([rows[-1][1], rows[1][1], rows[2][1]])
+
+
 def test_posterior_bound():
     least = near_dedup.least_agreements(0.75, 1e-5)
     assert least == sorted(least) and 0 < least[0] < 0.75 * near_dedup.BATCH
