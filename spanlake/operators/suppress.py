@@ -249,7 +249,10 @@ def soft_nms(
 
 
 def segment_voting(kept: DataFrame, everything: DataFrame, thresh: float = 0.75) -> DataFrame:
-    """Kept segments moved to the mean of all segments of the clip with tIoU >= thresh, weighted by tIoU * score."""
+    """Kept segments moved to the mean of all segments of the clip with tIoU >= thresh, weighted by tIoU * score.
+
+    A segment whose weights sum to zero stays where it is.
+    """
     near = overlap_join(
         kept.select("clip_id", "pred_id", "t_start", "t_end"),
         everything.select("clip_id", "t_start", "t_end", "score"),
@@ -260,7 +263,9 @@ def segment_voting(kept: DataFrame, everything: DataFrame, thresh: float = 0.75)
         F.try_divide(F.sum(w * F.col("b_t_start")), F.sum(w)).alias("t_start"),
         F.try_divide(F.sum(w * F.col("b_t_end")), F.sum(w)).alias("t_end"),
     )
-    return kept.drop("t_start", "t_end").join(moved, "pred_id", "left").select(*kept.columns)
+    voted = kept.join(moved.toDF("pred_id", "_s", "_e"), "pred_id", "left")
+    own = {"t_start": F.coalesce("_s", "t_start").alias("t_start"), "t_end": F.coalesce("_e", "t_end").alias("t_end")}
+    return voted.select(*[own.get(c, F.col(c)) for c in kept.columns])
 
 
 def box_nms(boxes: DataFrame, iou: float = 0.5, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -155,3 +155,23 @@ def test_threshold_zero_keeps_the_best_row_for_any_group_size(spark):
     df = spark.createDataFrame(rows, "clip_id int, pred_id long, label string, t_start double, t_end double, score double")
     for group_rows in (1, 100):
         assert [r.pred_id for r in N.suppress(df, ["clip_id"], threshold=0.0, group_rows=group_rows).collect()] == [1]
+
+
+def test_segment_voting_votes_every_prediction(spark, sf):
+    import __spark_entry__ as entry
+    from spanlake.sources.tables import Tables
+
+    rows = Tables(spark, sf).predictions().select("clip_id", "pred_id", "t_start", "t_end", "score").collect()
+    by_clip, want = {}, {}
+    for r in rows:
+        by_clip.setdefault(r.clip_id, []).append(r)
+    for r in rows:
+        total = start = end = 0.0
+        for o in by_clip[r.clip_id]:
+            tiou = (min(r.t_end, o.t_end) - max(r.t_start, o.t_start)) / (max(r.t_end, o.t_end) - min(r.t_start, o.t_start))
+            if tiou >= 0.5:
+                total, start, end = total + tiou * o.score, start + tiou * o.score * o.t_start, end + tiou * o.score * o.t_end
+        want[r.pred_id] = (start / total, end / total) if total else (r.t_start, r.t_end)
+    got = {r.pred_id: (r.t_start, r.t_end) for r in entry.queries()["segment_voting"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(x - y) < 0.0101 for i, w in want.items() for x, y in zip(got[i], w))
