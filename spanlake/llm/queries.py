@@ -14,12 +14,13 @@ from spanlake.llm import (
     mixture_tree,
     near_dedup,
     packing_tiers,
+    period_runs,
     quality_llr,
     token_counts,
     url_equivalence,
     vp_search,
 )
-from spanlake.llm.common import table
+from spanlake.llm.common import table, words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -248,3 +249,32 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INT) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10
 """
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """One document in ten, by the crc32 h of its id, repeats its words with a period from a place on that h gives."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.size("w").cast("long")
+    g = F.floor(h / 10).cast("long")
+    a = F.when(n > 0, F.pmod(g, n))
+    period = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
+    drawn = docs.select("doc_id", "text", words(F.col("text")).alias("w")).select("doc_id", "text", "w", a.alias("a"), period.alias("p"), (h % 10 == 0).alias("hit"))
+    again = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return drawn.select("doc_id", F.when(F.col("hit") & (F.size("w") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.period_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    # exact comparison of length / period; runs come by start, then period, and the first of equal ones stays
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda m, x: F.when(x["length"] * m["period"] > m["length"] * x["period"], x).otherwise(m))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    one = found.select("*", best.alias("b"))
+    return one.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"b.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * b.length div b.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
