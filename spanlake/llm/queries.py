@@ -16,6 +16,7 @@ from spanlake.llm import (
     packing_tiers,
     period_runs,
     quality_llr,
+    spelling_forms,
     token_counts,
     url_equivalence,
     vp_search,
@@ -278,3 +279,50 @@ def op12_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_spelling_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d"), F.explode(spelling_forms.lowered_runs(F.col("text"))).alias("w"))
+    h = F.crc32(F.concat("d", F.lit(":"), "w").cast("binary"))
+    at = F.pmod(h, F.char_length("w")).cast("int")
+    less = F.concat(F.substr("w", F.lit(1), at), F.substr("w", at + 2))
+    words = docs.select(F.when(h % 97 == 0, less).otherwise(F.col("w")).alias("word"))
+    return spelling_forms.forms(spelling_forms.counted(words)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: crc32 bit by bit, words without one code point as the join key of near words, chains of forms by recursion.
+ORACLES["op13_spelling_forms"] = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c FROM range(256) r(b))),
+drawn AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS k FROM drawn GROUP BY ALL),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(
+    list_transform(range(octet_length(encode(s))::BIGINT), lambda i: ('0x' || substr(hex(encode(s)), 2 * i + 1, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) AS h
+  FROM (SELECT w, k, doc_id || ':' || w AS s FROM each), crc_table),
+formed AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM hashed),
+counts AS (SELECT word, sum(k)::BIGINT AS n FROM formed WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM counts)),
+pairs AS (
+  SELECT a.word AS u, b.word AS v FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION
+  SELECT a.word, c.word FROM cut a JOIN counts c ON a.rest = c.word
+  UNION
+  SELECT c.word, a.word FROM cut a JOIN counts c ON a.rest = c.word),
+best AS (
+  SELECT u AS word, count(*) AS n_near, arg_min(v, (-c.n, v)) AS w, max(c.n) AS m FROM pairs JOIN counts c ON c.word = v GROUP BY u),
+told AS (
+  SELECT counts.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN w END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n
+  FROM counts LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, coalesce(form, word) AS up, 0 AS d FROM told
+  UNION ALL
+  SELECT chain.word, told.form, d + 1 FROM chain JOIN told ON told.word = up WHERE told.form IS NOT NULL AND told.form <> up)
+SELECT word, form, root, n, n_near, form_n
+FROM told JOIN (SELECT word, arg_max(up, d) AS root FROM chain GROUP BY word) USING (word)
+"""
