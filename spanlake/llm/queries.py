@@ -16,6 +16,7 @@ from spanlake.llm import (
     packing_tiers,
     period_runs,
     quality_llr,
+    repeat_index,
     spelling_forms,
     token_counts,
     url_equivalence,
@@ -326,3 +327,15 @@ chain AS (
 SELECT word, form, root, n, n_near, form_n
 FROM told JOIN (SELECT word, arg_max(up, d) AS root FROM chain GROUP BY word) USING (word)
 """
+
+
+@query
+def op11_repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeat_index.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.reduce("removed", F.lit(0).cast("long"), lambda n, s: n + s["length"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
