@@ -180,7 +180,11 @@ def multilabel_prf(scores: DataFrame, thresh: float = 0.5) -> DataFrame:
 
 def step_average_precision(scores: DataFrame, keys: list[str]) -> DataFrame:
     """AP as the sum over distinct scores of recall gain times precision; equal scores form one step."""
-    steps = scores.groupBy(*keys, "score").agg(F.sum("target").alias("pos"), F.count("*").alias("n"))
+    return steps_average_precision(scores.groupBy(*keys, "score").agg(F.sum("target").alias("pos"), F.count("*").alias("n")), keys)
+
+
+def steps_average_precision(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from (keys, score, pos, n), one row per distinct score with its positives and rows."""
     run = _ranked_sums(steps, keys, [F.col("score").desc()], F.col("pos"), F.col("n"))
     return run.groupBy(*keys).agg(
         F.coalesce(

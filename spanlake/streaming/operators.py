@@ -1,16 +1,18 @@
 """Incremental meters, dedup, activity runs, average precision and covariance over streams.
 
-The first three are stateful streaming plans bounded by a watermark. Average precision and
-covariance keep small mergeable sums in a table in the shared folder: every micro-batch writes its
-own partial under its batch id, so a batch that is repeated after a failure replaces its partial
-instead of counting twice.
+The first three are stateful streaming plans bounded by a watermark: rows later than it are dropped and state older than it is
+freed. They run in update or append mode; what a micro-batch updates is written under its batch id, so a batch that is repeated after a
+failure replaces its rows, and a key's last batch holds its value. Average precision and covariance
+keep mergeable sums in the same way, which are added up when read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanlake.operators.retrieval import steps_average_precision
+
 
 def stream_meters(stream: DataFrame, time: str, value: str, weight: str | None = None, window: str = "1 hour", slide: str | None = None, watermark: str = "10 minutes", keys: list[str] | None = None) -> DataFrame:
     """Weighted average, sum, count and rate per second for each event-time window (and key).
@@ -47,11 +49,11 @@ def stream_islands(stream: DataFrame, time: str, keys: list[str], gap: str = "30
     )
 
 
-# ---- mergeable partials ------------------------------------------------------------------------
+# ---- tables of batches ---------------------------------------------------------------------
 
 
-def partial_writer(path: str, partial):
-    """foreachBatch function that writes partial(batch) under its batch id."""
+def partial_writer(path: str, partial=lambda batch: batch):
+    """foreachBatch function that writes partial(batch) under its batch id; a repeated batch replaces what it wrote."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         partial(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
@@ -59,29 +61,43 @@ def partial_writer(path: str, partial):
     return write
 
 
-def score_histogram(batch: DataFrame, bins: int = 1000) -> DataFrame:
-    """(label, bin, pos, n) of scores in [0, 1]: at most `bins` rows per class."""
-    b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("score") * bins))).cast("int")
-    return batch.groupBy("label", b.alias("bin")).agg(F.sum("target").alias("pos"), F.count("*").alias("n"))
+def read_partials(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of all batches written so far, with their batch_id."""
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+
 
+def latest(rows: DataFrame, keys: list[str], batch: str = "batch_id") -> DataFrame:
+    """The value of each key from the last batch that updated it; folds before the shuffle."""
+    values = [c for c in rows.columns if c not in (*keys, batch)]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), batch).alias("_v"))
+    return last.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
 
-def stream_ap(stream: DataFrame, path: str, bins: int = 1000):
-    """Writer that adds every batch to the score histograms at path; read with ap_from_histogram."""
-    return stream.writeStream.foreachBatch(partial_writer(path, lambda b: score_histogram(b, bins)))
 
+SCORE_STATE = "label int, score double, pos long, n long"
 
-def ap_from_histogram(hist: DataFrame) -> DataFrame:
-    """AP per class with each bin as one step, from the best bin down; at most `bins` rows per class."""
-    from pyspark.sql import Window
 
-    merged = hist.groupBy("label", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    w = Window.partitionBy("label").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = merged.withColumn("tp", F.sum("pos").over(w)).withColumn("seen", F.sum("n").over(w))
-    return run.groupBy("label").agg(
-        F.coalesce(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")), F.lit(0.0)).alias("ap")
+def score_state(batch: DataFrame) -> DataFrame:
+    """(label, score, pos, n): one row per distinct score, exact and mergeable; rows without a score take no part."""
+    known = batch.where("score IS NOT NULL AND label IS NOT NULL")
+    return known.groupBy("label", F.col("score").cast("double").alias("score")).agg(
+        F.sum(F.col("target").cast("long")).alias("pos"), F.count("*").alias("n")
     )
 
 
+def stream_ap(stream: DataFrame, path: str):
+    """Writer that adds every batch to the score states at path; read with ap_from_state."""
+    return stream.writeStream.foreachBatch(partial_writer(path, score_state))
+
+
+def ap_from_state(state: DataFrame) -> DataFrame:
+    """(label, ap) of all scores seen so far, by an ordered scan over the merged states; equal scores form one step.
+
+    With distinct scores this is average_precision of all rows at once, whatever their range and number.
+    """
+    merged = state.groupBy("label", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    return steps_average_precision(merged, ["label"])
+
+
 def moment_sums(batch: DataFrame, vec: str = "embedding") -> DataFrame:
     """(i, j, v, n): sums of x_i x_j for i <= j and, at j = -1, of x_i; as many rows as the matrix has cells."""
     import numpy as np
