@@ -34,22 +34,26 @@ def join_manifest(audio: DataFrame, translations: DataFrame, split: str, alt_suf
     return audio.join(translations.where(F.col("split").isin(wanted)), "path").orderBy("idx")
 
 
-def bounded_lists(df: DataFrame, keys: list[str], item: Column, ident: str, name: str = "items", rows: int = 10_000) -> DataFrame:
-    """Rows of each key gathered into lists of about `rows` entries: (keys, part, items sorted by item).
+def part_lists(df: DataFrame, keys: list[str], order: str, cols: list[str], name: str, rows: int) -> DataFrame:
+    """(keys, part, list of structs): the rows of each key in lists of `rows` entries, part by part in the given order.
 
-    Keys up to `rows` entries give one list; larger keys are split by a hash of ident, so no task
-    gathers an unbounded group.
+    Every key has this shape, whatever its size: rows are numbered by a distributed scan, and no list is longer than `rows`.
     """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
-    spread = df.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(ident), F.col("_parts")).cast("int"))
-    return spread.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(item)).alias(name))
+    placed = keyed_index(df.select(*keys, *cols), keys, [F.col(order)], "_pos")
+    part = F.floor(F.col("_pos") / rows).alias("part")
+    listed = placed.groupBy(*keys, part).agg(F.sort_array(F.collect_list(F.struct("_pos", *cols))).alias("_l"))
+    return listed.select(*keys, "part", F.transform("_l", lambda x: F.struct(*[x[c].alias(c) for c in cols])).alias(name))
 
 
 def attach_detections(frames: DataFrame, boxes: DataFrame, rows: int = 10_000) -> DataFrame:
-    """Frames with the list of their detections; a frame with more than `rows` detections has several parts."""
-    cols = [c for c in boxes.columns if c not in ("frame_id", "det_id")]
-    lists = bounded_lists(boxes, ["frame_id"], F.struct("det_id", *cols), "det_id", "detections", rows)
-    return frames.join(lists, "frame_id", "left")
+    """Frames with their detections in order of det_id: one row per frame and part of at most `rows` detections.
+
+    part counts from 0; a frame without detections has part 0 with an empty list.
+    """
+    cols = ["det_id", *[c for c in boxes.columns if c not in ("frame_id", "det_id")]]
+    lists = part_lists(boxes, ["frame_id"], "det_id", cols, "detections", rows)
+    joined = frames.join(lists, "frame_id", "left")
+    return joined.withColumn("part", F.coalesce("part", F.lit(0).cast("long"))).withColumn("detections", F.coalesce("detections", F.array()))
 
 
 def restrict_to(df: DataFrame, ids: DataFrame, key: str = "clip_id") -> DataFrame:

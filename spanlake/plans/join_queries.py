@@ -52,15 +52,16 @@ def _(t):
 
 @query(
     "attach_detections",
-    """SELECT o_orderkey AS frame_id, string_agg(det_id || ':' || label, ';' ORDER BY det_id) AS dets
-    FROM orders LEFT JOIN boxes ON frame_id = o_orderkey GROUP BY 1""",
+    """WITH p AS (SELECT *, (row_number() OVER (PARTITION BY frame_id ORDER BY det_id) - 1) // 3 AS part FROM boxes)
+    SELECT o_orderkey AS frame_id, coalesce(part, 0) AS part, coalesce(string_agg(det_id || ':' || label, ';' ORDER BY det_id), '') AS dets
+    FROM orders LEFT JOIN p ON frame_id = o_orderkey GROUP BY 1, 2""",
     ["boxes"],
 )
 def _(t):
     f = t.raw("orders").select(F.col("o_orderkey").alias("frame_id"))
-    out = J.attach_detections(f, t.boxes())
+    out = J.attach_detections(f, t.boxes(), rows=3)
     text = F.array_join(F.transform("detections", lambda d: F.concat_ws(":", d["det_id"].cast("string"), d["label"])), ";")
-    return out.select("frame_id", text.alias("dets"))
+    return out.select("frame_id", "part", text.alias("dets"))
 
 
 @query(

@@ -10,6 +10,7 @@ from spanlake.plans.sequence_queries import unit_sql
 from spanlake.session import scratch_path
 from spanlake.sources import readers as R
 from spanlake.sources import sinks as K
+from spanlake.sources import submission as U
 
 
 def _file(t, df, stem: str) -> str:
@@ -255,9 +256,9 @@ def _(t):
     ["segments", "predictions"],
 )
 def _(t):
-    path = scratch_path(t.spark, "submission")
-    K.write_submission(t.predictions(), path, chunk=100)
-    return K.read_submission(t.spark, path).select("results", "clip_id", "label", r6("score"), r6("t_start"), r6("t_end"))
+    path = f"{scratch_path(t.spark, 'submission')}.json"
+    U.write_submission(t.predictions(), path)
+    return U.read_submission(t.spark, path).select("results", "clip_id", "label", r6("score"), r6("t_start"), r6("t_end"))
 
 
 @query(

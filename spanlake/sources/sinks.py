@@ -1,12 +1,10 @@
-"""Sinks: tables per clip, nested submissions, label lines."""
+"""Sinks: tables per clip, label lines; nested submissions are in submission.py."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators.joins import bounded_lists
-
 
 def write_tsv(df: DataFrame, path: str, by: str | None = "clip_id") -> None:
     """Tab-separated files with header, one folder per clip.
@@ -24,57 +22,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.csv(path, header=True)
 
 
-def submission_rows(pred: DataFrame, chunk: int = 2000) -> DataFrame:
-    """(clip_id, part, items): predictions of a clip as [label, score, segment] structs, best first.
-
-    Clips up to `chunk` predictions are one row; larger clips have several parts.
-    """
-    item = F.struct(
-        (-F.col("score")).alias("o"), F.col("pred_id").alias("i"), F.col("label"), F.col("score"),
-        F.array("t_start", "t_end").alias("segment"),
-    )
-    lists = bounded_lists(pred, ["clip_id"], item, "pred_id", "items", chunk)
-    return lists.withColumn(
-        "items", F.transform("items", lambda x: F.struct(x["label"].alias("label"), x["score"].alias("score"), x["segment"].alias("segment")))
-    )
-
-
-def submission_lines(detect: DataFrame, retrieve: DataFrame | None = None, version: str = "1.0", challenge: str = "moment_queries", chunk: int = 2000) -> DataFrame:
-    """JSON lines {version, challenge, detect_results, retrieve_results}, each with the part of one clip.
-
-    The merged object of all lines is the nested submission; no task holds more than one part.
-    """
-    head = [F.lit(version).alias("version"), F.lit(challenge).alias("challenge")]
-    d = submission_rows(detect, chunk)
-    key = F.col("clip_id").cast("string")
-    if retrieve is None:
-        results = F.create_map(key, F.col("items"))
-        return d.select(F.to_json(F.struct(*head, results.alias("detect_results"), results.alias("retrieve_results"))).alias("value"))
-    r = submission_rows(retrieve, chunk)
-    a = d.select(F.to_json(F.struct(*head, F.create_map(key, F.col("items")).alias("detect_results"))).alias("value"))
-    b = r.select(F.to_json(F.struct(*head, F.create_map(key, F.col("items")).alias("retrieve_results"))).alias("value"))
-    return a.unionByName(b)
-
-
-def write_submission(detect: DataFrame, path: str, retrieve: DataFrame | None = None, **options) -> None:
-    submission_lines(detect, retrieve, **options).write.text(path)
-
-
-RESULT = "map<string, array<struct<label: string, score: double, segment: array<double>>>>"
-
-
-def read_submission(spark: SparkSession, path) -> DataFrame:
-    """(results, clip_id, label, score, t_start, t_end) of submission lines."""
-    j = spark.read.text(path).select(F.from_json("value", f"struct<version: string, challenge: string, detect_results: {RESULT}, retrieve_results: {RESULT}>").alias("j"))
-    parts = []
-    for name in ("detect_results", "retrieve_results"):
-        m = j.select(F.explode(F.col(f"j.{name}")).alias("clip_id", "items"))
-        parts.append(m.select(F.lit(name).alias("results"), "clip_id", F.explode("items").alias("x")))
-    return parts[0].unionByName(parts[1]).select(
-        "results", "clip_id", "x.label", "x.score", F.col("x.segment")[0].alias("t_start"), F.col("x.segment")[1].alias("t_end")
-    )
-
-
 def label_lines(frames: DataFrame, labels: DataFrame, split: str, path: str = "path", on: tuple = ("clip_id", "frame_index")) -> DataFrame:
     """Text lines "<path> <label>" per (clip, frame, label) of one split."""
     rows = frames.where(F.col("subset") == split).join(labels, list(on))

@@ -11,7 +11,7 @@ from check_oracle import TABLES, key, same
 from spanlake.operators import joins as J
 from spanlake.plans.binned import overlap_join
 from spanlake.sources import readers as R
-from spanlake.sources import sinks as K
+from spanlake.sources import submission as U
 
 
 def test_annotation_db_document(spark, tmp_path):
@@ -63,20 +63,53 @@ def test_fasta_and_tracks(spark, tmp_path):
     assert ids == {"gt": [7], "ignore": [9], "result": [7, 8, 9]}
 
 
-def test_submission_parts(spark, tmp_path):
-    rows = [(1, i, "a", float(i), i + 1.0, i / 50) for i in range(50)] + [(2, 100, "b", 0.0, 1.0, 0.5)]
-    df = spark.createDataFrame(rows, "clip_id int, pred_id long, label string, t_start double, t_end double, score double")
-    K.write_submission(df, str(tmp_path / "s"), chunk=10)
-    docs = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "s")).collect()]
-    assert max(len(v) for d in docs for v in d["detect_results"].values()) < 30
-    back = K.read_submission(spark, str(tmp_path / "s")).where("results = 'detect_results'")
-    assert back.count() == 51 and back.where("clip_id = '1'").count() == 50
+PRED = "clip_id string, pred_id long, label string, t_start double, t_end double, score double"
 
 
-def test_bounded_lists_split_hot_keys(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"), "id")
-    out = J.bounded_lists(df, ["k"], F.col("id"), "id", rows=100).collect()
-    assert sum(len(r["items"]) for r in out) == 1000 and max(len(r["items"]) for r in out) < 250
+def nested(rows):
+    out = {}
+    for c, i, label, a, b, s in sorted(rows, key=lambda r: (-r[5], r[1])):
+        out.setdefault(c, []).append({"label": label, "score": s, "segment": [a, b]})
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_submission_is_one_nested_object(spark, tmp_path, partitions):
+    odd = 'c"1]: [\\ é\n'
+    rows = [(odd, i, "a", float(i), i + 1.0, i / 50) for i in range(50)] + [("2", 100, 'b", {', 0.0, 1.0, 0.5), ("{", 101, "}", 0.0, 1.0, 0.5)]
+    other = [("2", 7, "r", 1.0, 2.0, 0.25)]
+    path = str(tmp_path / "s.json")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        U.write_submission(spark.createDataFrame(rows, PRED), path, spark.createDataFrame(other, PRED), challenge="x")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    doc = json.loads((tmp_path / "s.json").read_text())
+    assert doc == {"version": "1.0", "challenge": "x", "detect_results": nested(rows), "retrieve_results": nested(other)}
+    back = {(r.results, r.clip_id, r.label, r.t_start, r.t_end, r.score) for r in U.read_submission(spark, path).collect()}
+    assert back == {("detect_results", c, x, a, b, s) for c, _, x, a, b, s in rows} | {("retrieve_results", c, x, a, b, s) for c, _, x, a, b, s in other}
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["s.json"]
+
+
+def test_submission_without_rows_or_without_one_section(spark, tmp_path):
+    none = spark.createDataFrame([], PRED)
+    one = [("1", 1, None, 0.0, 1.0, 0.5)]
+    for name, detect, retrieve in (("a", none, None), ("b", none, spark.createDataFrame(one, PRED)), ("c", spark.createDataFrame(one, PRED), none)):
+        U.write_submission(detect, str(tmp_path / name), retrieve)
+        doc = json.loads((tmp_path / name).read_text())
+        assert (doc["detect_results"], doc["retrieve_results"]) == (nested(one) if name == "c" else {}, nested(one) if name == "b" else {})
+
+
+def test_detections_have_one_shape_at_every_size(spark):
+    frames = spark.range(5).withColumnRenamed("id", "frame_id")
+    boxes = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id") % 4).cast("long").alias("frame_id"), F.col("id").alias("det_id"), F.lit("x").alias("label"))
+    for rows in (1, 7, 10_000):
+        got = {}
+        for r in J.attach_detections(frames, boxes, rows).orderBy("frame_id", "part").collect():
+            assert len(r.detections) <= rows and r.part == len(got.setdefault(r.frame_id, [])) // rows
+            got[r.frame_id] += [d.det_id for d in r.detections]
+        assert got == {k: [i for i in range(1000) if (0 if i < 900 else i % 4) == k] for k in range(5)}
 
 
 def test_strict_lookup_reports_missing(spark):
