@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.plans.binned import overlap_join
+from spanlake.plans.scan import ordered_scan
 
 
 # ---- projections and filters -------------------------------------------------------------
@@ -138,20 +141,59 @@ def pair_counts(df: DataFrame, first: str = "verb", second: str = "noun") -> Dat
 # ---- distributions -----------------------------------------------------------------------
 
 
+def percentiles(df: DataFrame, col: str, ps: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(p, n, value): exact percentiles by linear interpolation, without nulls and NaN; no rows if nothing is left.
+
+    A first pass counts the rows and brackets each wanted rank between two approximate percentiles; a second one counts the rows below
+    each bracket. Only the rows inside are then folded by value and scanned in order, spread over all tasks. A bracket
+    that misses its rank, as an approximation may, is widened to the whole range.
+    """
+    spark = df.sparkSession
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    slack = 4.0 / accuracy
+    asked = sorted({min(1.0, max(0.0, p + d)) for p in ps for d in (-slack, slack)})
+    head = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", asked, accuracy).alias("q")).first()
+    n = head["n"]
+    kind = "p double, n long, value double"
+    if not n:
+        return spark.createDataFrame([], kind)
+    at = dict(zip(asked, head["q"]))
+    ranks = {p: (int((n - 1) * p), min(n - 1, int((n - 1) * p) + 1)) for p in ps}
+    ends = {p: (at[max(0.0, p - slack)], at[min(1.0, p + slack)]) for p in ps}
+
+    def sizes(ends):
+        """Rows below and up to the end of each bracket."""
+        row = values.agg(*[F.count(F.when(c, 1)) for p in ps for c in (F.col("v") < ends[p][0], F.col("v") <= ends[p][1])]).first()
+        return {p: (row[2 * i], row[2 * i + 1]) for i, p in enumerate(ps)}
+
+    held = sizes(ends)
+    missed = [p for p in ps if not held[p][0] <= ranks[p][0] <= ranks[p][1] < held[p][1]]
+    for p in missed:
+        ends[p], held[p] = (head["lo"], head["hi"]), (0, n)
+    rows = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(ends[p][0]).alias("a"), F.lit(ends[p][1]).alias("b"), F.lit(held[p][0]).alias("below"), F.lit(ranks[p][0]).alias("r0"), F.lit(ranks[p][1]).alias("r1")) for p in ps])
+    inside = values.select("v", F.explode(F.filter(rows, lambda x: (F.col("v") >= x["a"]) & (F.col("v") <= x["b"]))).alias("x"))
+    steps = inside.groupBy("x.p", "v").agg(F.count("*").alias("m"), *[F.first(f"x.{c}").alias(c) for c in ("below", "r0", "r1")])
+    run = ordered_scan(steps, ["p"], [F.col("v")], {"upto": ("sum", F.col("m"), True)})
+    last, first = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("m")
+    holds = lambda r: (first <= F.col(r)) & (F.col(r) < last)
+    found = run.groupBy("p").agg(F.max(F.when(holds("r0"), F.col("v"))).alias("v0"), F.max(F.when(holds("r1"), F.col("v"))).alias("v1"))
+    part = F.lit(float(n - 1)) * F.col("p") - F.floor(F.lit(float(n - 1)) * F.col("p"))
+    return found.select("p", F.lit(n).cast("long").alias("n"), (F.col("v0") + (F.col("v1") - F.col("v0")) * part).alias("value"))
+
+
 def distribution_summary(df: DataFrame, col: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Count, median and interquartile range without nulls and NaN.
+    """Count, median and interquartile range without nulls and NaN, exact at any number of distinct values.
 
-    The exact form keeps one counter per distinct value; approx bounds the state by accuracy.
+    approx takes one pass less and values that occur, off by at most n / accuracy ranks.
     """
-    clean = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double"))).select(
-        F.col(col).cast("double").alias("v")
-    )
     ps = [0.25, 0.5, 0.75]
     if approx:
-        q = F.percentile_approx("v", ps, accuracy)
+        clean = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+        q = clean.agg(F.count("*").alias("n"), F.percentile_approx("v", ps, accuracy).alias("q"))
     else:
-        q = F.percentile("v", F.array(*[F.lit(p) for p in ps]))
-    return clean.agg(F.count("*").alias("n"), q.alias("q")).select(
+        at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
+        q = percentiles(df, col, ps, accuracy).agg(F.coalesce(F.max("n"), F.lit(0).cast("long")).alias("n"), F.array(*map(at, ps)).alias("q"))
+    return q.select(
         "n",
         F.col("q")[1].alias("median"),
         F.col("q")[0].alias("q1"),
@@ -204,11 +246,16 @@ def overlap_pairs(segments: DataFrame) -> DataFrame:
 
 
 def overlap_stats(segments: DataFrame) -> DataFrame:
-    """Per clip the number of ordered intersecting pairs and their tIoU sum, mean and maximum; 0 for none."""
+    """Per clip the number of ordered intersecting pairs and their tIoU mean and maximum; 0 for none.
+
+    Each unordered pair is formed once and folded at once, as the tIoU of a pair needs both its ends; a pair's mirror
+    has the same tIoU and only doubles the number. Counts alone come from overlap_partners without pairs.
+    """
+    narrow = segments.select("clip_id", "seg_id", "t_start", "t_end")
     pairs = (
-        overlap_pairs(segments)
+        overlap_join(narrow, narrow, ["clip_id"]).where("a_seg_id < b_seg_id")
         .groupBy("clip_id")
-        .agg(F.count("*").alias("n_pairs"), F.avg("tiou").alias("mean_tiou"), F.max("tiou").alias("max_tiou"))
+        .agg((2 * F.count("*")).alias("n_pairs"), F.avg("tiou").alias("mean_tiou"), F.max("tiou").alias("max_tiou"))
     )
     return (
         segments.select("clip_id")
@@ -218,32 +265,89 @@ def overlap_stats(segments: DataFrame) -> DataFrame:
     )
 
 
-def label_cooccurrence(segments: DataFrame) -> DataFrame:
-    """(label_a, label_b, n_clips, weight): clips where both labels are active in one integer second.
+def overlap_partners(segments: DataFrame) -> DataFrame:
+    """(clip_id, seg_id, n_partners): how many other segments of the clip strictly intersect each one, without forming pairs.
 
-    Times are truncated to whole seconds and a segment covers [start, end) of them. weight is the
-    natural log of the count; absent edges and the diagonal are not rows.
+    The partners of [s, e) are the segments that start before e, less those that end by s. Both ranks come from one scan over
+    all starts and ends in order of time, so a second that holds many segments costs no more than its rows. A segment
+    without length meets those that contain its point strictly; others at the same point do not meet it.
     """
-    whole = segments.select(
-        "clip_id", "label", F.floor("t_start").alias("t_start"), F.floor("t_end").alias("t_end")
-    ).where("t_end > t_start").distinct()
-    return (
-        overlap_join(whole, whole, ["clip_id"])
-        .where("a_label < b_label")
-        .select("clip_id", "a_label", "b_label")
-        .distinct()
-        .groupBy("a_label", "b_label")
-        .agg(F.count("*").alias("n_clips"))
-        .select(
-            F.explode(F.array(F.struct(F.col("a_label").alias("x"), F.col("b_label").alias("y")),
-                              F.struct(F.col("b_label").alias("x"), F.col("a_label").alias("y")))).alias("e"),
-            "n_clips",
-        )
-        .select(
-            F.col("e.x").alias("label_a"), F.col("e.y").alias("label_b"), "n_clips",
-            F.log("n_clips").alias("weight"),
-        )
+    point = F.col("t_start") == F.col("t_end")
+    ends = F.array(
+        # at one time ends come first: they ask for starts before them, and starts ask for ends up to them
+        F.struct(F.col("t_end").alias("x"), F.lit(0).alias("kind"), (F.lit(0)).alias("s"), F.lit(1).alias("e")),
+        F.struct(F.col("t_start").alias("x"), F.lit(1).alias("kind"), F.lit(1).alias("s"), F.lit(0).alias("e")),
     )
+    events = segments.where("t_start IS NOT NULL AND t_end IS NOT NULL").select("clip_id", "seg_id", point.alias("point"), F.explode(ends).alias("v")).select("clip_id", "seg_id", "point", "v.*")
+    sums = {"starts": ("sum", F.col("s").cast("long"), True), "ends": ("sum", F.col("e").cast("long"), True), "points": ("sum", (F.col("point") & (F.col("kind") == 1)).cast("long"), True)}
+    run = ordered_scan(events, ["clip_id"], [F.col("x"), F.col("kind"), F.col("seg_id")], sums)
+    asked = F.when(F.col("kind") == 0, F.col("starts")).otherwise(-F.col("ends"))
+    per = run.groupBy("clip_id", "seg_id").agg(F.sum(asked).alias("n"), F.max("point").alias("point"), F.max("x").alias("x"))
+    # a point at x subtracts all points at x, itself among them, though none of them was counted
+    here = segments.where(point).groupBy("clip_id", F.col("t_start").alias("x")).agg(F.count("*").alias("_m"))
+    fixed = per.join(here, ["clip_id", "x"], "left")
+    own = F.when(F.col("point"), F.coalesce("_m", F.lit(0))).otherwise(-1)
+    return fixed.select("clip_id", "seg_id", (F.col("n") + own).alias("n_partners"))
+
+
+def activity_islands(segments: DataFrame, clips: DataFrame) -> DataFrame:
+    """(clip_id, label, s, e): the whole seconds [s, e) in which a label is active, as disjoint islands.
+
+    Times are truncated to whole seconds and cut at the clip's whole duration; a segment of a clip without a row has none.
+    """
+    cut = segments.join(clips.select("clip_id", F.floor("duration").alias("_d")), "clip_id").select(
+        "clip_id", "label", F.greatest(F.floor("t_start"), F.lit(0)).alias("s"), F.least(F.floor("t_end"), F.col("_d")).alias("e")
+    )
+    # of equal starts the longest counts
+    whole = cut.where("e > s AND label IS NOT NULL").groupBy("clip_id", "label", "s").agg(F.max("e").alias("e"))
+    seen = ordered_scan(whole, ["clip_id", "label"], [F.col("s")], {"until": ("max", F.col("e"), False)})
+    first = F.when(F.col("until").isNull() | (F.col("s") > F.col("until")), F.col("s"))
+    island = ordered_scan(seen, ["clip_id", "label"], [F.col("s")], {"island": ("last", first, True)})
+    return island.groupBy("clip_id", "label", F.col("island").alias("s")).agg(F.max("e").alias("e"))
+
+
+#: Seconds of a clip that one group holds: at most this many flags per label, whatever the number of segments.
+CHUNK_SECONDS = 3600
+
+
+def _active_pairs(chunk: pa.Table) -> pa.Table:
+    """Pairs of labels that share a second of one chunk."""
+    labels, of = np.unique(chunk["label"].to_numpy(zero_copy_only=False), return_inverse=True)
+    active = np.zeros((len(labels), CHUNK_SECONDS + 1), np.float32)
+    np.add.at(active, (of, chunk["s"].to_numpy()), 1)
+    np.add.at(active, (of, chunk["e"].to_numpy()), -1)
+    active = active.cumsum(1)
+    a, b = np.nonzero(np.triu(active @ active.T, 1) > 0)
+    clip = pa.array([chunk["clip_id"][0].as_py()] * len(a), chunk.schema.field("clip_id").type)
+    return pa.table({"clip_id": clip, "x": pa.array(labels[a], pa.string()), "y": pa.array(labels[b], pa.string())})
+
+
+def label_cooccurrence(segments: DataFrame, clips: DataFrame) -> DataFrame:
+    """(label_a, label_b, n_clips, weight): clips in which both labels are active in one whole second.
+
+    weight is the natural log of the count; absent edges and the diagonal are not rows. Islands of activity are cut into
+    chunks of CHUNK_SECONDS, whose flags are bounded by the number of labels; pairs are read off each chunk.
+    """
+    w = CHUNK_SECONDS
+    kind = dict(segments.dtypes)
+    chunk = F.explode(F.sequence(F.floor(F.col("s") / w), F.floor((F.col("e") - 1) / w))).alias("chunk")
+    cut = activity_islands(segments, clips).select("clip_id", F.col("label").cast("string").alias("label"), "s", "e", chunk).select(
+        "clip_id", "chunk", "label", (F.greatest("s", F.col("chunk") * w) - F.col("chunk") * w).alias("s"), (F.least("e", (F.col("chunk") + 1) * w) - F.col("chunk") * w).alias("e")
+    )
+    pairs = cut.groupBy("clip_id", "chunk").applyInArrow(_active_pairs, f"clip_id {kind['clip_id']}, x string, y string")
+    counted = pairs.distinct().groupBy("x", "y").agg(F.count("*").alias("n_clips"))
+    both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+    return counted.select(F.explode(both).alias("e"), "n_clips").select(
+        F.col("e.x").cast(kind["label"]).alias("label_a"), F.col("e.y").cast(kind["label"]).alias("label_b"), "n_clips", F.log("n_clips").alias("weight"),
+    )
+
+
+def label_activity(segments: DataFrame, clips: DataFrame) -> DataFrame:
+    """(label, n, n_clips, seconds): annotations of each label, the clips that show it and its active whole seconds."""
+    n = segments.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    shown = activity_islands(segments, clips).groupBy("label").agg(F.countDistinct("clip_id").alias("n_clips"), F.sum(F.col("e") - F.col("s")).alias("seconds"))
+    zero = F.lit(0).cast("long")
+    return n.join(shown, "label", "left").select("label", "n", F.coalesce("n_clips", zero).alias("n_clips"), F.coalesce("seconds", zero).alias("seconds"))
 
 
 def confusion_matrix(df: DataFrame, gt: str = "gt", pred: str = "pred") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,26 +244,71 @@ def pitch_errors(true: DataFrame, est: DataFrame, key: str, value: str = "f0") -
     )
 
 
-def box_mask_join(boxes: DataFrame, runs: DataFrame, diagonal: Column | float, min_ratio: float = 0.25) -> DataFrame:
+def _areas(boxes: pa.Table, edges: pa.Table) -> pa.Table:
+    """Pixels of each mask inside each box, and of the whole mask, from sums over all lines above and columns left of a corner."""
+    out: dict[str, list] = {c: [] for c in ("det_id", "object_label", "inside", "total")}
+    x0, y0, x1, y1 = (boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
+    ids, box = np.unique(boxes["det_id"].to_numpy(), return_inverse=True)  # boxes of one number count together
+    labels, of = np.unique(edges["object_label"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    line, column, step = (edges[c].to_numpy() for c in ("y", "x", "d"))
+    for n, label in enumerate(labels):
+        own = of == n
+        ys, iy = np.unique(line[own], return_inverse=True)
+        xs, ix = np.unique(column[own], return_inverse=True)
+        cover = np.zeros((len(ys) + 1, len(xs)), np.int64)  # row k: pixels of the lines before ys[k], by column between edges
+        np.add.at(cover, (iy + 1, ix), step[own])
+        cover = cover.cumsum(1).cumsum(0)
+        left = np.zeros_like(cover)
+        left[:, 1:] = (cover[:, :-1] * np.diff(xs)).cumsum(1)
+
+        def before(x, y):
+            """Pixels with a smaller column than x on lines before y."""
+            k, c = np.searchsorted(ys, y), np.searchsorted(xs, x, "right") - 1
+            inside = c >= 0
+            c = np.maximum(c, 0)
+            return np.where(inside, left[k, c] + cover[k, c] * (x - xs[c]), 0)
+
+        area = np.zeros(len(ids), np.int64)
+        np.add.at(area, box, before(x1, y1) - before(x0, y1) - before(x1, y0) + before(x0, y0))
+        hit = np.flatnonzero(area > 0)
+        out["det_id"].append(ids[hit])
+        out["object_label"] += [label] * len(hit)
+        out["inside"].append(area[hit])
+        out["total"].append(np.full(len(hit), left[-1, -1]))
+    whole = {c: np.concatenate(v or [np.empty(0, np.int64)]) for c, v in out.items() if c != "object_label"}
+    return pa.table({"det_id": whole["det_id"], "object_label": pa.array(out["object_label"], pa.string()), "inside": whole["inside"], "total": whole["total"]})
+
+
+def box_mask_join(boxes: DataFrame, runs: DataFrame, diagonal: Column | float, min_ratio: float = 0.25, boxes_per_task: int = 50_000) -> DataFrame:
     """(frame_id, det_id, object_label, inside, outside) where a mask lies enough inside a box.
 
-    runs are (frame_id, object_label, y, x_start, x_end) pixel runs with x_end exclusive. Boxes are
-    laid out as rows (frame_id, y), so the join is on equal rows only. Kept are pairs with
+    runs are (frame_id, object_label, y, x_start, x_end) pixel runs with x_end exclusive; pixels drawn twice count twice. Each mask
+    becomes a table of running sums over lines and columns between run edges, and a box reads its four corners
+    there: its cost does not depend on its height. Runs are folded to at most one row per pixel before they move, and a frame
+    with more than boxes_per_task boxes is cut into parts that each get the masks. Kept are pairs with
     inside >= diagonal and inside / (outside + 1e-6) >= min_ratio.
     """
-    edge = {c: F.bround(F.col(c)).cast("int") for c in ("x0", "y0", "x1", "y1")}
-    b = boxes.select("frame_id", "det_id", *[e.alias(c) for c, e in edge.items()]).where("y1 > y0 and x1 > x0")
-    rows = b.select("frame_id", "det_id", "x0", "x1", F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"))
-    total = runs.groupBy("frame_id", "object_label").agg(F.sum(F.col("x_end") - F.col("x_start")).alias("total"))
-    inside = (
-        rows.join(runs, ["frame_id", "y"])
-        .groupBy("frame_id", "det_id", "object_label")
-        .agg(F.sum(F.greatest(F.lit(0), F.least("x1", "x_end") - F.greatest("x0", "x_start"))).alias("inside"))
+    corner = {c: F.bround(F.col(c)).cast("long") for c in ("x0", "y0", "x1", "y1")}
+    b = boxes.select("frame_id", "det_id", *[e.alias(c) for c, e in corner.items()]).where("y1 > y0 and x1 > x0")
+    ends = F.array(F.struct(F.col("x_start").cast("long").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x_end").cast("long").alias("x"), F.lit(-1).alias("d")))
+    edges = (
+        runs.where("x_end > x_start").select("frame_id", F.col("object_label").cast("string").alias("object_label"), F.col("y").cast("long").alias("y"), F.explode(ends).alias("e"))
+        .groupBy("frame_id", "object_label", "y", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d")).where("d <> 0")
     )
+    parts = b.groupBy("frame_id").agg(F.ceil(F.count("*") / boxes_per_task).cast("int").alias("_parts"))
+    left = b.join(parts, "frame_id").withColumn("part", F.pmod(F.xxhash64("det_id"), F.col("_parts")).cast("int")).drop("_parts")
+    right = edges.join(parts, "frame_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    kind = dict(boxes.dtypes)
+
+    def summed(key, these: pa.Table, masks: pa.Table) -> pa.Table:
+        found = _areas(these, masks)
+        return found.add_column(0, "frame_id", pa.array([key[0].as_py()] * found.num_rows, these.schema.field("frame_id").type))
+
+    schema = f"frame_id {kind['frame_id']}, det_id {kind['det_id']}, object_label string, inside long, total long"
+    areas = left.groupBy("frame_id", "part").cogroup(right.groupBy("frame_id", "part")).applyInArrow(summed, schema)
     d = diagonal if isinstance(diagonal, Column) else F.lit(float(diagonal))
     return (
-        inside.where(F.col("inside") >= d)
-        .join(total, ["frame_id", "object_label"])
+        areas.where(F.col("inside") >= d)
         .withColumn("outside", F.col("total") - F.col("inside"))
         .where(F.col("inside") / (F.col("outside") + 1e-6) >= min_ratio)
         .select("frame_id", "det_id", "object_label", "inside", "outside")

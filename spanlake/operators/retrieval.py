@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.sets import FOLD_ROWS, split_by_size, with_component
 from spanlake.plans.binned import overlap_join
 from spanlake.plans.scan import keyed_index, ordered_scan
 from spanlake.session import cut
@@ -98,13 +102,49 @@ def interpolated_ap(curve: DataFrame, keys: list[str], order: str = "rank") -> D
     return step.groupBy(*keys).agg(F.sum(rise * F.col("envelope")).alias("ap"))
 
 
-def assign_detections(pairs: DataFrame) -> DataFrame:
-    """One-to-one greedy assignment: predictions in score order each take the best free annotation.
+def assign_detections(pairs: DataFrame, tious=TIOUS, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """(tiou_t, pred_id, seg_id): one-to-one greedy assignment at each threshold.
 
-    pairs has (tiou_t, pred_id, seg_id, score, tiou). The greedy result is the stable matching in
-    which annotations prefer higher scores and predictions prefer higher tIoU, so it is reached by
-    rounds of proposals without ordering a group in one task: every prediction proposes its best
-    remaining annotation, every annotation keeps its best proposer and drops all weaker candidates.
+    pairs has (clip_id, label, pred_id, seg_id, score, tiou). Predictions in score order, ties by id, each take the best free
+    annotation with tiou >= tiou_t, ties to the smaller seg_id. Pairs of a clip and label depend on no others: bounded ones are
+    folded in one task, larger ones are cut into connected components first, and only components beyond the bound go through rounds.
+    """
+    levels = [float(t) for t in tious]
+    schema = "tiou_t double, pred_id long, seg_id long"
+    narrow = pairs.where(F.col("tiou") >= min(levels)).select("clip_id", "label", "pred_id", "seg_id", "score", "tiou")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "pred_id", "tiou", "seg_id"], ascending=[False, True, False, True], kind="stable")
+        out = []
+        for t in levels:
+            at = pdf[pdf["tiou"] >= t]
+            done, used = set(), set()
+            for p, s in zip(at["pred_id"].tolist(), at["seg_id"].tolist()):
+                if p not in done and s not in used:
+                    done.add(p)
+                    used.add(s)
+                    out.append((t, p, s))
+        return pd.DataFrame(out, columns=["tiou_t", "pred_id", "seg_id"])
+
+    keys = ["clip_id", "label"]
+    narrow = cut(narrow)
+    small, large = split_by_size(narrow, keys, fold_rows)
+    parts = [small.groupBy(*keys).applyInPandas(fold, schema)]
+    if large is not None:
+        parted = cut(with_component(large, ["pred_id"], ["seg_id"]))
+        small, large = split_by_size(parted, ["_part"], fold_rows)
+        parts.append(small.groupBy("_part").applyInPandas(fold, schema))
+        if large is not None:
+            at = large.withColumn("tiou_t", F.explode(F.array(*map(F.lit, levels)))).where("tiou >= tiou_t")
+            parts.append(assign_by_rounds(at).select("tiou_t", "pred_id", "seg_id"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def assign_by_rounds(pairs: DataFrame) -> DataFrame:
+    """The same for pairs (tiou_t, pred_id, seg_id, score, tiou) without a bound on their number, in rounds of proposals.
+
+    The greedy result is the stable matching in which annotations prefer higher scores and predictions prefer higher tIoU: every
+    prediction proposes its best remaining annotation, every annotation keeps its best proposer and drops all weaker candidates.
     """
     left = cut(pairs.select("tiou_t", "pred_id", "seg_id", "score", "tiou"))
     size = left.count()
@@ -132,9 +172,7 @@ def detection_map(pred: DataFrame, gt: DataFrame, tious=TIOUS) -> DataFrame:
     recall rises and the envelope changes nowhere else.
     """
     levels = F.array(*[F.lit(float(t)) for t in tious])
-    pairs = match_segments(pred, gt).where(F.col("tiou") >= min(tious))
-    at = pairs.withColumn("tiou_t", F.explode(levels)).where("tiou >= tiou_t")
-    hits = assign_detections(at).select("tiou_t", "pred_id")
+    hits = assign_detections(match_segments(pred, gt), tious).select("tiou_t", "pred_id")
     n_gt = gt.groupBy("label").agg(F.count("*").alias("n_gt"))
     ranked = keyed_index(
         pred.select("label", "pred_id", "score"), ["label"], [F.col("score").desc(), F.col("pred_id")], "rank"

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlake.operators.sets import split_by_size
 from spanlake.plans.binned import overlap_join, with_bins
 from spanlake.plans.scan import ordered_scan
 from spanlake.session import cut, shuffle_width
@@ -111,14 +112,6 @@ def _fold(dims, ident, method, threshold, strict, sigma, min_score):
     return run
 
 
-def _by_size(df: DataFrame, keys: list[str], bound: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups up to bound, and rows of larger groups (None if there is none)."""
-    large = cut(df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > bound).drop("_n"))
-    if large.isEmpty():
-        return df, None
-    return df.join(large, keys, "left_anti"), df.join(large, keys, "left_semi")
-
-
 def islands(df: DataFrame, keys: list[str], start: str, end: str, ident: str, name: str = "island") -> DataFrame:
     """Number the maximal runs of intervals of one key that overlap in a chain; touching runs stay apart."""
     order = [F.col(start), F.col(ident)]
@@ -199,11 +192,11 @@ def suppress(
     fold = _fold(dims, ident, method, threshold, strict, sigma, min_score)
     # an explicit width keeps the fold parallel where a small shuffle would be merged into one task
     width = shuffle_width(df.sparkSession)
-    small, large = _by_size(df, keys, group_rows)
+    small, large = split_by_size(df, keys, group_rows)
     parts = [small.repartition(width, *keys).groupBy(*keys).applyInPandas(fold, df.schema)]
     if large is not None:
         runs = cut(islands(large, keys, dims[0], dims[1], ident, "_island"))
-        small, large = _by_size(runs, [*keys, "_island"], group_rows)
+        small, large = split_by_size(runs, [*keys, "_island"], group_rows)
         parts.append(small.groupBy(*keys, "_island").applyInPandas(fold, runs.schema).drop("_island"))
         if large is not None:
             parts.append(

@@ -258,17 +258,46 @@ def _(t):
     return A.label_frequencies(t.raw("part").select(F.array("p_brand", "p_type").alias("labels")))
 
 
+#: Whole seconds of each segment, cut where the clip ends; clips here end at nine tenths of their last annotation.
+WHOLE = """w AS (SELECT s.clip_id, label, floor(t_start) AS s, least(floor(t_end), floor(duration * 0.9)) AS e
+        FROM segments s JOIN clips USING (clip_id) WHERE least(floor(t_end), floor(duration * 0.9)) > floor(t_start))"""
+
+
+def _short_clips(t):
+    return t.clips().withColumn("duration", F.col("duration") * 0.9)
+
+
 @query(
     "label_cooccurrence",
-    """WITH w AS (SELECT clip_id, label, floor(t_start) AS s, floor(t_end) AS e FROM segments
-            WHERE floor(t_end) > floor(t_start))
+    f"""WITH {WHOLE}
     SELECT a.label AS label_a, b.label AS label_b, count(DISTINCT a.clip_id) AS n_clips,
         round(ln(count(DISTINCT a.clip_id)), 6) AS weight
     FROM w a JOIN w b ON a.clip_id = b.clip_id AND a.label <> b.label AND a.s < b.e AND b.s < a.e GROUP BY 1, 2""",
+    ["segments", "clips"],
+)
+def _(t):
+    return A.label_cooccurrence(t.segments(), _short_clips(t)).select("label_a", "label_b", "n_clips", r6("weight"))
+
+
+@query(
+    "label_activity",
+    f"""WITH {WHOLE}, f AS (SELECT *, max(e) OVER (PARTITION BY clip_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS u FROM w),
+    a AS (SELECT label, count(DISTINCT clip_id) AS n_clips, sum(greatest(0, e - greatest(s, coalesce(u, s))))::BIGINT AS seconds FROM f GROUP BY 1)
+    SELECT label, count(*) AS n, any_value(n_clips) AS n_clips, any_value(seconds) AS seconds FROM segments JOIN a USING (label) GROUP BY 1""",
+    ["segments", "clips"],
+)
+def _(t):
+    return A.label_activity(t.segments(), _short_clips(t))
+
+
+@query(
+    "overlap_partners",
+    """SELECT a.clip_id, a.seg_id, count(b.seg_id) AS n_partners FROM segments a LEFT JOIN segments b ON a.clip_id = b.clip_id AND a.seg_id <> b.seg_id
+        AND a.t_start < b.t_end AND b.t_start < a.t_end GROUP BY 1, 2""",
     ["segments"],
 )
 def _(t):
-    return A.label_cooccurrence(t.segments()).select("label_a", "label_b", "n_clips", r6("weight"))
+    return A.overlap_partners(t.segments())
 
 
 @query(

@@ -66,29 +66,74 @@ def test_box_rounds_equal_fold(spark):
     assert a == b and 0 < len(a) < 40
 
 
-def test_assignment_is_greedy(spark):
-    rng = random.Random(7)
-    pairs = [(0.1, p, g, round(1 - p / 100, 3), rng.random()) for p in range(40) for g in rng.sample(range(20), 4)]
-    df = spark.createDataFrame(pairs, "tiou_t double, pred_id long, seg_id long, score double, tiou double")
-    got = {(r.pred_id, r.seg_id) for r in R.assign_detections(df).collect()}
+def greedy_assignment(pairs, t):
+    """pairs: (clip, label, pred, seg, score, tiou)."""
     used, want = set(), set()
-    for p in range(40):
-        cands = sorted(((-t, g) for _, q, g, _, t in pairs if q == p and g not in used))
+    for p, _ in sorted({(q[2], -q[4]) for q in pairs}, key=lambda x: (x[1], x[0])):
+        cands = sorted((-q[5], q[3]) for q in pairs if q[2] == p and q[5] >= t and q[3] not in used)
         if cands:
             used.add(cands[0][1])
             want.add((p, cands[0][1]))
-    assert got == want
+    return want
 
 
-def test_greedy_one_to_one(spark):
-    rng = random.Random(9)
-    pairs = [(a, b, rng.random()) for a in range(30) for b in rng.sample(range(25), 6)]
-    got = {(r.src, r.tgt) for r in S.greedy_one_to_one(spark.createDataFrame(pairs, "src long, tgt long, score double")).collect()}
+@pytest.mark.parametrize("fold_rows", [1000, 20, 0])  # by group, by component and by rounds
+def test_assignment_is_greedy(spark, fold_rows):
+    rng = random.Random(7)
+    pairs = [(p % 2, "ab"[p % 3 == 0], p, 100 * (p % 6) + g, round(1 - (p // 2) / 100, 3), rng.choice([0.2, 0.5, rng.random()])) for p in range(60) for g in rng.sample(range(12), 4)]
+    df = spark.createDataFrame(pairs, "clip_id int, label string, pred_id long, seg_id long, score double, tiou double")
+    got = {}
+    for r in R.assign_detections(df, (0.1, 0.4), fold_rows).collect():
+        got.setdefault(r.tiou_t, set()).add((r.pred_id, r.seg_id))
+    assert got == {t: greedy_assignment(pairs, t) for t in (0.1, 0.4)}
+
+
+def greedy_pairs(pairs):
     us, ut, want = set(), set(), set()
-    for a, b, _ in sorted(pairs, key=lambda p: -p[2]):
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
         if a not in us and b not in ut:
             us.add(a), ut.add(b), want.add((a, b))
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("fold_rows", [1000, 10, 0])
+def test_greedy_one_to_one(spark, fold_rows):
+    rng = random.Random(9)
+    pairs = [(a, 1000 + b if a < 15 else b, rng.choice([0.5, rng.random()])) for a in range(30) for b in rng.sample(range(25), 6)]
+    pairs += [(500 + i, 600 + i, 0.1) for i in range(5)] + [(500, 600, 0.9)]  # a pair with two scores
+    df = spark.createDataFrame([*pairs, (None, 1, 0.9), (1, None, 0.9), (2, 3, None)], "src long, tgt long, score double")
+    got = [(r.src, r.tgt) for r in S.greedy_one_to_one(df, fold_rows=fold_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy_pairs(pairs)
+    assert S.greedy_one_to_one(df.limit(0)).count() == 0
+
+
+def test_a_falling_chain_needs_no_round_per_pair(spark):
+    n = 2000
+    pairs = [(i, i + d, 1 - (2 * i + d) / 1e4) for i in range(n) for d in (0, 1)]  # each pair is blocked by the one before
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "falling chain")
+    try:
+        got = {(r.src, r.tgt) for r in S.greedy_one_to_one(spark.createDataFrame(pairs, "src long, tgt long, score double").repartition(8)).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == greedy_pairs(pairs)
+    assert len(tracker.getJobIdsForGroup("chain")) < 200
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    from spanlake.plans.components import components
+
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(400)] + [(1000, 1001 + i) for i in range(200)] + [(5000 + rnd.randrange(150), 5000 + rnd.randrange(150)) for _ in range(90)] + [(7777, 7777)]
+    label = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long").repartition(7)).collect()}
+    root = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    groups = {}
+    for x, c in label.items():
+        groups.setdefault(c, set()).add(root[x])
+    assert label.keys() == root.keys() and all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(root.values()))
 
 
 def test_tracklets_chain(spark):
