@@ -96,18 +96,17 @@ def _(t):
 
 @query(
     "segment_voting",
-    """WITH kept AS (SELECT * FROM predictions WHERE pred_id % 3 = 0),
-    near AS (SELECT k.pred_id, a.t_start, a.t_end, a.score, (least(k.t_end, a.t_end) - greatest(k.t_start, a.t_start))
+    """WITH near AS (SELECT k.pred_id, a.t_start, a.t_end, a.score, (least(k.t_end, a.t_end) - greatest(k.t_start, a.t_start))
             / (greatest(k.t_end, a.t_end) - least(k.t_start, a.t_start)) AS tiou
-        FROM kept k JOIN predictions a ON a.clip_id = k.clip_id AND a.t_start < k.t_end AND k.t_start < a.t_end)
-    SELECT pred_id, round(sum(score * tiou * t_start) / sum(score * tiou), 2) AS t_start,
-        round(sum(score * tiou * t_end) / sum(score * tiou), 2) AS t_end
-    FROM near WHERE tiou >= 0.5 AND pred_id > 0 GROUP BY 1""",
+        FROM predictions k JOIN predictions a ON a.clip_id = k.clip_id AND a.t_start < k.t_end AND k.t_start < a.t_end),
+    voted AS (SELECT pred_id, sum(score * tiou) AS w, sum(score * tiou * t_start) AS s, sum(score * tiou * t_end) AS e
+        FROM near WHERE tiou >= 0.5 GROUP BY 1)
+    SELECT pred_id, round(CASE WHEN w <> 0 THEN s / w ELSE t_start END, 2) AS t_start, round(CASE WHEN w <> 0 THEN e / w ELSE t_end END, 2) AS t_end
+    FROM predictions LEFT JOIN voted USING (pred_id)""",
     ["segments", "predictions"],
 )
 def _(t):
     p = t.predictions()
-    # every prediction is voted; the SQL above still states a third of them
     out = N.segment_voting(p, p, 0.5)
     return out.select("pred_id", F.round("t_start", 2).alias("t_start"), F.round("t_end", 2).alias("t_end"))
 

@@ -659,28 +659,28 @@ def _(t):
 
 @query(
     "multi_ref_bleu",
-    f"""WITH c AS (SELECT conv_id AS id, turn, {words('text')} AS tk FROM conversations WHERE turn < 5 AND conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) >= 4)),
+    f"""WITH c AS (SELECT conv_id AS id, turn, {words('text')} AS tk FROM conversations),
     n AS (SELECT unnest(range(1, 5))::INT AS o),
     g AS (SELECT id, turn, o, gm, count(*) AS c FROM (SELECT id, turn, o, unnest(list_transform(range(greatest(len(tk) - o + 1, 0)), lambda i: array_to_string(tk[i + 1:i + o], ' '))) AS gm FROM c, n) GROUP BY 1, 2, 3, 4),
     l AS (SELECT id, turn, len(tk) AS len FROM c),
-    pr AS (SELECT h.id, h.turn AS h, r.turn AS r, h.len AS hl, r.len AS rl, o, greatest(h.len - o + 1, 0) AS tot FROM l h JOIN l r ON h.id = r.id AND h.turn < 2 AND r.turn >= 2, n),
-    mt AS (SELECT a.id, a.turn AS h, b.turn AS r, a.o, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON a.id = b.id AND a.o = b.o AND a.gm = b.gm AND a.turn < 2 AND b.turn >= 2 GROUP BY 1, 2, 3, 4),
+    pr AS (SELECT h.id, h.turn AS h, r.turn AS r, h.len AS hl, r.len AS rl, o, greatest(h.len - o + 1, 0) AS tot FROM l h JOIN l r ON h.id = r.id AND h.turn % 2 = 0 AND r.turn % 2 = 1, n),
+    mt AS (SELECT a.id, a.turn AS h, b.turn AS r, a.o, sum(least(a.c, b.c)) AS m FROM g a JOIN g b ON a.id = b.id AND a.o = b.o AND a.gm = b.gm AND a.turn % 2 = 0 AND b.turn % 2 = 1 GROUP BY 1, 2, 3, 4),
     pm AS (SELECT pr.*, coalesce(m, 0) AS m FROM pr LEFT JOIN mt USING (id, h, r, o)),
     sc AS (SELECT id, h, r, coalesce(exp(sum(CASE WHEN o > 1 THEN ln((m + 1) / (tot + 1)) WHEN m > 0 THEN ln(m / tot) WHEN tot > 0 THEN ln(0.5 / tot) END) / 4) * CASE WHEN max(hl) = 0 THEN 0 ELSE least(1, exp(1 - max(rl) / max(hl))) END, 0) AS s FROM pm GROUP BY 1, 2, 3),
     bst AS (SELECT id, h, r FROM sc QUALIFY row_number() OVER (PARTITION BY id, h ORDER BY round(s, 9) DESC, r) = 1),
     cov AS (SELECT avg(k) AS refs_covered FROM (SELECT id, count(DISTINCT r) AS k FROM bst GROUP BY 1)),
     bs AS (SELECT o, sum(m) AS m, sum(tot) AS t, sum(rl) AS rl FROM pm JOIN bst USING (id, h, r) GROUP BY 1),
     bb AS (SELECT CASE WHEN min(m) = 0 THEN 0 ELSE 100 * exp(sum(ln(m / t)) / 4) * max(CASE WHEN o = 1 THEN least(1, exp(1 - rl / t)) END) END AS b FROM bs),
-    hd AS (SELECT unnest([2, 3, 4]) AS held),
-    mx AS (SELECT id, held, o, gm, max(c) AS mc FROM g, hd WHERE turn >= 2 AND turn <> held GROUP BY 1, 2, 3, 4),
-    lm AS (SELECT a.id, a.turn AS h, held, a.o, sum(least(a.c, mc)) AS m FROM g a JOIN mx ON a.id = mx.id AND a.o = mx.o AND a.gm = mx.gm WHERE a.turn < 2 GROUP BY 1, 2, 3, 4),
-    nr AS (SELECT id, h, held, hl, rl FROM (SELECT DISTINCT id, h, r, hl, rl FROM pr), hd WHERE r <> held QUALIFY row_number() OVER (PARTITION BY id, h, held ORDER BY abs(rl - hl), rl) = 1),
+    hd AS (SELECT id, turn AS held FROM c WHERE turn % 2 = 1),
+    mx AS (SELECT id, held, o, gm, max(c) AS mc FROM g JOIN hd USING (id) WHERE turn % 2 = 1 AND turn <> held GROUP BY 1, 2, 3, 4),
+    lm AS (SELECT a.id, a.turn AS h, held, a.o, sum(least(a.c, mc)) AS m FROM g a JOIN mx ON a.id = mx.id AND a.o = mx.o AND a.gm = mx.gm WHERE a.turn % 2 = 0 GROUP BY 1, 2, 3, 4),
+    nr AS (SELECT id, h, held, hl, rl FROM (SELECT DISTINCT id, h, r, hl, rl FROM pr) JOIN hd USING (id) WHERE r <> held QUALIFY row_number() OVER (PARTITION BY id, h, held ORDER BY abs(rl - hl), rl) = 1),
     lf AS (SELECT held, o, sum(coalesce(m, 0)) AS m, sum(greatest(hl - o + 1, 0)) AS t, sum(rl) AS rl FROM nr CROSS JOIN n LEFT JOIN lm USING (id, h, held, o) GROUP BY 1, 2),
     lb AS (SELECT held, CASE WHEN min(m) = 0 THEN 0 ELSE 100 * exp(sum(CASE WHEN m > 0 THEN ln(m / t) END) / 4) * max(CASE WHEN o = 1 THEN least(1, exp(1 - rl / t)) END) END AS b FROM lf GROUP BY 1)
     SELECT round(refs_covered, 6) AS refs_covered, round(bb.b, 6) AS best_ref_bleu, round((SELECT avg(b) FROM lb), 6) AS loo_bleu FROM cov, bb""",
 )
 def _(t):
-    # all turns take part, even ones as hypotheses and odd ones as references; the SQL above still states turns 0-4 only
+    # all turns take part, even ones as hypotheses and odd ones as references
     h = _hyps(t)
     refs = h.where(F.pmod("hyp_id", F.lit(2)) == 1).select("id", F.col("hyp_id").alias("ref_id"), "text")
     out = M.multi_ref_bleu(h.where(F.pmod("hyp_id", F.lit(2)) == 0), refs)
@@ -706,7 +706,29 @@ def _(t):
     return M.rouge(t.texts()).where("metric = 'rougeL'").select("id", r6("precision"), r6("recall"), r6("fmeasure"))
 
 
-@query("chrf")  # its SQL takes minutes on whole texts; tests compare it with counted n-grams
+def _char_grams(side: str, n: int = 6) -> str:
+    """Counts of the character n-grams of one side; a gram is one number of 21 bits a character, so a long text is cut in linear time."""
+    parts = []
+    for k in range(1, n + 1):
+        whole = " + ".join(f"c[i + {j}] * {1 << 21 * j}::HUGEINT" for j in range(k))
+        parts.append(f"SELECT id, {k} AS k, unnest(list_transform(range(1, len(c) - {k} + 2), lambda i: {whole})) AS gram FROM chars_{side}")
+    return f"grams_{side} AS (SELECT id, k, gram, count(*) AS c FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)"
+
+
+def _chars(side: str) -> str:
+    plain = f"regexp_replace(coalesce({side}, ''), '[ \\t\\n\\x0b\\f\\r]+', '', 'g')"
+    return f"chars_{side} AS (SELECT id, list_transform(list_filter(string_split({plain}, ''), lambda x: x <> ''), lambda x: unicode(x)::HUGEINT) AS c FROM texts)"
+
+
+@query(
+    "chrf",
+    f"""WITH {_chars("pred")}, {_chars("ref")}, {_char_grams("pred")}, {_char_grams("ref")},
+    m AS (SELECT k, sum(least(p.c, r.c)) AS m FROM grams_pred p JOIN grams_ref r USING (id, k, gram) GROUP BY k),
+    o AS (SELECT k, coalesce(m, 0) AS m, p, r FROM (SELECT k, sum(c) AS p FROM grams_pred GROUP BY k) JOIN (SELECT k, sum(c) AS r FROM grams_ref GROUP BY k) USING (k) LEFT JOIN m USING (k)),
+    a AS (SELECT avg(m / p) AS p, avg(m / r) AS r FROM o)
+    SELECT round(coalesce(100 * 5 * p * r / nullif(4 * p + r, 0), 0), 6) AS chrf FROM a""",
+    ["texts"],
+)
 def _(t):
     return M.chrf(t.texts()).select(r6("chrf"))
 
