@@ -10,11 +10,13 @@ Documents are dealt to groups of bounded size by a hash of id and text, and each
 does not depend on the partitioning, and nothing is ordered over the whole table.
 
 Defined cases: a null or empty text is one end id; rows that repeat an id are packed one by one; an empty table gives
-no pieces; a document of any length is cut into whole windows; other columns are ignored.
+no pieces; a document of any length, with runs of white space of any length, is cut into whole windows, so a window's border may lie
+inside it; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
@@ -30,6 +32,9 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "sequence_tokens long, step_group long"
 )
+#: Texts with a longer run of white space go to the library.
+LONG_BLANKS = 20_000
+BLANKS = re.compile(r"\s+")
 
 
 @cache
@@ -47,8 +52,22 @@ def byte_encoder(ranks_file: str):
     )
 
 
+@cache
+def library(file: str):
+    """The vocabulary's own library, which takes texts of any shape."""
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path(file))
+
+
 def token_ids(text: str | None, ranks_file: str = "byte_bpe_50k.tiktoken", end_id: int = 0) -> np.ndarray:
-    ids = byte_encoder(ranks_file).encode(text or "", allowed_special="all")
+    text = text or ""
+    # the ranked form looks ahead over every run of blanks, and its stack ends within some hundred thousand of them
+    if len(text) > LONG_BLANKS and any(m.end() - m.start() > LONG_BLANKS for m in BLANKS.finditer(text)):
+        ids = library(ranks_file.replace(".tiktoken", ".json")).encode(text, add_special_tokens=False).ids
+    else:
+        ids = byte_encoder(ranks_file).encode(text, allowed_special="all")
     ids.append(end_id)
     return np.array(ids, "<u4")
 

@@ -98,3 +98,24 @@ def test_pieces_hold_every_id_once(spark):
     for _, q in rows.sort_values("offset").groupby("sequence_id"):
         assert (q.offset == q.length.cumsum() - q.length).all() and q.length.sum() == q.sequence_tokens.iloc[0] <= 1024
     assert packing_tiers.pack(no_docs(spark)).count() == 0
+
+
+def test_long_runs_of_white_space_have_the_ids_of_the_library():
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + "\t" * 1_000_000 + "b", "x" + "\u3000 \x85\r\n" * 250_000 + "y", ("w" + " " * 19_999) * 60):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert packing_tiers.token_ids(text).tolist() == [*ids, 0]
+
+
+def test_pieces_of_documents_larger_than_a_group(spark):
+    rnd = random.Random(2)
+    docs = [(i, " ".join(rnd.choice(["alpha", "beta", "gamma"]) for _ in range(n))) for i, n in enumerate((9000, 12_000, 40, 3))] + [(9, " " * 300_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = packing_tiers.pack(df, group_bytes=20_000).collect()
+    for doc_id, text in docs:
+        ids = packing_tiers.token_ids(text)
+        at = 0
+        for r in sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r.start):
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
