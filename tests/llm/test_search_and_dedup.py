@@ -67,7 +67,7 @@ def test_groups_equal_brute_force(spark):
     assert all(r.kept == (r.component_id == d) and r.n_shingles == len(shingle_set(texts[d])) for d, r in got.items())
 
 
-def test_hot_group_without_its_origin_is_linked(spark, monkeypatch):
+def test_hot_group_without_its_origin_is_linked(spark):
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     texts = {}
@@ -75,9 +75,46 @@ def test_hot_group_without_its_origin_is_linked(spark, monkeypatch):
         own = list(base)
         own[rnd.randrange(60)] = f"x{d}"
         texts[d] = " ".join(own)
-    for few in (0, 10**6):  # with pivot rounds to the end, and with the exhaustive pass at once
-        monkeypatch.setattr(near_dedup, "FEW", few)
-        assert {d: r.component_id for d, r in dedup(spark, texts).items()} == brute_components(texts)
+    assert {d: r.component_id for d, r in dedup(spark, texts).items()} == brute_components(texts)
+
+
+def test_a_group_around_one_passage_forms_no_pairs(spark):
+    rnd = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = {d: " ".join([*passage, *(f"w{rnd.randrange(10**9)}" for _ in range(40))]) for d in range(300)}  # similarity 0.4
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = near_dedup.stored(near_dedup.full_sets(df, df.select("doc_id", near_dedup.text_key(F.col("text")).alias("_text"), F.col("doc_id").alias("id"))))
+    rows = near_dedup.signed(df).select(F.col("doc_id").alias("id"), "n", "s0", "s1", F.col("doc_id").alias("c"))
+    assert near_dedup.prefix_pairs(rows, sets, 75).count() == 0
+    assert all(r.kept for r in dedup(spark, texts).values())
+
+
+def test_prefixes_miss_no_pair(spark):
+    texts = {d: t for d, t in family(8).items() if t}
+    sets_of = {d: shingle_set(t) for d, t in texts.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = near_dedup.stored(near_dedup.full_sets(df, df.select("doc_id", near_dedup.text_key(F.col("text")).alias("_text"), F.col("doc_id").alias("id"))))
+    rows = near_dedup.signed(df).select(F.col("doc_id").alias("id"), "n", "s0", "s1", F.col("doc_id").alias("c"))
+    got = {frozenset((r.u, r.v)) for r in near_dedup.prefix_pairs(rows, sets, 75).collect()}
+    want = {frozenset(p) for p in itertools.combinations(texts, 2) if 100 * len(sets_of[p[0]] & sets_of[p[1]]) >= 75 * len(sets_of[p[0]] | sets_of[p[1]])}
+    assert want <= got and len(got) < len(texts) ** 2 / 8
+
+
+def test_links_of_real_documents_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(docs).collect()}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    holders, root = {}, {d: d for d in texts}
+    for d, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(d)
+    pairs = {p for h in holders.values() if len(h) > 1 for p in itertools.combinations(h, 2)}
+    linked = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for _ in range(50):
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == root and len(linked) > 50
 
 
 def test_odd_rows_stay(spark):
@@ -106,11 +143,31 @@ def test_copies_of_every_text_of_a_repeated_id_are_linked(spark):
 
 def test_posterior_bound():
     least = near_dedup.least_agreements(0.75, 1e-5)
-    assert least == sorted(least) and 0 < least[0] < 0.75 * near_dedup.BATCH
+    assert (np.diff(least) >= 0).all() and 0 < least[64] < 0.75 * 64
     draw = np.random.default_rng(1)
-    same = draw.random((200_000, len(least) * near_dedup.BATCH)) < 0.75
-    counts = same.reshape(len(same), len(least), -1).sum(2).cumsum(1)
-    assert (counts < np.array(least)).any(1).mean() < 1e-3
+    same = draw.random((100_000, 512)) < 0.75 + 0.25 / 16
+    counts = same.cumsum(1)[:, 63::64]
+    assert (counts < least[64::64]).any(1).mean() < 1e-3
+
+
+@pytest.mark.parametrize("size", [20, 150, 3000])
+def test_sketches_keep_similar_pairs_and_drop_others(size):
+    draw = np.random.default_rng(size)
+    least = near_dedup.least_agreements(0.75, near_dedup.MISS)
+
+    def pair(similarity):
+        shared = round(2 * size * similarity / (1 + similarity))
+        x = draw.integers(0, 1 << 63, 2 * size - shared, np.uint64)
+        return [np.unique(x[:size]), np.unique(np.concatenate([x[:shared], x[size:]]))]
+
+    def kept(similarity, n=300):
+        sides = [[near_dedup.sketch(s, near_dedup.signature(s)) for s in pair(similarity)] for _ in range(n)]
+        x, y = (np.stack([np.frombuffer(p[i], np.uint8) for p in sides]) for i in (0, 1))
+        return len(near_dedup.surviving(x, y, least)) / n
+
+    assert kept(0.78) == 1.0 and kept(1.0) == 1.0
+    assert kept(0.4) < 0.05
+    assert size < 3000 or kept(0.6) < 0.02
 
 
 @pytest.mark.parametrize("local", [True, False])
