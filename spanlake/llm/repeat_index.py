@@ -11,9 +11,13 @@ document, in a repeated row or in the same document, overlaps included. Strings
    doubling. Its Burrows-Wheeler transform is kept as runs with the text places (samples) of each run's first and last row. Two rows that meet
    at a border of runs are compared once; inside a run the match of a place is that of the place before it, less
    one byte. So one stream over the text gives each place's longest match elsewhere from the samples alone, and
-   matches of `least` bytes or more are marked. A context that stands for several copies is repeated as a whole.
+   matches of `least` bytes or more are marked. A context that stands for several copies is repeated as a whole; if it is the only
+   one of its anchor, nothing is left to compare.
 4. An anchor with more than HOT different contexts (a line that a third of all documents hold) would make an unbounded
-   bucket. Its contexts go by windows instead: each window is its own hash of 128 bits, counted over all contexts.
+   bucket. Its contexts are cut again: each of their windows selects another anchor by another hash, and windows of one
+   first and second anchor form smaller contexts, which are folded, counted and dealt in the same way. Most windows around a short
+   common line select an anchor outside it and leave. What is still common after LEVELS cuts goes by
+   windows, each as its own hash of 128 bits, counted over all contexts.
 5. Marks return to all places of a context, and each document is cut.
 
 Anchors, contexts and marks are narrow rows that combine before a shuffle; joins on them have one large side that adaptive
@@ -43,14 +47,15 @@ from spanlake.llm.common import groups_for, stored
 
 GRAM = 32
 HOT = 1024
+LEVELS = 2
 BUCKET_BYTES = 1 << 20
 SLICE_BYTES = 1 << 18
 #: Symbols of nine bits that one long holds.
 PACKED = 7
 
 _draw = np.random.Generator(np.random.PCG64(11))
-BYTE = _draw.integers(0, 1 << 64, (2, 256), np.uint64)
-ODD = _draw.integers(0, 1 << 63, (2, 40), np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = _draw.integers(0, 1 << 64, (LEVELS + 2, 256), np.uint64)
+ODD = _draw.integers(0, 1 << 63, (LEVELS + 2, 40), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def string_hashes(raw: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
@@ -69,9 +74,9 @@ def string_hashes(raw: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return total * ODD[seed, 39]
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def anchors(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """text, first and last window start (places in raw) and anchor hash of each interval; texts lie in raw at starts."""
-    hashes = string_hashes(raw, GRAM)
+    hashes = string_hashes(raw, GRAM, seed)
     key = (hashes & ~np.uint64(0xFFFFFFFF)) | np.arange(len(hashes), dtype=np.uint64)  # of equal ones the leftmost
     width, grams = 1, least - GRAM + 1
     while width * 2 <= grams:
@@ -236,6 +241,58 @@ def by_index(contexts: DataFrame, least: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, f"ctx binary, spans {SPANS}")
 
 
+def cut_again(contexts: DataFrame, least: int, seed: int) -> DataFrame:
+    """(ctx, at, sub, key, m, text): the smaller contexts inside each context by the anchors of another hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = b["text"].to_pylist()
+            joined = b"".join(texts)
+            sizes = np.array([len(t) for t in texts], np.int64)
+            starts = np.cumsum(sizes) - sizes
+            row, first, last, key = anchors(np.frombuffer(joined, np.uint8), starts, sizes, least, seed)
+            # windows of different first anchors stay apart
+            key = (key ^ b["key"].to_numpy()[row]) * np.int64(2 * seed + 1)
+            parts = [joined[i : j + least] for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b["ctx"].take(at), pa.array((first - starts[row]).astype(np.int32)), pa.array([hashlib.blake2b(p, digest_size=16).digest() for p in parts], pa.binary()),
+                    pa.array(key), b["m"].take(at), pa.array(parts, pa.binary()),
+                ],
+                names=["ctx", "at", "sub", "key", "m", "text"],
+            )
+
+    return contexts.select("ctx", "key", "m", "text").mapInArrow(run, "ctx binary, at int, sub binary, key long, m long, text binary")
+
+
+def counted(one: DataFrame) -> DataFrame:
+    """Contexts (ctx, key, m, ...) of anchors that occur more than once, with c, the number of contexts of the anchor."""
+    one = stored(one)
+    keys = one.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t")).where("t > 1")
+    return one.join(stored(keys.select("key", "c")), "key")
+
+
+def marks_of(contexts: DataFrame, least: int, level: int = 0) -> DataFrame:
+    """(ctx, spans) of the repeated windows of contexts (ctx, key, m, c, text), by the number of contexts of an anchor."""
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.octet_length("text").cast("int").alias("e")))
+    alone = contexts.where("c = 1").select("ctx", whole.alias("spans"))
+    marks = alone.union(by_index(contexts.where((F.col("c") > 1) & (F.col("c") <= HOT)), least))
+    hot = contexts.where(F.col("c") > HOT)
+    if hot.isEmpty():
+        return marks
+    if level == LEVELS:
+        return marks.union(by_windows(hot, least))
+    parts = stored(cut_again(hot, least, level + 1))
+    one = parts.groupBy(F.col("sub").alias("ctx")).agg(F.first("key").alias("key"), F.sum("m").alias("m"), F.first("text").alias("text"))
+    found = stored(marks_of(stored(counted(one)), least, level + 1)).withColumnRenamed("ctx", "sub")
+    moved = F.transform("spans", lambda x: F.struct((F.col("at") + x["s"]).alias("s"), (F.col("at") + x["e"]).alias("e")))
+    back = parts.select("ctx", "at", "sub").join(found, "sub").select("ctx", moved.alias("spans"))
+    return marks.union(back.groupBy("ctx").agg(F.flatten(F.collect_list("spans")).alias("spans")))  # a context has few parts
+
+
 def by_windows(contexts: DataFrame, least: int) -> DataFrame:
     """(ctx, spans) by counting each window of the contexts."""
 
@@ -300,13 +357,8 @@ def repeated_spans(docs: DataFrame, least: int = 400) -> DataFrame:
         raise ValueError(f"repeated strings have more than {GRAM} bytes")
     places = stored(anchored(docs, least))
     one = places.groupBy("ctx").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("m"), F.min(F.struct("rid", "start", "n")).alias("r"))
-    one = stored(one.select("ctx", "key", "m", "r.rid", "r.start", "r.n"))
-    keys = stored(one.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("m").alias("t")).where("t > 1").select("key", "c"))
-    contexts = stored(cut_out(docs, one.join(keys, "key")))
-    marks = by_index(contexts.where(F.col("c") <= HOT), least)
-    hot = contexts.where(F.col("c") > HOT)
-    if not hot.isEmpty():
-        marks = marks.union(by_windows(hot, least))
+    contexts = stored(cut_out(docs, counted(one.select("ctx", "key", "m", "r.rid", "r.start", "r.n"))))
+    marks = marks_of(contexts, least)
     hits = places.select("rid", "start", "ctx").join(stored(marks), "ctx").select("rid", "start", "spans")
     return hits.groupBy("rid").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
 

@@ -55,9 +55,10 @@ def removed(df):
     return {r.doc_id: ([tuple(s) for s in r.removed], bytes(r.kept)) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot,bucket", [(1024, 1 << 20), (1024, 500), (2, 1 << 20)])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot, bucket):
+@pytest.mark.parametrize("hot,levels,bucket", [(1024, 2, 1 << 20), (1024, 2, 500), (2, 0, 1 << 20), (2, 2, 1 << 20)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, hot, levels, bucket):
     monkeypatch.setattr(repeat_index, "HOT", hot)
+    monkeypatch.setattr(repeat_index, "LEVELS", levels)
     monkeypatch.setattr(repeat_index, "BUCKET_BYTES", bucket)
     texts = some_texts(60)
     got = removed(repeat_index.remove_repeats(frame(spark, texts), 60))
