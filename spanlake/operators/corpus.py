@@ -131,18 +131,14 @@ def vector_mean(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return lists.select(*keys, F.transform("_l", lambda x: x["_m"]).alias(vec))
 
 
-def joint_label_stats(refs: DataFrame, hyps: DataFrame, key: str = "uid", ref: str = "labels", hyp: str = "labels") -> DataFrame:
+def joint_label_stats(refs: DataFrame, hyps: DataFrame, key: str = "uid", pos: str = "pos", label: str = "label") -> DataFrame:
     """Purity both ways, mutual information, its share of either entropy, and the entropies.
 
-    Label sequences of one key are aligned from the start and cut to the shorter.
+    Sequences are rows (key, pos, label) with pos from 0; those of one key are aligned from the start and cut to the shorter. A
+    long sequence is spread, as each position is joined on its own.
     """
-    both = refs.select(key, F.col(ref).alias("_r")).join(hyps.select(key, F.col(hyp).alias("_h")), key)
-    n = F.least(F.size("_r"), F.size("_h"))
-    cells = (
-        both.select(F.explode(F.arrays_zip(F.slice("_r", 1, n).alias("r"), F.slice("_h", 1, n).alias("h"))).alias("z"))
-        .groupBy(F.col("z.r").alias("r"), F.col("z.h").alias("h"))
-        .agg(F.count("*").alias("c"))
-    )
+    r = refs.select(key, pos, F.col(label).alias("r"))
+    cells = r.join(hyps.select(key, pos, F.col(label).alias("h")), [key, pos]).groupBy("r", "h").agg(F.count("*").alias("c"))
     total = cells.agg(F.sum("c").alias("tot"))
     p = cells.join(F.broadcast(total)).select("r", "h", (F.col("c") / F.col("tot")).alias("p"))  # total is one row
     px = p.groupBy("r").agg(F.sum("p").alias("px"), F.max("p").alias("mx"))

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from spanlake.functions.vectors import bound
 from spanlake.operators.sets import greedy_one_to_one
 from spanlake.plans.scan import draw_key, draw_unit, global_index
-from spanlake.session import cut, shuffle_width
+from spanlake.session import cut, scratch_path, shuffle_width
 
 # ---- PCA and k-means -----------------------------------------------------------------------
 
@@ -79,19 +78,97 @@ def pca_whiten(frames: DataFrame, k: int, power: float = -0.5, vec: str = "embed
     return Reduction(fit.mean, fit.components * scale, fit.ratio).transform(frames, vec)
 
 
-def kmeans_fit_assign(frames: DataFrame, k: int, percent: float = 1.0, seed: int = 0, utterance: str = "clip_id", vec: str = "embedding", iterations: int = 20) -> DataFrame:
-    """Add cluster and sq_dist: k-means fitted on a seeded share of whole utterances, applied to all rows."""
-    v = _vectors(frames, vec)
-    train = v if percent >= 1 else v.where(draw_unit(seed, F.col(utterance)) < percent)
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="_v", predictionCol="cluster").fit(train)
-    centers = np.stack(model.clusterCenters())
+#: Rows that the seedings of k-means are drawn from, whatever the size of the table.
+SEED_ROWS = 10_000
 
-    @F.pandas_udf("double")
-    def sq_dist(col: pd.Series, cluster: pd.Series) -> pd.Series:
-        x = np.stack(col.to_numpy()).astype(float) if len(col) else np.empty((0, centers.shape[1]))
-        return pd.Series(((x - centers[cluster.to_numpy()]) ** 2).sum(axis=1))
 
-    return model.transform(v).withColumn("sq_dist", sq_dist(F.col(vec), F.col("cluster"))).drop("_v")
+def spread_centers(x: np.ndarray, k: int, draw: np.random.Generator) -> np.ndarray:
+    """k rows of x, each drawn with a chance in proportion to its squared distance from those before."""
+    centers = [x[draw.integers(len(x))]]
+    far = ((x - centers[0]) ** 2).sum(1)
+    while len(centers) < k:
+        total = far.sum()
+        centers.append(x[draw.choice(len(x), p=far / total) if total > 0 else draw.integers(len(x))])
+        far = np.minimum(far, ((x - centers[-1]) ** 2).sum(1))
+    return np.array(centers)
+
+
+def nearest_centers(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest centre of each row, ties to the first, and the squared distance to it."""
+    d = ((x * x).sum(1)[:, None] - 2 * x @ centers.T) + (centers * centers).sum(1)[None, :]
+    at = d.argmin(1)
+    return at, ((x - centers[at]) ** 2).sum(1)
+
+
+def center_sums(rows: DataFrame, sets: np.ndarray, vec: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Count (set, k) and sum (set, k, d) of the rows nearest to each centre, and the squared distance per set, for several sets at once.
+
+    Every task adds up its own rows; only its sums leave it.
+    """
+    n_sets, k, d = sets.shape
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, s, q = np.zeros((n_sets, k)), np.zeros((n_sets, k, d)), np.zeros(n_sets)
+        for b in batches:
+            if len(b):
+                x = np.stack(b[vec].to_numpy()).astype(float)
+                for i, centers in enumerate(sets):
+                    at, far = nearest_centers(x, centers)
+                    hot = np.zeros((len(x), k))
+                    hot[np.arange(len(x)), at] = 1
+                    n[i] += hot.sum(0)
+                    s[i] += hot.T @ x
+                    q[i] += far.sum()
+        yield pd.DataFrame({"n": [n.ravel()], "s": [s.ravel()], "q": [q]})
+
+    parts = rows.select(vec).mapInPandas(added, "n array<double>, s array<double>, q array<double>")
+    total = parts.select(*[Summarizer.sum(array_to_vector(c)).alias(c) for c in ("n", "s", "q")]).first()
+    return total["n"].toArray().reshape(n_sets, k), total["s"].toArray().reshape(n_sets, k, d), total["q"].toArray()
+
+
+def kmeans_fit(train: DataFrame, k: int, seed: int = 0, vec: str = "embedding", batch_rows: int = 10_000, steps: int = 20, n_init: int = 3) -> np.ndarray:
+    """Centres by mini-batches: each moves to the mean of all rows that it was given so far; of n_init seedings the one of least inertia.
+
+    Rows fall to batches of about batch_rows by a seeded hash of their vector and are stored by batch, so a step reads
+    its own batch only. All seedings, drawn from SEED_ROWS rows, take a step in one pass. The result hangs on
+    rows and seed alone, but for the order in which sums are added.
+    """
+    n = train.count()
+    if n == 0:
+        raise ValueError("k-means needs rows")
+    parts = min(steps, max(1, -(-n // batch_rows)))
+    lot = F.pmod(F.xxhash64(F.lit(seed), F.col(vec)), F.lit(1 << 30))
+    path = scratch_path(train.sparkSession, "kmeans")
+    train.select(vec, lot.alias("lot"), F.pmod("lot", F.lit(parts)).alias("batch")).repartition("batch").write.partitionBy("batch").parquet(path)
+    rows = train.sparkSession.read.parquet(path)
+    sample = np.array([r[0] for r in rows.orderBy("lot", vec).limit(SEED_ROWS).select(vec).collect()], float)
+    draw = np.random.default_rng(seed)
+    sets = np.stack([spread_centers(sample, k, draw) for _ in range(n_init)])
+    seen = np.zeros(sets.shape[:2])
+    for step in range(steps):
+        count, total, _ = center_sums(rows.where(F.col("batch") == step % parts), sets, vec)
+        seen += count
+        moved = sets + (total - count[:, :, None] * sets) / np.maximum(seen, 1)[:, :, None]
+        if np.allclose(moved, sets, rtol=0, atol=1e-9) and parts == 1:
+            break
+        sets = moved
+    return sets[int(np.argmin(center_sums(rows, sets, vec)[2]))]
+
+
+def assign_centers(frames: DataFrame, centers: np.ndarray, vec: str = "embedding") -> DataFrame:
+    """Add cluster, the nearest centre, ties to the first, and sq_dist."""
+    @F.pandas_udf("struct<cluster:int,sq_dist:double>")
+    def told(col: pd.Series) -> pd.DataFrame:
+        at, far = nearest_centers(np.stack(col.to_numpy()).astype(float), centers) if len(col) else (np.empty(0), np.empty(0))
+        return pd.DataFrame({"cluster": at.astype(np.int32), "sq_dist": far})
+
+    return frames.withColumn("_k", told(F.col(vec).cast("array<double>"))).select("*", "_k.cluster", "_k.sq_dist").drop("_k")
+
+
+def kmeans_fit_assign(frames: DataFrame, k: int, percent: float = 1.0, seed: int = 0, utterance: str = "clip_id", vec: str = "embedding", **options) -> DataFrame:
+    """Add cluster and sq_dist: mini-batch k-means fitted on a seeded share of whole utterances, applied to all rows."""
+    train = frames if percent >= 1 else frames.where(draw_unit(seed, F.col(utterance)) < percent)
+    return assign_centers(frames, kmeans_fit(train, k, seed, vec, **options), vec)
 
 
 def inertia(assigned: DataFrame) -> DataFrame:

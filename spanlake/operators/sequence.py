@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions.vectors import bound
 from spanlake.functions.text import clean_label
-from spanlake.plans.packing import CHUNK_ROWS, batch_next, greedy_blocks, sizes_next
+from spanlake.plans.packing import CHUNK_ROWS, batch_pointers, greedy_blocks, sum_pointers
 from spanlake.plans.scan import draw_unit, global_index, keyed_index, ordered_scan
 from spanlake.session import spread
 
@@ -288,8 +288,7 @@ def token_blocks(docs: DataFrame, size: int, mode: str = "none", ident: str = "d
     by_doc = mode == "complete_doc"
     if by_doc and not group:
         raise ValueError("complete_doc needs the document column")
-    fn = sizes_next(["_n"], size, group if by_doc else None)
-    at = greedy_blocks(idx, fn, ["_n", *(by if by_doc else [])], "idx", chunk_rows)
+    at = greedy_blocks(sum_pointers(idx, {"_n": size}, "idx", group if by_doc else None), "idx", chunk_rows)
     place = idx.select(ident, "idx", "_n").join(at, "idx")
     if by_doc:
         # blocks of one token drop; the kept starts are numbered on the narrow table
@@ -314,7 +313,7 @@ def pack_pairs(df: DataFrame, max_tokens: int, ident: str = "id", src: str = "sr
         return F.size(F.filter(F.split(F.col(c), r"\s+"), lambda x: x != "")).cast("long")
 
     idx = global_index(df.select(ident, words(src).alias("_a"), words(tgt).alias("_b")), [F.col(ident)], "idx")
-    at = greedy_blocks(idx, sizes_next(["_a", "_b"], max_tokens), ["_a", "_b"], "idx", chunk_rows)
+    at = greedy_blocks(sum_pointers(idx, {"_a": max_tokens, "_b": max_tokens}), "idx", chunk_rows)
     place = idx.select(ident, "idx").join(at, "idx")
     rows = df.select(ident, src, tgt).join(place, ident).groupBy("block_start").agg(F.sort_array(F.collect_list(F.struct("idx", src, tgt))).alias("l"))
     return rows.select(
@@ -330,7 +329,7 @@ def batch_by_size(df: DataFrame, max_tokens: int = 0, max_sentences: int = 0, mu
     batch is the position of its first row; counts above `multiple` are cut to a multiple of it.
     """
     idx = global_index(df.select(ident, size), order or [F.col(size), F.col(ident)], "idx")
-    at = greedy_blocks(idx, batch_next(size, max_tokens, max_sentences, multiple), [size], "idx", chunk_rows)
+    at = greedy_blocks(batch_pointers(idx, size, max_tokens, max_sentences, multiple, "idx", chunk_rows), "idx", chunk_rows)
     return idx.join(at, "idx").select(ident, size, F.col("block_start").alias("batch"))
 
 

@@ -1,8 +1,7 @@
 """Text similarity metrics: exact match, token F1, BLEU, ROUGE, chrF, word error rate, CIDEr.
 
-n-gram metrics explode n-grams into rows and count them with aggregates, so a long text is spread
-over tasks; only the longest common subsequence and the coding of words for the edit distance use a
-row-local Python helper.
+n-grams of a pair of texts are counted inside its row, over numbers in Arrow batches, so no n-gram moves; where n-grams of
+different rows meet (document frequencies, references of one source) they move as hashes with their counts.
 """
 
 from __future__ import annotations
@@ -52,40 +51,68 @@ def ngram_rows(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFr
     return t.select(*keys, grams.alias("_s")).select(*keys, F.col("_s.order").alias("order"), F.explode("_s.g").alias("gram"))
 
 
-def ngram_matches(df: DataFrame, n: int = 4, ident: str = "id", pred: str = "pred", ref: str = "ref", chars: bool = False) -> DataFrame:
+def hashed_tokens(tokens: Column) -> Column:
+    """Tokens as 64-bit hashes, which reach Python as plain arrays of numbers."""
+    return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda w: F.xxhash64(w))
+
+
+def gram_overlap(n: int):
+    """(match, pred, ref) counts of the n-grams of two arrays of token hashes, one triple per order up to n."""
+
+    @F.pandas_udf("array<bigint>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: np.ndarray, y: np.ndarray) -> list[int]:
+            names, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+            word_x, word_y = number[: len(x)].astype(np.int64), number[len(x) :].astype(np.int64)
+            left, right, out = word_x, word_y, []
+            for k in range(1, n + 1):
+                if k > 1:  # a gram is the number of its head and its last word, numbered over both texts
+                    left, right = (h[: max(0, len(w) - k + 1)] << 31 | w[k - 1 :] for h, w in ((left, word_x), (right, word_y)))
+                found, number = np.unique(np.concatenate([left, right]), return_inverse=True)
+                left, right = number[: len(left)], number[len(left) :]
+                both = np.minimum(np.bincount(left, minlength=len(found)), np.bincount(right, minlength=len(found)))
+                out += [int(both.sum()), len(left), len(right)]
+            return out
+
+        return pd.Series([one(np.asarray(x, np.int64), np.asarray(y, np.int64)) for x, y in zip(a, b)])
+
+    return run
+
+
+def ngram_matches(df: DataFrame, n: int = 4, ident: str = "id", pred: str = "pred", ref: str = "ref") -> DataFrame:
     """(id, order, match, n_pred, n_ref): clipped n-gram matches per row and order, zeros included.
 
-    Both sides are laid out in one pass over texts partitioned by id; an order without n-gram keeps
-    one null row, so no grid has to be joined.
+    N-grams are counted inside each row, in memory linear in its texts; only three numbers per order leave it.
     """
+    t = spread(df).select(ident, gram_overlap(n)(hashed_tokens(_words(F.col(pred))), hashed_tokens(_words(F.col(ref)))).alias("_c"))
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("order"), *[F.get("_c", F.lit(3 * i + j)).alias(c) for j, c in enumerate(("match", "n_pred", "n_ref"))]) for i in range(n)])
+    return t.select(ident, F.explode(rows).alias("_r")).select(ident, "_r.*")
 
-    def toks(c: str) -> Column:
-        if chars:
-            return F.filter(F.split(F.regexp_replace(F.col(c), r"(?U)\s+", ""), ""), lambda x: x != "")
-        return _words(F.col(c))
 
-    t = df.select(ident, toks(pred).alias("_p"), toks(ref).alias("_r")).repartition(shuffle_width(df.sparkSession), ident)
-    sep = "" if chars else " "
-    lists = [
-        F.struct(F.lit(i).alias("order"), F.lit(side).alias("side"), ngrams(F.col(c), i, sep).alias("g"))
-        for i in range(1, n + 1)
-        for side, c in ((1, "_p"), (0, "_r"))
-    ]
-    rows = t.select(ident, F.explode(F.array(*lists)).alias("_s")).select(
-        ident, "_s.order", "_s.side", F.explode_outer("_s.g").alias("gram")
-    )
-    real = F.col("gram").isNotNull()
-    counts = rows.groupBy(ident, "order", "gram").agg(
-        F.count(F.when(real & (F.col("side") == 1), 1)).alias("p"), F.count(F.when(real & (F.col("side") == 0), 1)).alias("r")
-    )
-    return counts.groupBy(ident, "order").agg(
-        F.sum(F.least("p", "r")).alias("match"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref")
-    )
+def gram_counts(df: DataFrame, keys: list[str], tokens: Column, n: int) -> DataFrame:
+    """(keys, order, gram, tf): the distinct n-grams of each row as 64-bit hashes, with their counts; counted inside the row."""
 
+    @F.pandas_udf("array<struct<order:int,gram:bigint,tf:bigint>>")
+    def counted(col: pd.Series) -> pd.Series:
+        def one(words: np.ndarray) -> list[dict]:
+            w, out = np.asarray(words, np.int64).view(np.uint64), []
+            gram = np.zeros(len(w), np.uint64)
+            for k in range(1, n + 1):
+                gram = (gram[: max(0, len(w) - k + 1)] ^ w[k - 1 :]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+                gram ^= gram >> np.uint64(29)
+                found, tf = np.unique(gram, return_counts=True)
+                out += [{"order": k, "gram": g, "tf": c} for g, c in zip(found.view(np.int64).tolist(), tf.tolist())]
+            return out
+
+        return pd.Series([one(x) for x in col])
 
-def corpus_matches(df: DataFrame, n: int = 4, ident: str = "id", pred: str = "pred", ref: str = "ref", chars: bool = False) -> DataFrame:
+    t = spread(df).select(*keys, F.explode(counted(hashed_tokens(tokens))).alias("_g"))
+    return t.select(*keys, "_g.order", "_g.gram", "_g.tf")
+
+
+def corpus_matches(df: DataFrame, n: int = 4, ident: str = "id", pred: str = "pred", ref: str = "ref") -> DataFrame:
     """One row with match_i, pred_i, ref_i summed over all rows for each order i."""
-    m = ngram_matches(df, n, ident, pred, ref, chars)
+    m = ngram_matches(df, n, ident, pred, ref)
     return m.agg(
         *[
             F.coalesce(F.sum(F.when(F.col("order") == i, F.col(c))), F.lit(0)).alias(f"{short}_{i}")
@@ -386,8 +413,8 @@ def cider(hyps: DataFrame, refs: DataFrame, n: int = 4, sigma: float | None = No
     weights of the hypothesis are clipped by the reference, and a Gaussian penalty applies to the
     difference of the bigram counts.
     """
-    h = ngram_rows(hyps, [ident], _words(F.col(text)), n).groupBy(ident, "order", "gram").agg(F.count("*").alias("tf"))
-    r = ngram_rows(refs, [ident, ref], _words(F.col(text)), n).groupBy(ident, ref, "order", "gram").agg(F.count("*").alias("tf"))
+    h = gram_counts(hyps, [ident], _words(F.col(text)), n)
+    r = gram_counts(refs, [ident, ref], _words(F.col(text)), n)
     df = r.select(ident, "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
     log_n = refs.select(ident).distinct().agg(F.log(F.count("*")).alias("log_n"))
     # hypothesis and reference rows meet the document frequencies in one join; a frequent gram is one

@@ -1,163 +1,140 @@
 """Greedy packing of an ordered table into consecutive blocks, exactly and in parallel.
 
-A greedy packer forgets everything when it opens a block: where a block ends depends only on
-where it starts. So every row gets the row at which the next block would open if one opened here.
-Rows are handled in chunks of bounded size with the following chunk as look-ahead. Inside a
-chunk the pointers are chased to the first start beyond it; across chunks the starts that are
-really reached are found by pointer doubling over the few rows near each chunk border.
+A greedy packer forgets everything when it opens a block: where a block ends depends only on where it starts. So every row first gets
+a pointer to the row at which the next block would open if one opened here. With limits on sums these pointers are a join of each
+row's running sum plus the limit with the running sums themselves, done by one ordered scan; with a limit on longest times count they are
+read off tables of range maxima. The starts that are really reached are then found in two steps: pointers are shortened to
+the first row beyond their chunk of bounded size, and the few rows near chunk borders are followed by pointer doubling. Nothing looks
+ahead beyond a chunk, so a block may be longer than any of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.session import cut, shuffle_width
+from spanlake.plans.scan import ordered_scan
+from spanlake.session import cut
 
 CHUNK_ROWS = 50_000
-NextFn = Callable[[pd.DataFrame], np.ndarray]
 
 
-def sizes_next(columns: list[str], limit: int, cut_column: str | None = None) -> NextFn:
-    """Blocks grow while the sum of every column stays within limit; a first row always fits.
+def sum_pointers(rows: DataFrame, limits: dict[str, int], idx: str = "idx", group: str | None = None) -> DataFrame:
+    """(i, nxt): where the next block opens if one opens at i; blocks grow while the sum of every column stays within its limit.
 
-    A change of cut_column ends the block as well.
+    A first row always fits. A change of group, which follows the order of idx, ends the block as well.
     """
-
-    def run(pdf: pd.DataFrame) -> np.ndarray:
-        n = len(pdf)
-        i = np.arange(n)
-        nxt = np.full(n, n)
-        for c in columns:
-            p = np.concatenate([[0], np.cumsum(pdf[c].to_numpy(np.int64))])
-            # first end whose block sum exceeds the limit, less the row that broke it
-            end = np.searchsorted(p, p[:-1] + limit, side="right") - 1
-            nxt = np.minimum(nxt, end)
-        nxt = np.maximum(nxt, i + 1)
-        if cut_column is not None:
-            v = pdf[cut_column].to_numpy()
-            border = np.append(np.flatnonzero(v[1:] != v[:-1]) + 1, n)
-            nxt = np.minimum(nxt, border[np.searchsorted(border, i, side="right")])
-        return nxt
-
-    return run
-
-
-def batch_next(size: str, max_tokens: int, max_rows: int, multiple: int) -> NextFn:
-    """Batches whose longest size times row count stays within max_tokens; counts cut to a multiple."""
-
-    def run(pdf: pd.DataFrame) -> np.ndarray:
-        from collections import deque
-
-        v = pdf[size].to_numpy(np.int64)
-        n = len(v)
-        nxt = np.empty(n, np.int64)
-        peak: deque = deque()
-        end = 0
-        for i in range(n):
-            while peak and peak[0] < i:
-                peak.popleft()
-            end = max(end, i)
-            while end < n:
-                top = max(int(v[peak[0]]) if peak else 0, int(v[end]))
-                rows = end - i + 1
-                if 0 < max_tokens < top * rows or 0 < max_rows < rows:
-                    break
-                while peak and v[peak[-1]] <= v[end]:
-                    peak.pop()
-                peak.append(end)
-                end += 1
-            rows = max(end - i, 1)
-            if rows > multiple and end < n or rows > multiple and end == n:
-                rows -= rows % multiple
-            nxt[i] = i + rows
-        return nxt
-
-    return run
-
-
-def greedy_blocks(df: DataFrame, next_fn: NextFn, payload: list[str], idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(idx, block_start): for each row of the dense order idx, the position at which its block opens.
-
-    payload names the columns next_fn reads.
+    keys = [group] if group else []
+    cols = list(limits)
+    narrow = rows.select(*keys, F.col(idx).cast("long").alias("i"), *[F.col(c).cast("long").alias(c) for c in cols])
+    placed = cut(ordered_scan(narrow, keys, [F.col("i")], {f"_before_{c}": ("sum", F.col(c), False) for c in cols}))
+    ends = placed.groupBy(*keys).agg(F.max("i").alias("last"), *[F.sum(c).alias(c) for c in cols])
+    found = None
+    for c in cols:
+        # at one sum starts come before the questions that they may answer
+        start = placed.select(*keys, F.col(f"_before_{c}").alias("x"), F.lit(0).alias("asks"), "i")
+        close = ends.select(*keys, F.col(c).alias("x"), F.lit(0).alias("asks"), (F.col("last") + 1).alias("i"))
+        ask = placed.select(*keys, (F.col(f"_before_{c}") + limits[c]).alias("x"), F.lit(1).alias("asks"), "i")
+        seen = F.when(F.col("asks") == 0, F.col("i"))
+        run = ordered_scan(start.unionByName(close).unionByName(ask), keys, [F.col("x"), F.col("asks"), F.col("i")], {"nxt": ("max", seen, True)})
+        one = run.where("asks = 1").select("i", F.greatest(F.col("nxt"), F.col("i") + 1).alias("nxt"))
+        found = one if found is None else found.join(one.withColumnRenamed("nxt", "_n"), "i").select("i", F.least("nxt", "_n").alias("nxt"))
+    return found
+
+
+def longest_reach(sizes: np.ndarray, count: int, max_tokens: int, max_rows: int) -> np.ndarray:
+    """For each of the first count rows the most rows whose longest size times number stays within the limits (0: none).
+
+    The limit grows with the rows, so the end is found bit by bit, from tables of the maxima of 1, 2, 4, ... rows.
     """
-    n_total = df.count()
-    narrow = df.select(F.col(idx).cast("long").alias("i"), *payload)
-    while True:
-        out = _attempt(narrow, next_fn, payload, n_total, chunk_rows)
-        if out is not None:
-            return out.select(F.col("i").alias(idx), "block_start")
-        chunk_rows *= 2  # a block was longer than a chunk and its look-ahead
-
-
-def _attempt(df: DataFrame, next_fn: NextFn, payload, n_total: int, rows: int) -> DataFrame | None:
-    own = F.floor(F.col("i") / rows)
-    # every row is seen by its own chunk and, as look-ahead, by the chunk before
-    copies = df.withColumn("chunk", F.explode(F.array(own, own - 1))).where("chunk >= 0")
-    copies = copies.repartition(shuffle_width(df.sparkSession), "chunk")
-    kinds = dict(df.dtypes)
-
-    def chase(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        base = int(pdf["i"].iloc[0])
-        chunk = int(pdf["chunk"].iloc[0])
-        stop = min((chunk + 1) * rows, n_total) - base
-        nxt = next_fn(pdf)
-        # a pointer to the end of the look-ahead is open unless the table ends there
-        open_end = (nxt >= len(pdf)) & (base + len(pdf) < n_total)
-        leave = nxt.copy()
-        for i in range(stop - 1, -1, -1):
-            if nxt[i] < stop:
-                leave[i] = leave[nxt[i]]
-        return pd.DataFrame(
-            {"i": np.arange(stop) + base, "nxt": nxt[:stop] + base, "leave": leave[:stop] + base,
-             "open": open_end[:stop], "chunk": chunk}
-        )
-
-    jumps = cut(copies.groupBy("chunk").applyInPandas(chase, "i long, nxt long, leave long, open boolean, chunk long"))
-    stats = jumps.agg(F.max(F.col("nxt") - F.col("i")).alias("span"), F.max(F.col("open").cast("int")).alias("o")).first()
-    if stats["span"] is None:
-        return df.select("i", F.col("i").alias("block_start"))
-    if stats["o"]:
-        return None
+    n = len(sizes)
+    tables = [sizes]
+    while 2 << len(tables) - 1 <= n:
+        half, last = 1 << len(tables) - 1, tables[-1]
+        tables.append(np.maximum(last[: len(last) - half], last[half:]))
+    start = np.arange(count)
+    end, top = start.copy(), np.zeros(count, np.int64)
+    for k in range(len(tables) - 1, -1, -1):
+        fits = end + (1 << k) <= n
+        peak = np.maximum(top, tables[k][np.minimum(end, len(tables[k]) - 1)])
+        rows = end + (1 << k) - start
+        if max_tokens > 0:
+            fits &= peak * rows <= max_tokens
+        if max_rows > 0:
+            fits &= rows <= max_rows
+        end, top = np.where(fits, end + (1 << k), end), np.where(fits, peak, top)
+    return np.maximum(end - start, 1)
+
+
+def batch_pointers(rows: DataFrame, size: str, max_tokens: int, max_rows: int, multiple: int, idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(i, nxt) of batches whose longest size times row count stays within max_tokens; counts are cut to a multiple.
+
+    A task holds one chunk and the rows that a batch opened there could take at most.
+    """
+    narrow = rows.select(F.col(idx).cast("long").alias("i"), F.col(size).cast("long").alias("v"))
+    head = narrow.agg(F.count("*").alias("n"), F.min("v").alias("low")).first()
+    n_total = head["n"]
+    ahead = min([n_total, *([max_rows] if max_rows > 0 else []), *([max_tokens // head["low"] + 1] if max_tokens > 0 and head["low"] else [])])
+    chunk = F.sequence(F.greatest(F.floor((F.col("i") - ahead) / chunk_rows), F.lit(0)), F.floor(F.col("i") / chunk_rows))
+
+    def point(part: pa.Table) -> pa.Table:
+        part = part.sort_by("i")
+        i, v = part["i"].to_numpy(), part["v"].to_numpy()
+        count = int(np.searchsorted(i, (part["chunk"][0].as_py() + 1) * chunk_rows))
+        taken = longest_reach(v, count, max_tokens, max_rows)
+        taken = np.where(taken > multiple, taken - taken % multiple, taken)
+        return pa.table({"i": i[:count], "nxt": i[:count] + taken})
+
+    return narrow.select("i", "v", F.explode(chunk).alias("chunk")).groupBy("chunk").applyInArrow(point, "i long, nxt long")
+
+
+def greedy_blocks(pointers: DataFrame, idx: str = "idx", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(idx, block_start): for each row of the dense order the position at which its block opens, from pointers (i, nxt)."""
+    chunked = pointers.select("i", "nxt", F.floor(F.col("i") / chunk_rows).alias("chunk"))
+
+    def shorten(part: pa.Table) -> pa.Table:
+        part = part.sort_by("i")
+        i = part["i"].to_numpy()
+        base, n = int(i[0]), len(i)
+        leave = part["nxt"].to_numpy() - base
+        while (leave < n).any():
+            inside = leave < n
+            leave = np.where(inside, leave[np.where(inside, leave, 0)], leave)
+        return pa.table({"i": i, "nxt": part["nxt"], "leave": leave + base, "chunk": part["chunk"]})
+
+    jumps = cut(chunked.groupBy("chunk").applyInArrow(shorten, "i long, nxt long, leave long, chunk long"))
+    stats = jumps.agg(F.max(F.col("nxt") - F.col("i")).alias("span"), F.count("*").alias("n")).first()
+    if not stats["n"]:
+        return jumps.select(F.col("i").alias(idx), F.col("i").alias("block_start"))
     # starts can enter a chunk only within one block length behind its border
-    near = F.col("i") - F.col("chunk") * rows < int(stats["span"])
+    near = F.col("i") - F.col("chunk") * chunk_rows < int(stats["span"])
     jump = cut(jumps.where(near).select("i", F.col("leave").alias("to")))
-    reach = jump.where("i = 0").select("i")
-    known = 1
+    reach, known = jump.where("i = 0").select("i"), 1
     while True:
-        grown = cut(reach.union(reach.join(jump, "i").select(F.col("to").alias("i"))).distinct().where(F.col("i") < n_total))
-        size = grown.count()
-        reach = grown
+        reach = cut(reach.union(reach.join(jump, "i").select(F.col("to").alias("i"))).distinct().where(F.col("i") < stats["n"]))
+        size = reach.count()
         if size == known:
             break
         known = size
         far = jump.select(F.col("i").alias("to"), F.col("to").alias("_far"))
         jump = cut(jump.join(far, "to", "left").select("i", F.coalesce("_far", "to").alias("to")))
-    marked = copies.join(reach.withColumn("entry", F.lit(True)), "i", "left").repartition(
-        shuffle_width(df.sparkSession), "chunk"
-    )
-
-    def lay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        base, chunk = int(pdf["i"].iloc[0]), int(pdf["chunk"].iloc[0])
-        stop = min((chunk + 1) * rows, n_total) - base
-        entries = np.flatnonzero(pdf["entry"].notna().to_numpy()[:stop])
-        if len(entries) == 0:
-            return pd.DataFrame({"i": np.empty(0, np.int64), "block_start": np.empty(0, np.int64)})
-        nxt = next_fn(pdf.drop(columns=["entry"]))
-        at = int(entries[0])
-        first = at
-        marks = []
-        while at < stop:
-            marks.append((at, min(int(nxt[at]), len(pdf))))
-            at = int(nxt[at])
-        ends = marks[-1][1]
-        starts = np.repeat([m[0] for m in marks], [m[1] - m[0] for m in marks])
-        return pd.DataFrame({"i": np.arange(first, ends) + base, "block_start": starts + base})
-
-    return marked.groupBy("chunk").applyInPandas(lay, "i long, block_start long")
+    entered = jumps.select("i", "nxt", "chunk").join(reach.withColumn("entry", F.lit(True)), "i", "left")
+
+    def follow(part: pa.Table) -> pa.Table:
+        """Starts that the chunk's entries lead to: each round follows twice as many pointers at once."""
+        part = part.sort_by("i")
+        i = part["i"].to_numpy()
+        base, n = int(i[0]), len(i)
+        to = np.append(np.minimum(part["nxt"].to_numpy() - base, n), n)
+        opens = np.append(part["entry"].is_valid().to_numpy(zero_copy_only=False), False)
+        while (to[:n] < n).any():
+            opens[to[np.flatnonzero(opens)]] = True
+            to = to[to]
+        opens[n] = False
+        return pa.table({"i": i, "opens": opens[:n]})
+
+    starts = entered.groupBy("chunk").applyInArrow(follow, "i long, opens boolean")
+    laid = ordered_scan(starts, [], [F.col("i")], {"block_start": ("last", F.when(F.col("opens"), F.col("i")), True)})
+    return laid.select(F.col("i").alias(idx), "block_start")

@@ -258,7 +258,7 @@ SIM = """s AS (SELECT a.vec_id AS x, b.vec_id AS y, list_inner_product(a.embeddi
 )
 def _(t):
     x, y = _sides(t)
-    return E.knn_join(x, y, 4).select("x_id", "y_id", r6("sim"))
+    return E.knn_join(x, y, 4, pivots=8).select("x_id", "y_id", r6("sim"))
 
 
 @rec_query(

@@ -40,6 +40,34 @@ def _(t):
     return out.select("clip_id", "subset", "label", r6("t_start"), r6("t_end"))
 
 
+def _keyed(t) -> str:
+    """Clips as {"database": {id: {...}}} documents, one a line; some without duration or rate."""
+    seg = F.when(F.col("subset") != "test", F.struct("label", F.lit(0).alias("label_id"), F.array("t_start", "t_end").alias("segment")))
+    clips = t.clips().join(t.segments(), "clip_id").groupBy("clip_id", "subset", "duration", "fps").agg(F.array_compact(F.collect_list(seg)).alias("annotations"))
+    body = F.struct(
+        F.upper("subset").alias("subset"), F.when(F.col("clip_id") % 3 > 0, F.col("duration")).alias("duration"),
+        F.when(F.col("clip_id") % 2 > 0, F.col("fps")).alias("fps"), "annotations",
+    )
+    doc = F.to_json(F.struct(F.create_map(F.col("clip_id").cast("string"), body).alias("database")))
+    return _file(t, clips.select(doc.alias("value")), "keyed")
+
+
+KEYED_SQL = """SELECT c.clip_id::VARCHAR AS clip_id, subset, round(CASE WHEN c.clip_id % 3 > 0 THEN duration ELSE 1e8 END, 6) AS duration, 25.0::DOUBLE AS fps, label,
+        round(t_start, 6) AS t_start, round(t_end, 6) AS t_end FROM clips c LEFT JOIN segments s ON c.clip_id = s.clip_id AND c.subset <> 'test'"""
+
+
+@query("read_keyed_database", KEYED_SQL, ["segments", "clips"])
+def _(t):
+    out = R.read_keyed_database(t.spark, _keyed(t), 25.0, lines=True)
+    return out.select("clip_id", "subset", r6("duration"), "fps", "label", r6("t_start"), r6("t_end"))
+
+
+@query("dataset_registry", KEYED_SQL, ["segments", "clips"])
+def _(t):
+    out = R.make_dataset("keyed_database", t.spark, path=_keyed(t), default_fps=25.0, lines=True)
+    return out.select("clip_id", "subset", r6("duration"), "fps", "label", r6("t_start"), r6("t_end"))
+
+
 @query(
     "read_moments_json",
     """SELECT o_custkey::VARCHAR AS video_uid, o_orderkey::VARCHAR AS clip_uid, o_orderkey % 600 AS video_end_frame,
@@ -94,13 +122,13 @@ def _(t):
 
 @query(
     "read_embeddings_tsv",
-    "SELECT vec_id AS frame_index, len(embedding) AS n, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings",
+    "SELECT vec_id AS frame_index, unnest(range(len(embedding)))::INT AS pos, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings",
 )
 def _(t):
     path = scratch_path(t.spark, "emb")
     t.raw("embeddings").select(F.col("vec_id").alias("frame_index"), F.to_json("embedding").alias("encoder_output")).write.csv(path, sep="\t", header=True)
     out = R.read_embeddings_tsv(t.spark, path)
-    return out.select("frame_index", F.size("embedding").alias("n"), r6(F.col("embedding")[0].cast("double"), "first"))
+    return out.select("frame_index", F.posexplode("embedding").alias("pos", "value")).select("frame_index", "pos", r6(F.col("value").cast("double"), "value"))
 
 
 @query(
@@ -134,13 +162,17 @@ def _(t):
 
 @query(
     "read_json_logs",
-    "SELECT (user_id % 20)::INT AS epoch, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type <> 'view' GROUP BY 1",
+    """WITH e AS (SELECT event_id, (user_id % 20)::INT AS epoch, value, CASE WHEN event_type <> 'click' THEN user_id::DOUBLE END AS lr FROM events WHERE event_type <> 'view'),
+    m AS (SELECT event_id, epoch, 'loss' AS metric, value FROM e UNION ALL SELECT event_id, epoch, 'lr', lr FROM e WHERE lr IS NOT NULL)
+    SELECT epoch, metric, row_number() OVER (PARTITION BY epoch, metric ORDER BY event_id) - 1 AS pos, round(value, 6) AS value FROM m""",
 )
 def _(t):
-    e = t.raw("events")
-    body = F.struct(F.when(F.col("event_type") != "view", F.col("user_id") % 20).alias("epoch"), F.col("value").alias("loss"))
-    out = R.read_json_logs(t.spark, _file(t, e.select(F.to_json(body).alias("value")), "logs"), ["loss"])
-    return out.select("epoch", F.size("loss").cast("long").alias("n"), F.round(F.aggregate("loss", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    e = t.raw("events").orderBy("event_id")  # the log's order
+    body = F.struct(
+        F.when(F.col("event_type") != "view", F.col("user_id") % 20).alias("epoch"), F.col("value").alias("loss"),
+        F.when(F.col("event_type") != "click", F.col("user_id").cast("double")).alias("lr"),
+    )
+    return R.read_json_logs(t.spark, _file(t, e.select(F.to_json(body).alias("value")), "logs"), ["loss", "lr"]).select("epoch", "metric", "pos", r6("value"))
 
 
 @query(

@@ -12,7 +12,8 @@ from spanlake.functions import vectors as V
 from spanlake.operators import corpus as C
 from spanlake.operators import text_metrics as M
 from spanlake.plans.annotation_queries import r6
-from spanlake.plans.registry import query
+from spanlake.plans.scan import keyed_index
+from spanlake.plans.registry import ORACLES, query
 from spanlake.plans.sequence_queries import _docs
 
 PUNCT_SQL = "'" + T.PUNCTUATION.replace("'", "''") + "'"
@@ -286,10 +287,11 @@ def _(t):
 
 @query(
     "softmax",
-    """SELECT vec_id, round(exp(embedding[1]::DOUBLE) / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE))), 6) AS s FROM embeddings""",
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings)
+    SELECT vec_id, unnest(range(len(e)))::INT AS pos, round(unnest(list_transform(e, lambda x: x / list_sum(e))), 6) AS s FROM e""",
 )
 def _(t):
-    return t.raw("embeddings").select("vec_id", r6(V.softmax(F.col("embedding"))[0], "s"))
+    return t.raw("embeddings").select("vec_id", F.posexplode(V.softmax(F.col("embedding"))).alias("pos", "s")).select("vec_id", "pos", r6("s"))
 
 
 @query("f1", "SELECT vec_id, round(2 * p * r / (p + r + 1e-9), 6) AS f FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) AS p, abs(embedding[2]::DOUBLE) AS r FROM embeddings)")
@@ -529,8 +531,7 @@ def _(t):
 )
 def _(t):
     def seq(cond):
-        g = t.segments().where(cond).groupBy(F.col("clip_id").alias("uid")).agg(F.sort_array(F.collect_list(F.struct("seg_id", "label"))).alias("l"))
-        return g.select("uid", F.transform("l", lambda x: x["label"]).alias("labels"))
+        return keyed_index(t.segments().where(cond).select(F.col("clip_id").alias("uid"), "seg_id", "label"), ["uid"], [F.col("seg_id")], "pos")
 
     out = C.joint_label_stats(seq("label in ('click', 'view')"), seq("label not in ('click', 'view')"))
     return out.select(*[r6(c) for c in out.columns])
@@ -782,3 +783,9 @@ def _(t):
 )
 def _(t):
     return M.score_summary(t.raw("lineitem"), ["l_discount", "l_tax"]).select("n", r6("l_discount"), r6("l_tax"))
+
+
+@query("scorer_registry", ORACLES["corpus_bleu"])
+def _(t):
+    out = M.score("bleu", t.texts())
+    return out.select(*[r6(c) for c in out.columns])

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlake.plans.scan import global_index
+from spanlake.plans.scan import global_index, keyed_index
 
 # ---- files as rows ---------------------------------------------------------------------------
 
@@ -92,6 +92,10 @@ def parse_keyed_database(docs: DataFrame, default_fps: float | None = None) -> D
     )
 
 
+def read_keyed_database(spark: SparkSession, path, default_fps: float | None = None, lines: bool = False) -> DataFrame:
+    return parse_keyed_database(read_documents(spark, path, lines), default_fps)
+
+
 MOMENTS = (
     "videos array<struct<video_uid: string, clips: array<struct<clip_uid: string, video_start_sec: double, "
     "video_end_sec: double, video_start_frame: long, video_end_frame: long>>>>"
@@ -216,16 +220,11 @@ def read_generation_log(spark: SparkSession, path, tag: str = "D") -> DataFrame:
 
 
 def parse_json_logs(logs: DataFrame, metrics: list[str]) -> DataFrame:
-    """(epoch, one list per metric in log order); lines without epoch drop."""
+    """(epoch, metric, pos, value): the values of each metric in log order, pos from 0; lines without epoch drop, nulls have no place."""
     place = [c for c in LINE_ORDER if c in logs.columns]
-    kept = logs.where("epoch is not null")
-    lists = [
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col(m).isNotNull(), F.struct(*place, F.col(m).alias("v"))))), lambda x: x["v"]
-        ).alias(m)
-        for m in metrics
-    ]
-    return kept.groupBy("epoch").agg(*lists)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")
+    rows = logs.where("epoch IS NOT NULL").select("epoch", *place, each).select("epoch", *place, "m.metric", "m.value").where("value IS NOT NULL")
+    return keyed_index(rows, ["epoch", "metric"], [F.col(c) for c in place], "pos").select("epoch", "metric", "pos", "value")
 
 
 def read_json_logs(spark: SparkSession, path, metrics: list[str]) -> DataFrame:
@@ -416,3 +415,4 @@ def make_dataset(name: str, spark: SparkSession, **options) -> DataFrame:
 register_dataset("annotation_db")(read_annotation_db)
 register_dataset("actions_json")(read_actions_json)
 register_dataset("coco")(read_coco)
+register_dataset("keyed_database")(read_keyed_database)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.operators import sequence as Q
-from spanlake.plans.packing import greedy_blocks, sizes_next
+from spanlake.plans.packing import greedy_blocks, sum_pointers
 from spanlake.plans.scan import global_index, keyed_index, ordered_scan
 
 
@@ -38,19 +38,36 @@ def test_indices_do_not_depend_on_partitioning(spark):
         seen[r.k] = r.idx + 1
 
 
-@pytest.mark.parametrize("chunk", [7, 40, 1000])
-def test_greedy_blocks_chunked(spark, chunk):
-    rng = random.Random(chunk)
-    sizes = [rng.randrange(1, 9) for _ in range(300)]
-    df = spark.createDataFrame(list(enumerate(sizes)), "idx long, n long")
-    got = {r.idx: r.block_start for r in greedy_blocks(df, sizes_next(["n"], 20), ["n"], "idx", chunk).collect()}
-    want, start, cur = {}, 0, 0
+def slow_starts(sizes, limits, groups=None):
+    """sizes: one tuple per row, one number per limit."""
+    want, start, cur = {}, 0, [0] * len(limits)
     for i, n in enumerate(sizes):
-        if cur and cur + n > 20:
-            start, cur = i, 0
-        cur += n
+        over = any(c + x > limit for c, x, limit in zip(cur, n, limits))
+        if i > start and (over or (groups and groups[i] != groups[i - 1])):
+            start, cur = i, [0] * len(limits)
+        cur = [c + x for c, x in zip(cur, n)]
         want[i] = start
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("chunk", [7, 40, 1000])
+@pytest.mark.parametrize("low", [0, 1])
+def test_greedy_blocks_chunked(spark, chunk, low):
+    rng = random.Random(chunk)
+    sizes = [(rng.randrange(low, 9), rng.choice([0, 1, 50])) for _ in range(300)]
+    groups = sorted(rng.randrange(5) for _ in range(300))
+    df = spark.createDataFrame([(i, a, b, g) for i, ((a, b), g) in enumerate(zip(sizes, groups))], "idx long, n long, m long, g int")
+    for limits, cols, group in ((([20]), ["n"], None), ([20, 60], ["n", "m"], None), ([20], ["n"], "g")):
+        pointers = sum_pointers(df, dict(zip(cols, limits)), "idx", group)
+        got = {r.idx: r.block_start for r in greedy_blocks(pointers, "idx", chunk).collect()}
+        assert got == slow_starts([s[: len(cols)] for s in sizes], limits, groups if group else None)
+    assert greedy_blocks(sum_pointers(df.limit(0), {"n": 3}), "idx", chunk).count() == 0
+
+
+def test_a_block_longer_than_all_chunks(spark):
+    df = spark.range(5000).select(F.col("id").alias("idx"), F.when(F.col("id") == 4000, 10).otherwise(0).alias("n"))
+    got = greedy_blocks(sum_pointers(df, {"n": 9}), "idx", 16).groupBy("block_start").agg(F.min("idx").alias("a"), F.count("*").alias("n")).orderBy("a")
+    assert [(r.block_start, r.a, r.n) for r in got.collect()] == [(0, 0, 4000), (4000, 4000, 1), (4001, 4001, 999)]
 
 
 def blocks(spark, seqs, size, mode, **kw):
@@ -91,7 +108,7 @@ def slow_batches(lengths, max_tokens, max_rows, multiple):
     return out
 
 
-@pytest.mark.parametrize("args", [(60, 0, 1, 9), (0, 5, 1, 1000), (80, 6, 4, 25), (100, 8, 3, 1000)])
+@pytest.mark.parametrize("args", [(60, 0, 1, 9), (0, 5, 1, 1000), (80, 6, 4, 25), (100, 8, 3, 1000), (0, 0, 1, 9), (0, 0, 7, 50), (5000, 0, 1, 16)])
 def test_batches_match_slow_baseline(spark, args):
     max_tokens, max_rows, multiple, chunk = args
     rng = random.Random(3)

@@ -57,6 +57,37 @@ def test_fold_and_rounds_equal_baseline(preds, method, group_rows):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("shape", ["chain", "clique", "mixed"])
+@pytest.mark.parametrize("method", ["hard", "linear", "gauss"])
+def test_tiles_equal_the_fold(spark, shape, method):
+    rng = random.Random(11)
+    n = 150
+    rows = []
+    for i in range(n):
+        if shape == "chain":  # each row hangs on the one before
+            s, e, score = float(i), i + 1.5, 1 - i / 1000
+        elif shape == "clique":  # all overlap all
+            s, e, score = 50 - rng.uniform(0, 50), 50 + rng.uniform(0.1, 50), rng.random()
+        else:
+            s = rng.uniform(0, 200)
+            e, score = s + (rng.uniform(0.5, 5) if i % 10 else rng.uniform(50, 150)), rng.choice([0.5, rng.random()])
+        rows.append((0, i, "a", s, e, score))
+    df = spark.createDataFrame(rows, "clip_id int, pred_id long, label string, t_start double, t_end double, score double")
+    want = slow_suppress([(r[1], r[3], r[4], r[5]) for r in rows], method, 0.15, 0.5, 0.2)
+    got = N.suppress_by_tiles(df.where("score > 0.2"), ["clip_id"], N.SEGMENT, "pred_id", method, 0.15, sigma=0.5, min_score=0.2, tile_rows=40)
+    got = {r.pred_id: r.score for r in got.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_a_falling_chain_takes_a_round_per_tile(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(N, "split_by_size", lambda df, keys, bound: rounds.append(1) or S.split_by_size(df, keys, bound))
+    n = 20_000
+    df = spark.range(n).select(F.lit(0).alias("clip_id"), F.col("id").alias("pred_id"), F.lit("a").alias("label"), F.col("id").cast("double").alias("t_start"), (F.col("id") + 1.6).alias("t_end"), (1 - F.col("id") / 1e6).alias("score"))
+    got = [r.pred_id for r in N.suppress_by_tiles(df, ["clip_id"], N.SEGMENT, "pred_id", "hard", 0.2, tile_rows=8000).orderBy("pred_id").collect()]
+    assert got == list(range(0, n, 2)) and len(rounds) < 20
+
+
 def test_box_rounds_equal_fold(spark):
     rng = random.Random(2)
     rows = [(0, i, *(lambda x, y: (x, y, x + rng.uniform(5, 30), y + rng.uniform(5, 30)))(rng.uniform(0, 80), rng.uniform(0, 80)), rng.random()) for i in range(40)]

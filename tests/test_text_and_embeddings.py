@@ -157,6 +157,25 @@ def test_pca_against_numpy(spark):
     assert km.count() == 300 and E.inertia(km).first().inertia < (x**2).sum(1).mean()
 
 
+@pytest.mark.parametrize("batch_rows,steps", [(10_000, 15), (40, 30)])
+def test_mini_batch_clusters(spark, batch_rows, steps):
+    rng = np.random.default_rng(1)
+    true = rng.normal(0, 10, (4, 6))
+    x = np.concatenate([c + rng.normal(0, 0.3, (100, 6)) for c in true])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    centers = E.kmeans_fit(df, 4, 3, batch_rows=batch_rows, steps=steps)
+    again = E.kmeans_fit(df.repartition(7), 4, 3, batch_rows=batch_rows, steps=steps)
+    assert np.allclose(centers, again, atol=1e-9)  # by seed alone
+    assert all(((centers - c) ** 2).sum(1).min() < 0.1 for c in true)
+    got = {r.id: (r.cluster, r.sq_dist) for r in E.assign_centers(df, centers).collect()}
+    d = ((x[:, None] - centers[None]) ** 2).sum(2)
+    assert all(got[i][0] == d[i].argmin() and abs(got[i][1] - d[i].min()) < 1e-9 for i in range(len(x)))
+    n, s, q = E.center_sums(df, centers[None], "embedding")
+    assert np.allclose(s[0] / n[0][:, None], [x[d.argmin(1) == c].mean(0) for c in range(4)]) and np.allclose(q, d.min(1).sum())
+    one = E.kmeans_fit(df.limit(1), 2, 0)
+    assert np.allclose(one[0], one[1])
+
+
 def test_splits_do_not_depend_on_partitioning(spark):
     df = spark.range(200).select(F.col("id").alias("video_uid"), (F.col("id") % 13 + 1).alias("n_actions"))
     a = {(r.video_uid, r.split) for r in S.three_way_split(df.repartition(2), 0.6, 0.2, 3).collect()}
