@@ -40,6 +40,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,8 @@ HOT = 1024
 LEVELS = 2
 BUCKET_BYTES = 1 << 20
 SLICE_BYTES = 1 << 18
-#: Symbols of nine bits that one long holds.
-PACKED = 7
+#: Symbols of nine bits that the first order of suffixes looks at.
+PACKED = 4
 
 _draw = np.random.Generator(np.random.PCG64(11))
 BYTE = _draw.integers(0, 1 << 64, (LEVELS + 2, 256), np.uint64)
@@ -118,7 +119,7 @@ def anchored(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = 0
-            for part in sliced(t.as_py().encode() for t in b["text"]):
+            for part in sliced(b["text"].cast(pa.binary()).to_pylist()):
                 joined, rid = b"".join(part), b["rid"].slice(at, len(part))
                 at += len(part)
                 sizes = np.array([len(t) for t in part], np.int64)
@@ -136,6 +137,26 @@ def anchored(docs: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "rid binary, start int, n int, key long, ctx binary")
 
 
+def _ordered(key: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (of twice `bits` at most) in order, and their places; packed into one number where it holds both, which sorts much faster."""
+    if max(3 * bits, 9 * PACKED + bits) <= 63:
+        both = np.sort(key << bits | place)
+        return both >> bits, both & ((1 << bits) - 1)
+    by = np.argsort(key)
+    return key[by], place[by]
+
+
+def _ranked(key: np.ndarray, rows: np.ndarray, places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Set the rank of each place, the first row of the places with its key, and return the rows that share theirs.
+
+    key, rows and places are in sorted order.
+    """
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(key)))
+    rank[places] = np.repeat(rows[head], size)
+    return rows[np.repeat(size > 1, size)]
+
+
 @dataclass
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform: symbol, first row, and text places of the first and last row of each run."""
@@ -162,17 +183,20 @@ class RunIndex:
         for i in range(1, PACKED):
             key <<= 9
             key[: len(line) - i] |= line[i:]
-        names, size = [], PACKED
-        while True:
-            order = np.argsort(key)
-            ranked = key[order]
-            rank = np.empty(len(line), np.int64)
-            rank[order] = np.cumsum(np.concatenate(([0], ranked[1:] != ranked[:-1])))
-            names.append(rank.astype(np.int32))
-            if size > longest:
-                break
-            key = rank << 32
-            key[: len(line) - size] |= rank[size:] + 1
+        bits, rows = len(line).bit_length(), np.arange(len(line), dtype=np.int32)
+        key, order = _ordered(key, np.arange(len(line)), bits)
+        rank = np.empty(len(line) + 1, np.int32)
+        rank[-1] = -1  # what lies beyond the text comes first
+        tied = _ranked(key, rows, order, rank)
+        names, size = [rank], PACKED
+        while size <= longest:
+            # a rank is its group's first row, so only rows of larger groups are sorted again, in the rows they had
+            place = order[tied]
+            after = rank[np.minimum(place + size, len(line))].astype(np.int64) + 1
+            key, order[tied] = _ordered(rank[place].astype(np.int64) << bits | after, place, bits)
+            rank = rank.copy()
+            tied = _ranked(key, tied, order[tied], rank)
+            names.append(rank)
             size *= 2
         before = line[order - 1]  # the text is closed by zeros, so the first place has one before it, too
         head = np.flatnonzero(np.concatenate(([True], (before[1:] != before[:-1]) | (before[1:] == 0))))
@@ -336,9 +360,8 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         before = None  # rows that repeat stand together
         for b in batches:
             out = {"ctx": [], "key": [], "m": [], "c": [], "text": []}
-            for rid, text, places in zip(b["rid"].to_pylist(), b["text"], b["places"], strict=True):
+            for rid, raw, places in zip(b["rid"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["places"], strict=True):
                 if rid != before:
-                    raw = text.as_py().encode()
                     for p in places.as_py():
                         out["text"].append(raw[p["start"] : p["start"] + p["n"]])
                         for c in ("ctx", "key", "m", "c"):
@@ -367,26 +390,29 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     """doc_id, n_bytes, removed (maximal spans of bytes, by start) and kept (the other bytes) of every row."""
     schema = "doc_id long, n_bytes long, removed array<struct<start: long, length: long>>, kept binary"
 
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, removed, kept = [], [], []
-            for text, found in zip(b["text"], b["found"], strict=True):
-                raw = (text.as_py() or "").encode()
-                spans: list[list[int]] = []
-                for s, e in sorted((f["start"] + x["s"], f["start"] + x["e"]) for f in found.as_py() or [] for x in f["spans"]):
+            raw = b["text"].cast(pa.binary())
+            removed: list[list[dict[str, int]]] = [[]] * b.num_rows
+            left: list[bytes | None] = [None] * b.num_rows
+            for row in np.flatnonzero(b["found"].is_valid().to_numpy(zero_copy_only=False)).tolist():
+                text, spans = raw[row].as_py(), []
+                for s, e in sorted((f["start"] + x["s"], f["start"] + x["e"]) for f in b["found"][row].as_py() for x in f["spans"]):
                     if spans and s <= spans[-1][1]:
                         spans[-1][1] = max(e, spans[-1][1])
                     else:
                         spans.append([s, e])
-                cuts = [0, *(x for span in spans for x in span), len(raw)]
-                size.append(len(raw))
-                removed.append([{"start": s, "length": e - s} for s, e in spans])
-                kept.append(b"".join(raw[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True)))
+                cuts = [0, *(x for span in spans for x in span), len(text)]
+                removed[row] = [{"start": s, "length": e - s} for s, e in spans]
+                left[row] = b"".join(text[i:j] for i, j in zip(cuts[::2], cuts[1::2], strict=True))
+            # texts without marks pass as they are
+            kept = pc.coalesce(pa.array(left, pa.binary()), raw)
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array(size, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "removed", "kept"],
+                [b["doc_id"], pc.binary_length(raw).cast(pa.int64()), pa.array(removed, spans_type), kept], names=["doc_id", "n_bytes", "removed", "kept"]
             )
 
     found = stored(repeated_spans(docs, least))
-    rows = docs.select(row_key(docs).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(row_key(docs).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.join(found, "rid", "left").select("doc_id", "text", "found").mapInArrow(run, schema)
