@@ -49,7 +49,7 @@ from spanlake.llm.common import groups_for, stored
 GRAM = 32
 HOT = 1024
 LEVELS = 2
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 1 << 19
 SLICE_BYTES = 1 << 18
 #: Symbols of nine bits that the first order of suffixes looks at.
 PACKED = 4
@@ -269,10 +269,7 @@ def cut_again(contexts: DataFrame, least: int, seed: int) -> DataFrame:
     """(ctx, at, sub, key, m, text): the smaller contexts inside each context by the anchors of another hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b["text"].to_pylist()
+        for b, texts in parts_of(batches):
             joined = b"".join(texts)
             sizes = np.array([len(t) for t in texts], np.int64)
             starts = np.cumsum(sizes) - sizes
@@ -317,14 +314,20 @@ def marks_of(contexts: DataFrame, least: int, level: int = 0) -> DataFrame:
     return marks.union(back.groupBy("ctx").agg(F.flatten(F.collect_list("spans")).alias("spans")))  # a context has few parts
 
 
+def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows of about SLICE_BYTES of context text, and the texts."""
+    for b in batches:
+        at = 0
+        for texts in sliced(b["text"].to_pylist()):
+            yield b.slice(at, len(texts)), texts
+            at += len(texts)
+
+
 def by_windows(contexts: DataFrame, least: int) -> DataFrame:
     """(ctx, spans) by counting each window of the contexts."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b["text"].to_pylist()
+        for b, texts in parts_of(batches):
             raw = np.frombuffer(b"".join(texts), np.uint8)
             sizes = np.array([len(t) for t in texts], np.int64)
             n = sizes - least + 1
@@ -356,18 +359,24 @@ def by_windows(contexts: DataFrame, least: int) -> DataFrame:
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(ctx, key, m, c, text) of wanted contexts (rid, start, n, ctx, key, m, c), from one row of each rid."""
 
+    kinds = pa.schema([("ctx", pa.binary()), ("key", pa.int64()), ("m", pa.int64()), ("c", pa.int64()), ("text", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # rows that repeat stand together
         for b in batches:
-            out = {"ctx": [], "key": [], "m": [], "c": [], "text": []}
+            out, held = {c: [] for c in kinds.names}, 0
             for rid, raw, places in zip(b["rid"].to_pylist(), b["text"].cast(pa.binary()).to_pylist(), b["places"], strict=True):
                 if rid != before:
                     for p in places.as_py():
                         out["text"].append(raw[p["start"] : p["start"] + p["n"]])
+                        held += p["n"]
                         for c in ("ctx", "key", "m", "c"):
                             out[c].append(p[c])
                 before = rid
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("ctx", pa.binary()), ("key", pa.int64()), ("m", pa.int64()), ("c", pa.int64()), ("text", pa.binary())]))
+                if held > 16 * SLICE_BYTES:
+                    yield pa.RecordBatch.from_pydict(out, kinds)
+                    out, held = {c: [] for c in kinds.names}, 0
+            yield pa.RecordBatch.from_pydict(out, kinds)
 
     lists = stored(wanted.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "ctx", "key", "m", "c")).alias("places")))
     rows = docs.where(F.octet_length("text") > 0).select(row_key(docs).alias("rid"), "text")
