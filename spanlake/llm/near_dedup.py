@@ -251,19 +251,23 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # shingles of one text only come first in order and pair with nothing
     common = stored(each.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     by_text = Window.partitionBy("id")
+    in_order = by_text.orderBy("m", "g")
     ranked = each.join(common, "g").select(
-        "id", "n", "c", "g", F.row_number().over(by_text.orderBy("m", "g")).alias("r"), F.count(F.lit(1)).over(by_text).alias("k")
+        "id", "n", "c", "g", F.row_number().over(in_order).alias("r"), F.lag("g").over(in_order).alias("before"), F.count(F.lit(1)).over(by_text).alias("k")
     )
     place = F.col("r") + n - F.col("k")
-    prefixes = stored(ranked.where(place <= probe).select("g", "id", "c", (place <= index).alias("short")))
+    prefixes = stored(ranked.withColumn("place", place).where(F.col("place") <= probe).select("g", "id", "c", "place", "before", (F.col("place") <= index).alias("short")))
     useful = prefixes.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a < b").select("g")
     here = prefixes.join(stored(useful), "g")
     one = open_.select("id", F.struct("id", "n", "s0", "s1").alias("o"))
-    x = here.where("short").join(one, "id").select("g", F.col("o").alias("x"), F.col("c").alias("cx"))
-    y = here.join(one, "id").select("g", F.col("o").alias("y"), F.col("c").alias("cy"))
-    ordered = F.struct("x.n", "x.id") < F.struct("y.n", "y.id")
-    both = x.join(y, "g").where((F.col("cx") != F.col("cy")) & ordered & alike("x", "y", percent))
-    return both.select(F.col("y.id").alias("u"), F.col("x.id").alias("v")).distinct()
+    side = lambda rows, o: rows.join(one, "id").select("g", F.col("o").alias(o), F.struct("c", "place", "before").alias(f"{o}_at"))
+    both = side(here.where("short"), "x").join(side(here, "y"), "g")
+    apart = (F.col("x_at.c") != F.col("y_at.c")) & (F.struct("x.n", "x.id") < F.struct("y.n", "y.id"))
+    # a pair counts at its first common shingle: not where the one before is common as well, nor where too few can follow
+    first = ~F.coalesce(F.col("x_at.before") == F.col("y_at.before"), F.lit(False))
+    needed = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    enough = F.least(F.col("x.n") - F.col("x_at.place"), F.col("y.n") - F.col("y_at.place")) + 1 >= needed
+    return both.where(apart & first & enough & alike("x", "y", percent)).select(F.col("y.id").alias("u"), F.col("x.id").alias("v")).distinct()
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
