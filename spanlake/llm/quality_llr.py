@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import keep_rows, stored, text_key, words
+from spanlake.llm.common import stored, text_key, words
 
 BUCKETS = 1 << 13
 MIN_WORDS = 50
@@ -82,11 +82,14 @@ def score_of(h: Column, table: Column) -> Column:
     return (one + F.aggregate(pair_buckets(h), F.lit(0.0), add)) / F.greatest(2 * F.size(h), F.lit(1))
 
 
-def measured(docs: DataFrame, found: list[float] | None) -> DataFrame:
-    """doc_id, _text, the base columns, base_failed and the score of every whole text."""
+def measured(docs: DataFrame, found: list[float] | None, carry: bool = False) -> DataFrame:
+    """doc_id, _text, the base columns, base_failed and the score of every whole text; with carry, _row holds the row itself."""
     table = constant(found or [0.0] * BUCKETS, "array<double>")
-    rows = docs.select("doc_id", "text", words(F.col("text")).alias("w"))
+    whole = ["_row"] if carry else []
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text") if carry else docs
+    rows = packed.select(*whole, "doc_id", "text", words(F.col("text")).alias("w"))
     hashed = rows.select(
+        *whole,
         F.col("doc_id").cast("long").alias("doc_id"),
         text_key(F.col("text")).alias("_text"),
         F.size("w").cast("long").alias("n_words"),
@@ -101,6 +104,7 @@ def measured(docs: DataFrame, found: list[float] | None) -> DataFrame:
         lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("k"), i.alias("i")),
     )
     sortable = hashed.select(
+        *whole,
         "doc_id",
         "_text",
         "n_words",
@@ -119,6 +123,7 @@ def measured(docs: DataFrame, found: list[float] | None) -> DataFrame:
         lambda a: a["n"],
     )
     return sortable.select(
+        *whole,
         "doc_id",
         "_text",
         "n_words",
@@ -142,16 +147,28 @@ def score_bound(scored: DataFrame, trusted: DataFrame, trusted_share: float) ->
     return -math.inf
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999) -> DataFrame:
-    """Base columns, score and kept of every document."""
+def fitted(docs: DataFrame, labels: DataFrame, trusted_share: float) -> tuple[list[float] | None, DataFrame, float]:
+    """Log ratios by bucket, the stored measures of all documents, and the score bound."""
     trusted = trusted_ids(labels)
     found = ratios(counts(docs, trusted))
     scored = stored(measured(docs, found))
-    bound = score_bound(scored, trusted, trusted_share) if found else -math.inf
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(bound)))
+    return found, scored, score_bound(scored, trusted, trusted_share) if found else -math.inf
+
+
+def passes(bound: float) -> Column:
+    return ~F.col("base_failed") & (F.col("score") >= F.lit(bound))
+
+
+def judge(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999) -> DataFrame:
+    """Base columns, score and kept of every document."""
+    _, scored, bound = fitted(docs, labels, trusted_share)
+    return scored.withColumn("kept", passes(bound))
+
 
+def keep_good(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999) -> DataFrame:
+    """The rows of docs that are kept, with all their columns.
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    kept = judge(docs, labels, **options).where("kept").select(F.col("doc_id").alias("_id"), "_text").distinct()
-    return keep_rows(docs, kept)
+    A text is measured again where it lies: the verdict hangs on the text alone, so no row moves to meet it.
+    """
+    found, _, bound = fitted(docs, labels, trusted_share)
+    return measured(docs, found, carry=True).where(passes(bound)).select("_row.*")
