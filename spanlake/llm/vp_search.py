@@ -32,6 +32,8 @@ from spanlake.llm.common import stored
 FACTOR = 1.0
 SHARD_ROWS = 8192
 QUERY_BLOCK = 1024
+#: Share of the distances that every bound gives up, so that rounding hides no tie.
+ROUNDING = 1e-12
 SAMPLE = 4096
 MOST_CELLS = 256
 LEAF = 256
@@ -81,7 +83,8 @@ class VpTree:
                 continue
             vantage, middle, inner, outer = entry
             d = distances(queries, self.points[[vantage]])[:, 0]
-            stack += [(inner, np.maximum(bound, d - middle)), (outer, np.maximum(bound, middle - d))]
+            slack = ROUNDING * (d + middle)
+            stack += [(inner, np.maximum(bound, d - middle - slack)), (outer, np.maximum(bound, middle - d - slack))]
         return leaves
 
     def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -148,8 +151,11 @@ def stack_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
-def searched(index: DataFrame, probes: DataFrame, blocks: int, k: int, factor: float) -> DataFrame:
-    """The k nearest of each probe (shard, query_id, q, reach) within its shard."""
+def searched(index: DataFrame, probes: DataFrame, query_block: int, k: int, factor: float) -> DataFrame:
+    """The k nearest of each probe (shard, query_id, q, reach) within its shard.
+
+    A shard's probes are dealt to blocks of about query_block, and the shard is copied once for each block that visits it.
+    """
 
     def run(points: pa.Table, asked: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
@@ -161,9 +167,10 @@ def searched(index: DataFrame, probes: DataFrame, blocks: int, k: int, factor: f
         query, place = np.nonzero(at >= 0)
         return pa.table([own[query], ids[at[query, place]], near[query, place]], names=names)
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    left = index.select("shard", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    right = probes.select("shard", "query_id", "q", "reach", block.alias("block"))
+    probes = stored(probes)
+    visits = stored(probes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / query_block).alias("blocks")))
+    left = index.join(visits, "shard").select("shard", "vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = probes.join(visits, "shard").select("shard", "query_id", "q", "reach", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("block"))
     return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, FOUND)
 
 
@@ -196,14 +203,9 @@ def nearest(
     celled = stored(rows.withColumn("c", cell_of("v")).select("vec_id", "v", "c.cell", "c.d"))
     n_cells = len(pivots)
     cells = Cells(pivots, np.full(n_cells, -np.inf), np.zeros(n_cells, np.int64))
-    n_queries = 0
-    counted = celled.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("d").alias("r"), F.count_if(F.col("vec_id") % every == 0).alias("q")
-    )
+    counted = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("r"))
     for r in counted.collect():  # at most MOST_CELLS rows
         cells.radius[r["cell"]], cells.shards[r["cell"]] = r["r"], -(-r["n"] // shard_rows)
-        n_queries += r["q"]
-    blocks = n_queries // query_block + 1
     per_cell = F.array(*[F.lit(int(s)) for s in cells.shards])
     shards = F.get(per_cell, F.col("cell"))
     index = celled.select("vec_id", "v", (F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), shards)).alias("shard"))
@@ -214,7 +216,7 @@ def nearest(
         return df.select("query_id", "q", "reach", "cell", own.alias("_s")).select("query_id", "q", "reach", (F.col("cell") * F.lit(1 << 32) + F.col("_s")).alias("shard"))
 
     home = every_shard(queries.withColumn("reach", F.lit(float("inf"))))
-    found = stored(best(searched(index, home, blocks, k, factor), k))
+    found = stored(best(searched(index, home, query_block, k, factor), k))
     if n_cells > 1:
         reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("reach"))
         told = queries.join(reached, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
@@ -226,13 +228,13 @@ def nearest(
             d = distances(np.stack(q.to_numpy()), cells.pivots)
             own = d[np.arange(len(d)), cell.to_numpy()][:, None]
             # no point of a cell is nearer than its ball, nor than the plane between the two pivots
-            bound = np.maximum(np.maximum(d - cells.radius, (d - own) / 2), 0)
+            bound = np.maximum(np.maximum(d - cells.radius - ROUNDING * (d + cells.radius), (d - own) / 2 - ROUNDING * (d + own)), 0)
             visit = (factor * bound <= reach.to_numpy()[:, None]) & (cells.shards > 0)
             visit[np.arange(len(d)), cell.to_numpy()] = False
             return pd.Series([np.flatnonzero(x).astype("int32") for x in visit])
 
         away = told.select("query_id", "q", "reach", F.explode(others("q", "cell", "reach")).alias("cell"))
-        found = best(found.drop("rank").unionByName(searched(index, every_shard(away), blocks, k, factor)), k)
+        found = best(found.drop("rank").unionByName(searched(index, every_shard(away), query_block, k, factor)), k)
     return found.select("query_id", "rank", "vec_id", "score")
 
 

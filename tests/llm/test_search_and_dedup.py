@@ -218,6 +218,38 @@ def test_search_with_factor_one_is_exact(spark, shard_rows, query_block):
     assert got == brute_nearest(x, 10, 20)
 
 
+def degenerate(kind, n=900):
+    """Vectors whose distances tie or differ in their last digits."""
+    draw = np.random.default_rng(4)
+    if kind == "line":
+        return draw.integers(1, 400, n)[:, None] * np.array([0.1, 0.7, 0.3])
+    if kind == "sphere":  # all equally far from the first
+        x = draw.normal(size=(n, 3))
+        return np.concatenate([np.full((1, 3), 1e-9), x[1:] / np.sqrt((x[1:] ** 2).sum(1))[:, None]])
+    return draw.integers(0, 3, (n, 3)) / 10 + 0.1  # few different ones, repeated
+
+
+@pytest.mark.parametrize("kind", ["line", "sphere", "repeated"])
+def test_search_finds_every_tie(spark, kind):
+    x = degenerate(kind)
+    want = brute_nearest(dict(enumerate(x)), 10, 1)
+    at, near, _ = vp_search.VpTree(x).search(x, np.arange(len(x)), np.arange(len(x)), 10, 1.0, np.full(len(x), np.inf))
+    assert all([(float(d), int(i)) for d, i in zip(near[q], at[q], strict=True)] == want[q] for q in want)
+    rows = vp_search.nearest(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), 10, 9, 1.0, 100, 20).orderBy("query_id", "rank").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == {q: w for q, w in want.items() if q % 9 == 0}
+
+
+def test_relaxed_search_over_shards_keeps_recall(spark):
+    x = vectors(3000, 6)
+    rows = vp_search.nearest(table(spark, [(i, v.tolist()) for i, v in x.items()]), 10, 20, 1.5, 200, 50).collect()
+    want = brute_nearest(x, 10, 20)
+    hits = sum(r.vec_id in {i for _, i in want[r.query_id]} for r in rows)
+    assert len(rows) == 10 * len(want) and hits >= 0.9 * len(rows)
+
+
 def test_relaxed_search_skips_and_keeps_recall():
     x = np.stack(list(vectors(6000, 6).values()))
     ids = np.arange(len(x))
