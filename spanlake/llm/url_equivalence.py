@@ -6,6 +6,8 @@ canonical link or a meta refresh in their HTML: connected components over these
 of a component is blocked by rule, the block holds for all its pages that no rule names. A page's own allow rule always
 comes before a block that only reached it through aliases.
 
+References are resolved against the page or its base element, with . and .. folded; comments and scripts hold none.
+
 The canonical form of a URL drops the scheme, the default port, the fragment, tracking parameters and closing slashes.
 
 Each canonical form stands for the smallest page_id that has or names it, so edges are stars of long ids; a form that a
@@ -64,12 +66,46 @@ def canonical(url: Column) -> Column:
 
 
 def unquoted(value: Column) -> Column:
-    return F.replace(F.trim(value), F.lit("&amp;"), F.lit("&"))
+    """An attribute's value without the character references that URLs need."""
+    value = F.trim(value)
+    for name, plain in ((r"(?i)&(?:quot|#34|#x22);", '"'), (r"(?i)&(?:apos|#39|#x27);", "'"), (r"(?i)&(?:amp|#38|#x26);", "&")):
+        value = F.regexp_replace(value, name, plain)
+    return value
+
+
+def without_dots(whole: Column) -> Column:
+    """A path (with its query) whose segments . and .. are resolved, as browsers do; .. at the top is dropped."""
+    path, rest = F.regexp_extract(whole, r"(?s)^[^?#]*", 0), F.regexp_extract(whole, r"(?s)^[^?#]*(.*)$", 1)
+    parts = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))),
+    )
+    folder = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise("")
+    dotted = F.rlike(path, F.lit(r"/\.{1,2}(?:/|$)"))
+    return F.when(dotted, F.concat(F.lit("/"), F.array_join(kept, "/"), folder, rest)).otherwise(whole)
+
+
+def resolved(found: Column, base: Column) -> Column:
+    """The absolute http(s) URL of a reference from a base URL; null if it is empty, a fragment, or of another scheme."""
+    u, site, own = unquoted(found), F.concat(F.lit("http://"), host(base)), path(base)
+    folder = F.coalesce(F.nullif(F.regexp_replace(own, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    here = host(base) != ""
+    site_of, path_of = F.regexp_extract(u, r"(?is)^https?://[^/?#]*", 0), F.regexp_extract(u, r"(?is)^https?://[^/?#]*(.*)$", 1)
+    return (
+        F.when(F.rlike(u, F.lit("(?i)^https?://")), F.concat(site_of, without_dots(path_of)))
+        .when(F.startswith(u, F.lit("//")), F.concat(F.lit("http:"), u))
+        .when(F.startswith(u, F.lit("/")) & here, F.concat(site, without_dots(u)))
+        .when(F.startswith(u, F.lit("?")) & here, F.concat(site, own, u))
+        .when(~F.rlike(u, F.lit("^(?:$|#|[A-Za-z][A-Za-z0-9+.-]*:)")) & here, F.concat(site, without_dots(F.concat(folder, u))))
+    )
 
 
 def references(html: Column, url: Column) -> Column:
-    """Absolute URLs of the canonical links and meta refreshes in a page."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
+    """Absolute URLs of the canonical links and meta refreshes in a page, outside comments and scripts; a base element counts."""
+    seen = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|$)|<script\b.*?(?:</script\s*>|$)", "")
+    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     href = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
     refresh = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
 
@@ -78,21 +114,9 @@ def references(html: Column, url: Column) -> Column:
         meta = F.rlike(tag, F.lit(r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""))
         return F.when(link, F.regexp_extract(tag, href, 1)).when(meta, F.regexp_extract(tag, refresh, 1)).otherwise("")
 
-    site = F.concat(F.lit("http://"), host(url))
-
-    def absolute(found: Column) -> Column:
-        u = unquoted(found)
-        return (
-            F.when(F.rlike(u, F.lit("(?i)^https?://")), u)
-            .when(F.startswith(u, F.lit("//")), F.concat(F.lit("http:"), u))
-            .when(F.startswith(u, F.lit("/")) & (host(url) != ""), F.concat(site, u))
-            .when(
-                ~F.rlike(u, F.lit("^(?:$|#|[A-Za-z][A-Za-z0-9+.-]*:)")) & (host(url) != ""),
-                F.concat(site, F.coalesce(F.nullif(F.regexp_replace(path(url), "[^/]*$", ""), F.lit("")), F.lit("/")), u),
-            )
-        )
-
-    return F.filter(F.transform(F.transform(tags, target), absolute), lambda u: u.isNotNull())
+    named = F.regexp_extract(F.regexp_extract(seen, r"(?is)<base\b[^>]*>", 0), href, 1)
+    base = F.coalesce(resolved(named, url), url)
+    return F.filter(F.transform(F.transform(tags, target), lambda t: resolved(t, base)), lambda u: u.isNotNull())
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from spanlake.llm import chat_windows, mixture_tree, url_equivalence
 from tests.llm.helpers import TEXTS, clashing, no_docs, odd_docs
 
@@ -120,6 +122,33 @@ def test_blocks_reach_aliases_and_allow_comes_first(spark):
     assert url_equivalence.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_references_are_resolved_as_browsers_do(spark):
+    base = "https://a.example.org/x/y/page.html?q=1#top"
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    cases = [
+        (link("../r"), ["http://a.example.org/x/r"]),
+        (link("../../../../r"), ["http://a.example.org/r"]),
+        (link("./s/./t/.."), ["http://a.example.org/x/y/s/"]),
+        (link("..") , ["http://a.example.org/x/"]),
+        (link("/u/../v?w=../x"), ["http://a.example.org/v?w=../x"]),
+        (link("?x=1&amp;y=2"), ["http://a.example.org/x/y/page.html?x=1&y=2"]),
+        (link("z?a&#38;b&#x26;c"), ["http://a.example.org/x/y/z?a&b&c"]),
+        (link("http://b.example.org/c/../d/"), ["http://b.example.org/d/"]),
+        (link("//b.example.org/c"), ["http://b.example.org/c"]),
+        (link("#here") + link("") + link("mailto:x@y") + link("javascript:void(0)"), []),
+        ('<base href="/other/deep/">' + link("r"), ["http://a.example.org/other/deep/r"]),
+        ('<BASE target=_top href=https://c.example.org/k/l>' + link("m"), ["http://c.example.org/k/m"]),
+        ("<!-- " + link("/gone") + " -->" + link("/kept") + "<!--" + link("/open"), ["http://a.example.org/kept"]),
+        ("<script>var s = '" + link("/gone") + "'</script >" + link("/kept"), ["http://a.example.org/kept"]),
+        ("<meta http-equiv=refresh content='5; url=../n'>", ["http://a.example.org/x/n"]),
+    ]
+    df = spark.createDataFrame([(i, html, base) for i, (html, _) in enumerate(cases)], "i int, html string, url string")
+    got = {r.i: r.u for r in df.select("i", url_equivalence.references(F.col("html"), F.col("url")).alias("u")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+    bare = spark.createDataFrame([(link("/x"), None), (None, base), (link("../x"), "no scheme")], "html string, url string")
+    assert [r.u for r in bare.select(url_equivalence.references(F.col("html"), F.col("url")).alias("u")).collect()] == [[], [], []]
+
+
 def test_a_form_that_very_many_share_is_one_component(spark):
     rows = [page(i, f"http://h{i}.example.org/", '<link rel="canonical" href="http://hub.net/es/">') for i in range(500)]
     got = url_equivalence.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
