@@ -1,7 +1,8 @@
 """License scans by ordered signature rules, as column functions only.
 
 A few thousand licences speak in set phrases, so the rules are made from a plain list of names: for each licence its
-identifier tag, its grant ("licensed under the X"), its title and its address, some 300 patterns in all. A text reaches the
+identifier tag (in the first three places of an expression), its grant ("licensed under the X"), its title and its address; notices with
+versions, short names and the texts of clauses are written out one by one. A text reaches the
 patterns only if it holds one of the STEMS, which are taken from the rules, and each pattern only if the text holds the
 rule's own keyword. Before that, line breaks with their comment marks and runs of blanks become one blank, as the patterns
 have it. The hits of a document form intervals; rules have priorities (tag before grant before address before title), and a hit that lies inside
@@ -99,16 +100,103 @@ public-domain :: - :: (?:released|placed|dedicated|is) (?:in|into|to) the public
 proprietary :: - :: all rights reserved :: -
 """
 
-#: Text of well-known clauses: label :: keyword :: pattern.
+#: Notices and short names with their versions, written out: label :: keyword :: pattern.
+NOTICES = r"""
+agpl :: free software :: this (?:program|software|library|file) is free software[:;,]? you can redistribute it and/or modify it under the terms of (?:version \d of )?the gnu affero general public licen[sc]e
+lgpl :: free software :: this (?:program|software|library|file) is free software[:;,]? you can redistribute it and/or modify it under the terms of (?:version \d(?:\.\d)? of )?the gnu (?:lesser|library) general public licen[sc]e
+gpl :: free software :: this (?:program|software|library|file) is free software[:;,]? you can redistribute it and/or modify it under the terms of (?:version \d of )?the gnu general public licen[sc]e
+gpl :: gnu gpl :: gnu gpl(?:,? (?:version |v\.? ?)[123](?:\.0)?)?(?:,? or (?:\(at your option\) )?(?:any )?later(?: version)?|\+)?(?!\w)
+gpl :: gplv :: (?<!\w)gplv[123](?:\.0)?\+?(?!\w)
+gpl :: gpl v :: (?<!\w)gpl v(?:ersion |\. ?)?[123](?:\.0)?\+?(?!\w)
+gpl :: gpl-compatible :: (?<!\w)gpl-compatible(?!\w)
+lgpl :: gnu lgpl :: gnu lgpl(?:,? (?:version |v\.? ?)[23](?:\.[01])?)?\+?(?!\w)
+lgpl :: lgplv :: (?<!\w)lgplv[23](?:\.[01])?\+?(?!\w)
+lgpl :: lgpl v :: (?<!\w)lgpl v(?:ersion |\. ?)?[23](?:\.[01])?\+?(?!\w)
+agpl :: gnu agpl :: gnu agpl(?:,? (?:version |v\.? ?)3(?:\.0)?)?\+?(?!\w)
+agpl :: agplv :: (?<!\w)agplv3(?:\.0)?\+?(?!\w)
+agpl :: agpl v :: (?<!\w)agpl v(?:ersion |\. ?)?3(?:\.0)?\+?(?!\w)
+apache :: apache 2 :: (?<!\w)apache 2(?:\.0)?(?: licen[sc]ed?)?(?!\w)
+apache :: apache license :: apache license,? (?:version |v\.? ?)2(?:\.0)?(?!\w)
+apache :: apache-2 :: licen[sc]ed under apache-2(?:\.0)?(?!\w)
+asl :: asl 2 :: (?<!\w)asl 2\.0(?!\w)
+bsd-3 :: bsd 3-clause :: (?<!\w)bsd 3-clause(?: licen[sc]e)?(?!\w)
+bsd-2 :: bsd 2-clause :: (?<!\w)bsd 2-clause(?: licen[sc]e)?(?!\w)
+bsd-4 :: bsd 4-clause :: (?<!\w)bsd 4-clause(?: licen[sc]e)?(?!\w)
+bsd :: bsd-style :: (?<!\w)bsd-style licen[sc]e(?!\w)
+mit :: mit-style :: (?<!\w)mit-style licen[sc]e(?!\w)
+mit :: mit/x11 :: (?<!\w)mit/x11(?: licen[sc]e)?(?!\w)
+mpl :: mpl 2 :: (?<!\w)mpl 2\.0(?!\w)
+mpl :: mpl 1 :: (?<!\w)mpl 1\.[01](?!\w)
+mpl :: mozilla public :: subject to the terms of the mozilla public licen[sc]e,? (?:version |v\. ?)[12]\.[01]
+epl :: epl 2 :: (?<!\w)epl 2\.0(?!\w)
+epl :: eclipse public :: made available under the terms of the eclipse public licen[sc]e,? (?:version |v ?)[12]\.0
+eupl :: eupl v :: (?<!\w)eupl v(?:ersion |\. ?)?1\.[12](?!\w)
+cc-by-sa :: attribution-sharealike :: (?:creative commons )?attribution-sharealike(?: \d\.\d)?(?: international| unported)?(?: public)?(?: licen[sc]e)?(?!\w)
+cc-by-nc-sa :: attribution-noncommercial-sharealike :: (?:creative commons )?attribution-noncommercial-sharealike(?: \d\.\d)?(?: international| unported)?(?!\w)
+cc-by-nc-nd :: attribution-noncommercial-noderiv :: (?:creative commons )?attribution-noncommercial-noderiv(?:s|atives)(?: \d\.\d)?(?: international| unported)?(?!\w)
+cc-by-nc :: attribution-noncommercial :: (?:creative commons )?attribution-noncommercial(?: \d\.\d)?(?: international| unported)?(?![\w-])
+cc-by-nd :: attribution-noderiv :: (?:creative commons )?attribution-noderiv(?:s|atives)(?: \d\.\d)?(?: international| unported)?(?!\w)
+cc-by :: attribution :: creative commons attribution \d\.\d(?: international| unported)?(?: public)?(?: licen[sc]e)?(?!\w)
+public-domain :: public domain :: the author (?:hereby )?disclaims copyright to this source code
+not-gpl :: gpl :: (?<!\w)not (?:licen[sc]ed |released |available |distributed )?under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl(?!\w)
+not-gpl :: general public licen :: (?<!\w)not (?:licen[sc]ed |released |available |distributed )?under (?:the )?(?:terms of (?:the )?)?gnu general public licen[sc]e(?!\w)
+"""
+
+#: Text of well-known clauses, written out: label :: keyword :: pattern.
 CLAUSES = r"""
 mit :: permission is hereby granted :: permission is hereby granted, free of charge, to any person obtaining a copy
+mit :: the above copyright notice and this permission notice :: the above copyright notice and this permission notice(?: \(including the next paragraph\))? shall be included in all copies or substantial portions of the software
+boost :: permission is hereby granted :: permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
 isc :: permission to use, copy, modify :: permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose
-bsd :: redistribution and use in source :: redistribution and use in source and binary forms, with or without modification
+hpnd :: without fee is hereby granted :: permission to use, copy, modify,? (?:and )?distribute,? (?:and sell )?this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee is hereby granted
+bsd :: redistribution and use in source :: (?:all rights reserved\.? )?redistribution and use in source and binary forms, with or without modification
+bsd-3 :: endorse or promote products :: neither the name of [^.]{1,120} may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4 :: all advertising materials :: all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment
 gpl :: you can redistribute it and/or modify :: this program is free software[:;] you can redistribute it and/or modify
+gpl :: freedom to share and change it :: the licen[sc]es for most software (?:and other practical works )?are designed to take away your freedom to share and change
+lgpl :: lesser general public :: this (?:version of the )?gnu lesser general public licen[sc]e incorporates the terms and conditions
+agpl :: remote network interaction :: remote network interaction; use with the gnu general public licen[sc]e
+gfdl :: free documentation :: permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e
 apache :: except in compliance with the licen :: you may not use this file except in compliance with the licen[sc]e
+apache :: perpetual, worldwide, non-exclusive :: each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright licen[sc]e
+mpl :: this source code form is subject :: this source code form is subject to the terms of the mozilla public licen[sc]e
+mpl :: contents of this file are subject :: the contents of this file are subject to the mozilla public licen[sc]e
+epl :: agreement :: the accompanying program is provided under the terms of this eclipse public licen[sc]e
+cpl :: agreement :: the accompanying program is provided under the terms of this common public licen[sc]e
+ipl :: agreement :: the accompanying program is provided under the terms of this ibm public licen[sc]e
+cddl :: contents of this file are subject :: the contents of this file are subject to the terms of the common development and distribution licen[sc]e
+eupl :: european union public :: licen[sc]ed under the eupl,? version 1\.[0-2] or - as soon they will be approved by the european commission
+artistic :: artistic control :: the copyright holder maintains some semblance of artistic control over the development of the package
 zlib :: provided 'as-is' :: this software is provided 'as-is', without any express or implied warranty
+zlib :: must not be misrepresented :: the origin of this software must not be misrepresented; you must not claim that you wrote the original software
+libpng :: plainly marked :: altered versions must be plainly marked as such and must not be misrepresented as being the original source
+unlicense :: unencumbered software :: this is free and unencumbered software released into the public domain
+wtfpl :: you just do what :: you just do what the fuck you want to
+beerware :: buy me a beer :: if we meet some day, and you think this stuff is worth it, you can buy me a beer in return
+cc0 :: waive :: to the extent possible under law,? [^.]{1,120} waived all copyright and related or neighboring rights
+openssl :: openssl toolkit :: this product includes software developed by the openssl project for use in the openssl toolkit
+ssleay :: eric young :: this product includes cryptographic software written by eric young
+php :: php software :: this product includes php software, freely available from
+python :: python software foundation :: psf hereby grants licensee a nonexclusive, royalty-free, world-wide licen[sc]e to reproduce
+postgresql :: university of california :: in no event shall the university of california be liable to any party
+ncsa :: deal with the software :: to deal with the software without restriction, including without limitation the rights to use, copy, modify
+w3c :: w3c :: by obtaining,? using and/or copying this work, you \(the licensee\) agree
+upl :: larger works :: the larger works? to which the software is contributed
+ofl :: reserved font name :: this font software is licen[sc]ed under the sil open font licen[sc]e
+ofl :: reserved font name :: no modified version of the font software may use the reserved font name
+ms-pl :: patent claims :: each contributor grants you a non-exclusive, worldwide, royalty-free licen[sc]e under its licen[sc]ed patent claims
+sspl :: service source code :: you must make the service source code available via network download to everyone at no charge
+busl :: change date :: effective on the change date, or the fourth anniversary of the first publicly available distribution
+elastic :: hosted or managed service :: you may not provide the software to third parties as a hosted or managed service
+commons-clause :: commons clause :: the software is provided to you by the licensor under the licen[sc]e, as defined below, subject to the following condition
+json :: good, not evil :: the software shall be used for good, not evil
+openrail :: use-based restrictions :: use-based restrictions as referenced in paragraph 5 must be included
+odbl :: produced work :: any produced work that you publicly convey must be accompanied by a notice
+cc :: exercise the licensed rights :: a worldwide, royalty-free, non-sublicensable, non-exclusive, irrevocable licen[sc]e to exercise the licen[sc]ed rights
 proprietary :: permission :: (?:no part of|may not be) [^.\n]{0,120}(?:reproduced|copied|distributed)[^.\n]{0,80}without (?:prior |written )*permission
-copyleft :: alike :: (?:attribution[ -])?share[ -]?alike
+proprietary :: confidential :: (?:proprietary and confidential|confidential and proprietary)
+proprietary :: trade secret :: (?:contains|constitutes?) (?:valuable )?trade secrets? of
+copyleft :: alike :: (?:attribution[ -])(?:non-?commercial[ -])?share[ -]?alike
 """
 
 #: A line break with the blanks and comment marks around it, or a run of blanks; one blank stands for it.
@@ -118,8 +206,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 SPDX = "spdx-license-identifier:"
-TAG, GRANT, CLAUSE, ADDRESS, TITLE = range(5)
-SCORE = {TAG: 1.0, GRANT: 0.95, CLAUSE: 0.9, ADDRESS: 0.85, TITLE: 0.7}
+TAG, SECOND, THIRD, GRANT, CLAUSE, ADDRESS, TITLE = range(7)
+SCORE = {TAG: 1.0, SECOND: 1.0, THIRD: 1.0, GRANT: 0.95, CLAUSE: 0.9, ADDRESS: 0.85, TITLE: 0.7}
 
 
 def runs(pattern: str) -> list[str]:
@@ -139,34 +227,39 @@ def rules() -> list[tuple[int, str, str, str]]:
     gap = r"[ \t\n]+"
     grant = rf"(?:licen[sc]ed|released|distributed|available|published|covered){gap}(?:\w+{gap})?(?:under|by){gap}"
     grant += rf"(?:the{gap})?(?:terms{gap}of{gap}(?:the{gap})?)?"
+    part = r"[\w.+-]+\)?[ \t]+(?:and|or|with)[ \t(]+"
     for line in LICENSES.strip().splitlines():
         label, ids, title, address = line.split(" :: ")
         for name in ids.split(",") if ids != "-" else ():
-            found.append((TAG, label, name, rf"{SPDX}[ \t]*{re.escape(name)}\+?(?![\w.+-])"))
+            for kind, n in ((TAG, 0), (SECOND, 1), (THIRD, 2)):  # a place of its own in an expression, as longer hits hold shorter ones
+                found.append((kind, label, name, rf"{SPDX}[ \t(]*{part * n}{re.escape(name)}\+?(?![\w.+-])"))
         found.append((GRANT, label, keyword(title), rf"{grant}{title}(?!\w)"))
         found.append((TITLE, label, keyword(title), rf"(?<!\w){title}(?!\w)"))
         if address != "-":
             found.append((ADDRESS, label, keyword(address), address))
-    for line in CLAUSES.strip().splitlines():
-        label, word, pattern = line.split(" :: ")
-        found.append((CLAUSE, label, word, pattern))
+    for kind, lines in ((GRANT, NOTICES), (CLAUSE, CLAUSES)):
+        for line in lines.strip().splitlines():
+            label, word, pattern = line.split(" :: ")
+            longest = keyword(pattern)
+            sure = any(word in r for r in runs(pattern)) or len(longest) < 5  # a word of every branch is named in the line
+            found.append((kind, label, word if sure else longest, pattern))
     return sorted(found, key=lambda r: r[0])
 
 
 #: What a match holds if its rule has no keyword of some length.
-SHORT = {"cc0": ("cc0", "cc zero", "creative commons zero"), "cc-by": ("cc by", "cc-by")}
+SHORT = {"not-gpl": ("gpl",), "cc0": ("cc0", "cc zero", "creative commons zero"), "cc-by": ("cc by", "cc-by")}
 
 
 def stems() -> tuple[str, ...]:
     """Words of which every hit of any rule holds one."""
     found = set()
     for priority, label, word, pattern in rules():
-        if priority == TAG:
+        if priority in (TAG, SECOND, THIRD):
             found.add(SPDX)
         elif priority in (GRANT, TITLE) and any("licen" in r for r in runs(pattern)):
             found.add("licen")
         else:
-            found |= {word} if len(word) > 4 else set(SHORT[label])
+            found |= {word} if len(word) > 3 else set(SHORT[label])
     return tuple(sorted(w for w in found if not any(v in w for v in found - {w})))
 
 

@@ -252,3 +252,28 @@ def test_wrapped_clauses_and_later_versions(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.labels for r in license_rules.scan(df).collect()}
     assert got == {1: "bsd,proprietary", 2: "isc", 3: "lppl", 4: "gpl", 5: "cc-by", 6: "cc-by", 7: "gpl"}
+
+
+def test_notices_expressions_and_clauses_have_their_labels(spark):
+    texts = {
+        "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General Public License": "agpl",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+        "Copyright (c) 2020. All rights reserved.\n\n * Redistribution and use in source and binary forms, with or without modification, are": "bsd",
+        "please share alike with your friends": "",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache,mit",
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause": "apache,bsd-3,mit",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": "gpl",
+        "GNU GPL version 2": "gpl",
+        "GPL v3": "gpl",
+        "LGPLv2.1+": "lgpl",
+        "this is not under the GPL": "not-gpl",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "boost",
+        "Apache License, Version 2.0": "apache",
+        "Attribution-NonCommercial-ShareAlike 4.0 International": "cc-by-nc-sa",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r.doc_id]: r.labels for r in license_rules.scan(df).collect()}
+    assert got == texts
+    written = [x for _, _, _, x in license_rules.rules()]
+    assert len(license_rules.NOTICES.strip().splitlines()) + len(license_rules.CLAUSES.strip().splitlines()) > 90 and len(written) == len(set(written))
