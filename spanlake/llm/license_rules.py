@@ -165,7 +165,7 @@ epl :: agreement :: the accompanying program is provided under the terms of this
 cpl :: agreement :: the accompanying program is provided under the terms of this common public licen[sc]e
 ipl :: agreement :: the accompanying program is provided under the terms of this ibm public licen[sc]e
 cddl :: contents of this file are subject :: the contents of this file are subject to the terms of the common development and distribution licen[sc]e
-eupl :: european union public :: licen[sc]ed under the eupl,? version 1\.[0-2] or - as soon they will be approved by the european commission
+eupl :: the eupl :: licen[sc]ed under the eupl(?:,? version 1\.[0-2])?(?!\w)
 artistic :: artistic control :: the copyright holder maintains some semblance of artistic control over the development of the package
 zlib :: provided 'as-is' :: this software is provided 'as-is', without any express or implied warranty
 zlib :: must not be misrepresented :: the origin of this software must not be misrepresented; you must not claim that you wrote the original software
@@ -212,7 +212,7 @@ SCORE = {TAG: 1.0, SECOND: 1.0, THIRD: 1.0, GRANT: 0.95, CLAUSE: 0.9, ADDRESS: 0
 
 def runs(pattern: str) -> list[str]:
     """The literal runs that every match of a pattern holds."""
-    outside = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\](?:\{[^}]*\})?\??|[\w -]\?|\\d", "\0", pattern)
+    outside = re.sub(r"\(\?:(?:[^()]|\([^()]*\))*\)\??|\[[^\]]*\](?:\{[^}]*\})?\??|[\w ,-]\?|\\d", "\0", pattern)
     return re.sub(r"\\(.)", r"\1", outside).split("\0")
 
 
