@@ -171,4 +171,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, trusted_share: float = 0.999)
     A text is measured again where it lies: the verdict hangs on the text alone, so no row moves to meet it.
     """
     found, _, bound = fitted(docs, labels, trusted_share)
-    return measured(docs, found, carry=True).where(passes(bound)).select("_row.*")
+    # not deterministic to the optimizer, or the filter would be pushed below the measures, each of them written out many times over
+    once = F.monotonically_increasing_id() >= 0
+    return measured(docs, found, carry=True).withColumn("_kept", passes(bound) & once).where("_kept").select("_row.*")
