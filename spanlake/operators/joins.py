@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -244,29 +245,60 @@ def pitch_errors(true: DataFrame, est: DataFrame, key: str, value: str = "f0") -
     )
 
 
-def _areas(boxes: pa.Table, edges: pa.Table) -> pa.Table:
+def _corners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pixel runs (frame_id, object_label, y, x_start, x_end) as changes of change: what differs between a line's edges and those of the line above.
+
+    Both ends of a run are a step along its line, and a line that ends its runs where the one above does adds nothing, so a
+    batch of runs shrinks to the corners of its masks. Equal places of a batch are summed and zeros go.
+    """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        frame, label = (b[c].dictionary_encode(null_encoding="encode").indices.to_numpy().astype(np.int64) for c in ("frame_id", "object_label"))
+        of = frame * (int(label.max()) + 1) + label
+        y, x0, x1 = (b[c].to_numpy() for c in ("y", "x_start", "x_end"))
+        owner, line, place = np.tile(of, 4), np.concatenate([y, y, y + 1, y + 1]), np.concatenate([x0, x1, x0, x1])
+        step = np.repeat(np.array([1, -1, -1, 1], np.int64), b.num_rows)
+        order = np.lexsort((place, line, owner))
+        owner, line, place, step = owner[order], line[order], place[order], step[order]
+        fresh = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(line) != 0) | (np.diff(place) != 0)]))
+        total = np.add.reduceat(step, fresh)
+        keep = fresh[total != 0]
+        source = pa.array(order[keep] % b.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [b["frame_id"].take(source), b["object_label"].take(source), pa.array(line[keep]), pa.array(place[keep]), pa.array(total[total != 0])],
+            names=["frame_id", "object_label", "y", "x", "d"],
+        )
+
+
+def _areas(boxes: pa.Table, corners: pa.Table) -> pa.Table:
     """Pixels of each mask inside each box, and of the whole mask, from sums over all lines above and columns left of a corner."""
     out: dict[str, list] = {c: [] for c in ("det_id", "object_label", "inside", "total")}
     x0, y0, x1, y1 = (boxes[c].to_numpy() for c in ("x0", "y0", "x1", "y1"))
     ids, box = np.unique(boxes["det_id"].to_numpy(), return_inverse=True)  # boxes of one number count together
-    labels, of = np.unique(edges["object_label"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    line, column, step = (edges[c].to_numpy() for c in ("y", "x", "d"))
+    labels, of = np.unique(corners["object_label"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+    line, column, step = (corners[c].to_numpy() for c in ("y", "x", "d"))
     for n, label in enumerate(labels):
         own = of == n
         ys, iy = np.unique(line[own], return_inverse=True)
         xs, ix = np.unique(column[own], return_inverse=True)
-        cover = np.zeros((len(ys) + 1, len(xs)), np.int64)  # row k: pixels of the lines before ys[k], by column between edges
-        np.add.at(cover, (iy + 1, ix), step[own])
+        cover = np.zeros((len(ys), len(xs)), np.int64)  # row k: pixels of each line from ys[k] on, by column between edges
+        np.add.at(cover, (iy, ix), step[own])
         cover = cover.cumsum(1).cumsum(0)
         left = np.zeros_like(cover)
         left[:, 1:] = (cover[:, :-1] * np.diff(xs)).cumsum(1)
+        # the same over all lines before ys[k]
+        high = np.diff(ys)[:, None]
+        above, above_left = np.zeros_like(cover), np.zeros_like(cover)
+        above[1:], above_left[1:] = (cover[:-1] * high).cumsum(0), (left[:-1] * high).cumsum(0)
 
         def before(x, y):
             """Pixels with a smaller column than x on lines before y."""
-            k, c = np.searchsorted(ys, y), np.searchsorted(xs, x, "right") - 1
-            inside = c >= 0
-            c = np.maximum(c, 0)
-            return np.where(inside, left[k, c] + cover[k, c] * (x - xs[c]), 0)
+            k, c = np.searchsorted(ys, y, "right") - 1, np.searchsorted(xs, x, "right") - 1
+            inside = (c >= 0) & (k >= 0)
+            k, c = np.maximum(k, 0), np.maximum(c, 0)
+            more, right = y - ys[k], x - xs[c]
+            return np.where(inside, above_left[k, c] + above[k, c] * right + more * (left[k, c] + cover[k, c] * right), 0)
 
         area = np.zeros(len(ids), np.int64)
         np.add.at(area, box, before(x1, y1) - before(x0, y1) - before(x1, y0) + before(x0, y0))
@@ -274,7 +306,7 @@ def _areas(boxes: pa.Table, edges: pa.Table) -> pa.Table:
         out["det_id"].append(ids[hit])
         out["object_label"] += [label] * len(hit)
         out["inside"].append(area[hit])
-        out["total"].append(np.full(len(hit), left[-1, -1]))
+        out["total"].append(np.full(len(hit), above_left[-1, -1]))
     whole = {c: np.concatenate(v or [np.empty(0, np.int64)]) for c, v in out.items() if c != "object_label"}
     return pa.table({"det_id": whole["det_id"], "object_label": pa.array(out["object_label"], pa.string()), "inside": whole["inside"], "total": whole["total"]})
 
@@ -284,21 +316,21 @@ def box_mask_join(boxes: DataFrame, runs: DataFrame, diagonal: Column | float, m
 
     runs are (frame_id, object_label, y, x_start, x_end) pixel runs with x_end exclusive; pixels drawn twice count twice. Each mask
     becomes a table of running sums over lines and columns between run edges, and a box reads its four corners
-    there: its cost does not depend on its height. Runs are folded to at most one row per pixel before they move, and a frame
+    there: its cost does not depend on its height. Runs shrink to the corners of their masks before they move, and a frame
     with more than boxes_per_task boxes is cut into parts that each get the masks. Kept are pairs with
     inside >= diagonal and inside / (outside + 1e-6) >= min_ratio.
     """
     corner = {c: F.bround(F.col(c)).cast("long") for c in ("x0", "y0", "x1", "y1")}
     b = boxes.select("frame_id", "det_id", *[e.alias(c) for c, e in corner.items()]).where("y1 > y0 and x1 > x0")
-    ends = F.array(F.struct(F.col("x_start").cast("long").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x_end").cast("long").alias("x"), F.lit(-1).alias("d")))
-    edges = (
-        runs.where("x_end > x_start").select("frame_id", F.col("object_label").cast("string").alias("object_label"), F.col("y").cast("long").alias("y"), F.explode(ends).alias("e"))
-        .groupBy("frame_id", "object_label", "y", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d")).where("d <> 0")
+    kind = dict(boxes.dtypes)
+    flat = runs.where("x_end > x_start").select("frame_id", F.col("object_label").cast("string").alias("object_label"), *[F.col(c).cast("long").alias(c) for c in ("y", "x_start", "x_end")])
+    corners = (
+        flat.mapInArrow(_corners, f"frame_id {dict(runs.dtypes)['frame_id']}, object_label string, y long, x long, d long")
+        .groupBy("frame_id", "object_label", "y", "x").agg(F.sum("d").alias("d")).where("d <> 0")
     )
     parts = b.groupBy("frame_id").agg(F.ceil(F.count("*") / boxes_per_task).cast("int").alias("_parts"))
     left = b.join(parts, "frame_id").withColumn("part", F.pmod(F.xxhash64("det_id"), F.col("_parts")).cast("int")).drop("_parts")
-    right = edges.join(parts, "frame_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    kind = dict(boxes.dtypes)
+    right = corners.join(parts, "frame_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
     def summed(key, these: pa.Table, masks: pa.Table) -> pa.Table:
         found = _areas(these, masks)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spanlake.operators import joins as J
 from spanlake.operators import text_metrics as M
 
 
@@ -19,3 +20,16 @@ def test_gram_counts_leave_in_bounded_batches(spark, monkeypatch):
     # counts reach the JVM as flat rows: no list of one Python object per n-gram
     plan = M.gram_counts(df, ["id"], F.split("t", " "), 2)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_mask_runs_shrink_to_corners(spark):
+    # two towers of 100 equal lines, one of them drawn twice, and a gap: runs of a batch leave as corners
+    runs = [(1, "a", y, 10, 20) for y in range(100)] + [(1, "a", y, 15, 40) for y in range(100)] * 2 + [(1, "b", y, 0, 5) for y in (3, 4, 9)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("frame_id", "object_label", "y", "x_start", "x_end"), r)) for r in runs])
+    (out,) = J._corners(iter([batch]))
+    assert out.num_rows == 8 + 8
+    boxes = spark.createDataFrame([(1, 1, 12.0, 5.0, 30.0, 8.0), (1, 2, 0.0, 0.0, 5.0, 4.0)], "frame_id long, det_id long, x0 double, y0 double, x1 double, y1 double")
+    df = spark.createDataFrame(runs, "frame_id long, object_label string, y int, x_start int, x_end int")
+    got = {(r.det_id, r.object_label): (r.inside, r.outside) for r in J.box_mask_join(boxes, df, 1.0, 0.0).collect()}
+    whole = 100 * 10 + 2 * 100 * 25
+    assert got == {(1, "a"): (3 * (8 + 2 * 15), whole - 3 * (8 + 2 * 15)), (2, "b"): (5, 10)}
