@@ -13,13 +13,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.sets import split_by_size
 from spanlake.plans.binned import overlap_join
+from spanlake.plans.folds import fold_groups
 from spanlake.plans.scan import ordered_scan
-from spanlake.session import cut, shuffle_width
+from spanlake.session import cut
 
 GROUP_ROWS = 20_000
 MATRIX_ROWS = 512
@@ -79,13 +81,11 @@ def _decay(method, threshold, strict, sigma):
 
 
 def _fold(dims, ident, method, threshold, strict, sigma, min_score):
-    """The sequential fold over one bounded group."""
+    """The sequential fold over bounded groups, many to a batch."""
     decay = _decay(method, threshold, strict, sigma)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ident)
-        spans = [(pdf[dims[i]].to_numpy(float), pdf[dims[i + 1]].to_numpy(float)) for i in range(0, len(dims), 2)]
-        score = pdf["score"].to_numpy(float).copy()
+    def group(spans, score) -> tuple[list, list]:
+        """Kept rows and their final scores; rows come in id order."""
         n = len(score)
         # the whole decay matrix for small groups, row by row otherwise
         table = decay(_overlap_arrays(spans, np.arange(n)[:, None])) if n <= MATRIX_ROWS else None
@@ -113,9 +113,20 @@ def _fold(dims, ident, method, threshold, strict, sigma, min_score):
                 live[i] = -np.inf
                 live = np.where(live == -np.inf, live, live * weights(i))
                 live[live < min_score] = -np.inf
-        out = pdf.iloc[kept].copy()
-        out["score"] = final
-        return out
+        return kept, final
+
+    def run(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((rows[ident].to_numpy(zero_copy_only=False), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
+        sides = [rows[c].to_numpy(zero_copy_only=False).astype(float)[order] for c in dims]
+        score = rows["score"].to_numpy(zero_copy_only=False).astype(float)[order]
+        at, final = [], []
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            kept, last = group([(sides[i][lo:hi], sides[i + 1][lo:hi]) for i in range(0, len(dims), 2)], score[lo:hi])
+            at += [lo + i for i in kept]
+            final += last
+        out = rows.take(pa.array(order[np.asarray(at, np.int64)]))
+        place = rows.schema.get_field_index("score")
+        return out.set_column(place, rows.schema.field(place), pa.array(final, pa.float64()).cast(rows.schema.field(place).type))
 
     return run
 
@@ -260,14 +271,12 @@ def suppress(
         best = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(ident))
         return df.withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
     fold = _fold(dims, ident, method, threshold, strict, sigma, min_score)
-    # an explicit width keeps the fold parallel where a small shuffle would be merged into one task
-    width = shuffle_width(df.sparkSession)
     small, large = split_by_size(df, keys, group_rows)
-    parts = [small.repartition(width, *keys).groupBy(*keys).applyInPandas(fold, df.schema)]
+    parts = [fold_groups(small, keys, fold, df.schema)]
     if large is not None:
         runs = cut(islands(large, keys, dims[0], dims[1], ident, "_island"))
         small, large = split_by_size(runs, [*keys, "_island"], group_rows)
-        parts.append(small.groupBy(*keys, "_island").applyInPandas(fold, runs.schema).drop("_island"))
+        parts.append(fold_groups(small, [*keys, "_island"], fold, runs.schema).drop("_island"))
         if large is not None:
             parts.append(
                 suppress_by_tiles(
