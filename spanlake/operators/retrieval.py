@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.operators.sets import FOLD_ROWS, split_by_size, with_component
 from spanlake.plans.binned import overlap_join
+from spanlake.plans.folds import fold_groups
 from spanlake.plans.scan import keyed_index, ordered_scan
 from spanlake.session import cut
 
@@ -113,27 +115,30 @@ def assign_detections(pairs: DataFrame, tious=TIOUS, fold_rows: int = FOLD_ROWS)
     schema = "tiou_t double, pred_id long, seg_id long"
     narrow = pairs.where(F.col("tiou") >= min(levels)).select("clip_id", "label", "pred_id", "seg_id", "score", "tiou")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "pred_id", "tiou", "seg_id"], ascending=[False, True, False, True], kind="stable")
+    def fold(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
+        pred, seg, rank, tiou = (rows[c].to_numpy(zero_copy_only=False) for c in ("pred_id", "seg_id", "score", "tiou"))
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        order = np.lexsort((seg, -tiou, pred, -rank, group))
         out = []
         for t in levels:
-            at = pdf[pdf["tiou"] >= t]
+            at = order[tiou[order] >= t]
             done, used = set(), set()
-            for p, s in zip(at["pred_id"].tolist(), at["seg_id"].tolist()):
-                if p not in done and s not in used:
-                    done.add(p)
-                    used.add(s)
+            for g, p, s in zip(group[at].tolist(), pred[at].tolist(), seg[at].tolist()):
+                if (g, p) not in done and (g, s) not in used:
+                    done.add((g, p))
+                    used.add((g, s))
                     out.append((t, p, s))
-        return pd.DataFrame(out, columns=["tiou_t", "pred_id", "seg_id"])
+        columns = list(zip(*out)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.float64(), pa.int64(), pa.int64()))], names=["tiou_t", "pred_id", "seg_id"])
 
     keys = ["clip_id", "label"]
     narrow = cut(narrow)
     small, large = split_by_size(narrow, keys, fold_rows)
-    parts = [small.groupBy(*keys).applyInPandas(fold, schema)]
+    parts = [fold_groups(small, keys, fold, schema)]
     if large is not None:
         parted = cut(with_component(large, ["pred_id"], ["seg_id"]))
         small, large = split_by_size(parted, ["_part"], fold_rows)
-        parts.append(small.groupBy("_part").applyInPandas(fold, schema))
+        parts.append(fold_groups(small, ["_part"], fold, schema))
         if large is not None:
             at = large.withColumn("tiou_t", F.explode(F.array(*map(F.lit, levels)))).where("tiou >= tiou_t")
             parts.append(assign_by_rounds(at).select("tiou_t", "pred_id", "seg_id"))
