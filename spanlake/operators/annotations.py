@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.plans.binned import overlap_join
+from spanlake.operators.sets import split_by_size
 from spanlake.plans.scan import ordered_scan
+from spanlake.session import cut
 
 
 # ---- projections and filters -------------------------------------------------------------
@@ -310,6 +312,10 @@ def activity_islands(segments: DataFrame, clips: DataFrame) -> DataFrame:
 CHUNK_SECONDS = 3600
 
 
+#: Islands up to which those of a chunk are joined with each other; a chunk with more is read off flags.
+CHUNK_ISLANDS = 64
+
+
 def _active_pairs(chunk: pa.Table) -> pa.Table:
     """Pairs of labels that share a second of one chunk."""
     labels, of = np.unique(chunk["label"].to_numpy(zero_copy_only=False), return_inverse=True)
@@ -326,15 +332,21 @@ def label_cooccurrence(segments: DataFrame, clips: DataFrame) -> DataFrame:
     """(label_a, label_b, n_clips, weight): clips in which both labels are active in one whole second.
 
     weight is the natural log of the count; absent edges and the diagonal are not rows. Islands of activity are cut into
-    chunks of CHUNK_SECONDS, whose flags are bounded by the number of labels; pairs are read off each chunk.
+    chunks of CHUNK_SECONDS. The islands of a sparse chunk are joined, at most CHUNK_ISLANDS with each other; a dense one costs a call, and its
+    flags are bounded by the number of labels.
     """
     w = CHUNK_SECONDS
     kind = dict(segments.dtypes)
     chunk = F.explode(F.sequence(F.floor(F.col("s") / w), F.floor((F.col("e") - 1) / w))).alias("chunk")
-    cut = activity_islands(segments, clips).select("clip_id", F.col("label").cast("string").alias("label"), "s", "e", chunk).select(
+    pieces = activity_islands(segments, clips).select("clip_id", F.col("label").cast("string").alias("label"), "s", "e", chunk).select(
         "clip_id", "chunk", "label", (F.greatest("s", F.col("chunk") * w) - F.col("chunk") * w).alias("s"), (F.least("e", (F.col("chunk") + 1) * w) - F.col("chunk") * w).alias("e")
     )
-    pairs = cut.groupBy("clip_id", "chunk").applyInArrow(_active_pairs, f"clip_id {kind['clip_id']}, x string, y string")
+    keys = ["clip_id", "chunk"]
+    sparse, dense = split_by_size(cut(pieces), keys, CHUNK_ISLANDS)
+    one, other = sparse.select(*keys, F.col("label").alias("x"), "s", "e"), sparse.select(*keys, F.col("label").alias("y"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = one.join(other, keys).where("x < y AND s < e2 AND s2 < e").select("clip_id", "x", "y")
+    if dense is not None:
+        pairs = pairs.unionByName(dense.groupBy(*keys).applyInArrow(_active_pairs, f"clip_id {kind['clip_id']}, x string, y string"))
     counted = pairs.distinct().groupBy("x", "y").agg(F.count("*").alias("n_clips"))
     both = F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
     return counted.select(F.explode(both).alias("e"), "n_clips").select(
