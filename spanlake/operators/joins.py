@@ -196,12 +196,17 @@ def nearest_center(hands: DataFrame, objs: DataFrame) -> DataFrame:
         (hx + F.col("dx") * F.col("magnitude") * 1000).alias("ax"),
         (hy + F.col("dy") * F.col("magnitude") * 1000).alias("ay"),
     )
-    # nine decimals, so that equal distances tie whatever the rounding of the last bit
-    dist = F.round(F.hypot(F.col("ox") - F.col("ax"), F.col("oy") - F.col("ay")), 9)
+    # a frame's spots travel as one list; each hand takes the least of its list inside its own row, so no pair is sorted
+    lists = spots.groupBy("frame_id").agg(F.collect_list(F.struct("ox", "oy", "det_id")).alias("spots"))
+
+    def seen(o: Column) -> Column:
+        # nine decimals, so that equal distances tie whatever the rounding of the last bit
+        return F.struct(F.round(F.hypot(o["ox"] - F.col("ax"), o["oy"] - F.col("ay")), 9).alias("dist"), o["det_id"].alias("det_id"))
+
     return (
-        aim.join(spots, "frame_id")
-        .groupBy("frame_id", "hand_id")
-        .agg(F.min(F.struct(dist.alias("dist"), F.col("det_id").alias("det_id"))).alias("m"))
+        aim.join(lists, "frame_id")
+        .select("frame_id", "hand_id", F.array_min(F.transform("spots", seen)).alias("m"))
+        .groupBy("frame_id", "hand_id").agg(F.min("m").alias("m"))
         .select("frame_id", "hand_id", "m.det_id", "m.dist")
     )
 
