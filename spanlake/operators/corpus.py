@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import _words
+from spanlake.functions.text import _words, squeeze
 from spanlake.plans.scan import global_index, keyed_index
+from spanlake.session import cut
 
 NONE, MAX, MIN, COUNT, SUM, AVERAGE = range(6)
 
@@ -189,24 +191,27 @@ def inception_score(preds: DataFrame, splits: int, order: list[str], probs: str
 
 def encode_oov(df: DataFrame, vocab: DataFrame, ident: str = "id", src: str = "src", tgt: str = "tgt", symbol: str = "symbol") -> DataFrame:
     """Unknown source words become <unk-N>, N their first position; target words follow their source word."""
-    words = df.select(F.col(ident), F.posexplode(_words(F.col(src))).alias("pos", "tok"))
-    known = vocab.select(F.col(symbol).alias("tok"), F.lit(True).alias("known")).distinct()
-    first = words.groupBy(ident, "tok").agg(F.min("pos").alias("first"))
-    oov = first.join(known, "tok", "left").where("known is null").select(ident, "tok", "first")
-
-    def rebuild(side: str, name: str) -> DataFrame:
-        w = df.select(F.col(ident), F.posexplode(_words(F.col(side))).alias("pos", "tok"))
-        out = w.join(oov, [ident, "tok"], "left").select(
-            ident, "pos",
-            F.when(F.col("first").isNotNull(), F.concat(F.lit("<unk-"), F.col("first").cast("string"), F.lit(">"))).otherwise(F.col("tok")).alias("tok"),
-        )
-        return out.groupBy(ident).agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), " ").alias(name)
-        )
-
-    base = df.select(ident)
-    out = base.join(rebuild(src, src), ident, "left").join(rebuild(tgt, tgt), ident, "left")
-    return out.select(ident, F.coalesce(src, F.lit("")).alias(src), F.coalesce(tgt, F.lit("")).alias(tgt))
+    kept = cut(df.select(ident, src, tgt))
+    # each distinct word of a source moves once to meet the vocabulary; the unknown ones come back as one list a row
+    met = kept.select(ident, F.explode(F.array_distinct(_words(F.col(src)))).alias("tok"))
+    known = vocab.select(F.col(symbol).alias("tok")).distinct()
+    oov = met.join(known, "tok", "left_anti").groupBy(ident).agg(F.array_join(F.collect_list("tok"), " ").alias("_oov"))
+
+    @F.pandas_udf("struct<src:string,tgt:string>")
+    def coded(source: pd.Series, target: pd.Series, unknown: pd.Series) -> pd.DataFrame:
+        def one(s, t, u) -> tuple[str, str]:
+            # words hold no blanks; they are cut row by row, so a batch holds texts and not their words
+            s, t, u = (x.split(" ") if x else [] for x in (s, t, u))
+            lost, first = set(u), {}
+            for i, w in enumerate(s):
+                if w in lost and w not in first:
+                    first[w] = f"<unk-{i}>"
+            return " ".join([first.get(w, w) for w in s]), " ".join([first.get(w, w) for w in t])
+
+        return pd.DataFrame([one(*row) for row in zip(source, target, unknown)], columns=["src", "tgt"])
+
+    rows = kept.join(oov, ident, "left").select(ident, coded(squeeze(F.col(src)), squeeze(F.col(tgt)), "_oov").alias("c"))
+    return rows.select(ident, F.col("c.src").alias(src), F.col("c.tgt").alias(tgt))
 
 
 def decode_oov(src: Column, tgt: Column) -> Column:
