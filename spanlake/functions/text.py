@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanlake.functions.vectors import bound
+
 # fixed values: the ASCII punctuation characters
 PUNCTUATION = string.punctuation
 
@@ -171,12 +173,18 @@ def prepend_token(tokens: Column, token) -> Column:
 
 def strip_token(tokens: Column, token) -> Column:
     """Remove the token from both ends, as often as it occurs there."""
-    at = F.filter(
-        F.transform(tokens, lambda x, i: F.when(x != F.lit(token), i)), lambda i: i.isNotNull()
-    )
-    return F.when(F.size(at) == 0, F.slice(tokens, 1, 0)).otherwise(
-        F.slice(tokens, F.array_min(at) + 1, F.array_max(at) - F.array_min(at) + 1)
-    )
+
+    def cut_ends(held: Column) -> Column:
+        stays = F.transform(held, lambda x: x != F.lit(token))
+
+        def between(b: Column) -> Column:
+            first, after = F.array_position(b, True).cast("int"), F.array_position(F.reverse(b), True).cast("int")
+            return F.slice(held, F.greatest(first, F.lit(1)), F.when(first == 0, 0).otherwise(F.size(b) - after - first + 2))
+
+        return bound(stays, between)
+
+    # the tokens are computed once and marked in one pass
+    return bound(tokens, cut_ends)
 
 
 def replace_tokens(tokens: Column, mapping: dict) -> Column:
