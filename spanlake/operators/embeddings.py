@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
@@ -177,12 +178,48 @@ def inertia(assigned: DataFrame) -> DataFrame:
 
 # ---- exact nearest neighbours ---------------------------------------------------------------
 
-BLOCK_ROWS = 4096
+#: Bytes of the vectors on each side of a block product. A row moves once for every block that it meets, so small blocks cost moves.
+BLOCK_BYTES = 16 << 20
+SLICE_X, SLICE_Y = 512, 4096
+
+
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as one array."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks])
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def largest_products(a: np.ndarray, b: np.ndarray, k: int, low: np.ndarray, skip_same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, product): the k largest products of each row of a that are not below its low, ties to the first of b.
+
+    Products are taken slice by slice. Once k of a row are known, only those that reach the k-th go on.
+    """
+    na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+    out = []
+    for i in range(0, len(a), SLICE_X):
+        x, least = a[i : i + SLICE_X], low[i : i + SLICE_X].copy()
+        row, col, sim = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for j in range(0, len(b), SLICE_Y):
+            s = x @ b[j : j + SLICE_Y].T
+            if skip_same:
+                s[s >= (1 - 1e-9) * na[i : i + SLICE_X, None] * nb[None, j : j + SLICE_Y]] = -np.inf
+            s[~np.isfinite(s)] = -np.inf
+            if j == 0 and s.shape[1] > k:
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            row, col, sim = np.concatenate([row, r]), np.concatenate([col, c + j]), np.concatenate([sim, s[r, c]])
+            order = np.lexsort((col, -sim, row))
+            row, col, sim = row[order], col[order], sim[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            least[row[place == k - 1]] = np.maximum(least[row[place == k - 1]], sim[place == k - 1])
+            row, col, sim = row[place < k], col[place < k], sim[place < k]
+        out.append((row + i, col, sim))
+    return tuple(np.concatenate(part) for part in zip(*out))
 
 
 def knn_join(
     x: DataFrame, y: DataFrame, k: int, x_id: str = "x_id", y_id: str = "y_id", vec: str = "embedding",
-    skip_same: bool = False, block_rows: int = BLOCK_ROWS, pivots: int | None = None,
+    skip_same: bool = False, block_rows: int | None = None, pivots: int | None = None,
 ) -> DataFrame:
     """(x_id, y_id, sim): the k rows of y with the largest inner product for every x, exact, ties to the smaller id.
 
@@ -198,6 +235,7 @@ def knn_join(
     n_y = ys.count()
     if n_y == 0:
         return spark.createDataFrame([], f"{x_id} long, {y_id} long, sim double")
+    block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * max(1, len(ys.first()["yv"]))))
     # the number of pivots is limited, so the pivot matrix stays small on the driver
     n_piv = pivots or max(1, min(1024, n_y // block_rows))
     piv = np.array([r[0] for r in ys.orderBy(draw_key("pivot", F.col("y")), "y").limit(n_piv).select("yv").collect()])
@@ -242,43 +280,37 @@ def knn_join(
                 rep = nb[cell]
                 row, cell = np.repeat(row, rep), np.repeat(cell, rep)
                 sub = np.arange(len(row)) - np.repeat(np.cumsum(rep) - rep, rep)
-                yield pd.DataFrame({"x": pdf["x"].to_numpy()[row], "cell": cell.astype(np.int32), "sub": sub.astype(np.int32)})
+                known = pdf["low"].to_numpy(float)[row] if second else np.full(len(row), -np.inf)
+                yield pd.DataFrame({"x": pdf["x"].to_numpy()[row], "cell": cell.astype(np.int32), "sub": sub.astype(np.int32), "low": np.nan_to_num(known, nan=-np.inf)})
 
         return run
 
     nb = F.element_at(F.array(*[F.lit(int(b)) for b in n_blocks]), F.col("cell") + 1)
     blocks = celled.select("y", "yv", "cell", F.pmod(F.xxhash64("y"), nb).cast("int").alias("sub"))
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if len(left) == 0 or len(right) == 0:
-            return pd.DataFrame({"x": np.empty(0, np.int64), "y": np.empty(0, np.int64), "sim": np.empty(0)})
-        right = right.sort_values("y")
-        a, b = np.stack(left["xv"].to_numpy()), np.stack(right["yv"].to_numpy())
-        sim = a @ b.T
-        if skip_same:
-            na, nb_ = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-            sim = np.where(sim >= (1 - 1e-9) * na[:, None] * nb_[None, :], -np.inf, sim)
-        keep = min(k, sim.shape[1])
-        # rows of y are in id order and the sort is stable, so ties go to the smaller id
-        top = np.argsort(-sim, axis=1, kind="stable")[:, :keep]
-        s = np.take_along_axis(sim, top, axis=1).ravel()
-        out = pd.DataFrame({"x": np.repeat(left["x"].to_numpy(), keep), "y": right["y"].to_numpy()[top.ravel()], "sim": s})
-        return out[np.isfinite(s)]
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        # rows of y are in id order, so ties go to the smaller id
+        right = right.sort_by("y")
+        low = left["low"].fill_null(-np.inf).to_numpy()
+        at, near, sim = largest_products(matrix(left["xv"]), matrix(right["yv"]), k, low, skip_same)
+        return pa.table({"x": left["x"].to_numpy()[at], "y": right["y"].to_numpy()[near], "sim": sim})
 
     def probe(plan: DataFrame) -> DataFrame:
         plan = cut(plan)
         parts = plan.groupBy("cell", "sub").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-        left = plan.join(parts, ["cell", "sub"]).withColumn("salt", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).join(xs, "x").select("cell", "sub", "salt", "x", "xv")
+        left = plan.join(parts, ["cell", "sub"]).withColumn("salt", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).join(xs, "x").select("cell", "sub", "salt", "x", "xv", "low")
         right = blocks.join(parts, ["cell", "sub"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cell", "sub", "salt", "y", "yv")
         keys = ["cell", "sub", "salt"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "x long, y long, sim double")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, "x long, y long, sim double")
 
     w = Window.partitionBy("x").orderBy(F.col("sim").desc(), "y")
 
     def top_k(df: DataFrame) -> DataFrame:
         return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
-    plan_schema = "x long, cell int, sub int"
+    plan_schema = "x long, cell int, sub int, low double"
     found = top_k(probe(xs.mapInPandas(visits(False), plan_schema)))
     if len(piv) > 1:
         found = cut(found)
