@@ -6,7 +6,8 @@ fragments and the tail, and copies the fragments in between in blocks of bounded
 its place. Every attempt has a fragment of its own and only reported ones are used, so repeated tasks do no harm.
 
 Each prediction stands on a line of its own, as does each clip's name. That is still one JSON object, and it lets the file be
-read by many tasks.
+read by many tasks. A reader's task fills section and clip forward over the lines of its file split; what a split's first
+lines need comes from the last names in earlier splits, one row per split, so no line is sorted or shuffled.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from spanlake.plans.scan import ordered_scan
-from spanlake.session import shuffle_width
+from spanlake.session import shuffle_width, spread
 
 SECTIONS = ("detect_results", "retrieve_results")
 BLOCK = 4 << 20
@@ -59,13 +62,22 @@ class Fragment(WriterCommitMessage):
     last: tuple[int, str] | None
 
 
-class SubmissionWriter(DataSourceWriter):
+def changes(columns: list[pa.Array]) -> list[tuple[int, int]]:
+    """(from, to) of the runs of equal rows."""
+    new = np.zeros(max(len(columns[0]) - 1, 0), bool)
+    for c in columns:
+        new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    at = [0, *(np.flatnonzero(new) + 1).tolist(), len(columns[0])]
+    return list(zip(at[:-1], at[1:], strict=True)) if len(columns[0]) else []
+
+
+class SubmissionWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.head = {k: options[k] for k in ("version", "challenge")}
         self.stage = f"{self.path}.fragments-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Fragment:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Fragment:
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -74,14 +86,18 @@ class SubmissionWriter(DataSourceWriter):
         own = f"{stage}/{task.partitionId()}-{task.taskAttemptId()}"
         first = last = None
         with fs.open_output_stream(own) as out:
-            for row in rows:
-                place = (row.section, row.clip)
-                if first is None:
-                    first = place
-                else:
-                    out.write(seam(last, place).encode())
-                out.write(row.item.encode())
-                last = place
+            for b in batches:
+                runs, text = changes([b["section"], b["clip"]]), []
+                lists = pa.ListArray.from_arrays(pa.array([i for i, _ in runs] + [b.num_rows], pa.int32()), b["item"].cast(pa.binary()))
+                for (i, _), items in zip(runs, pc.binary_join(lists, b",\n").to_pylist(), strict=True):
+                    place = (b["section"][i].as_py(), b["clip"][i].as_py())
+                    if first is None:
+                        first = place
+                    else:
+                        text.append(seam(last, place).encode())
+                    text.append(items)
+                    last = place
+                out.write(b"".join(text))
         return Fragment(task.partitionId(), own, first, last)
 
     def commit(self, messages: list[Fragment | None]) -> None:
@@ -122,7 +138,7 @@ class SubmissionSource(DataSource):
     def schema(self) -> str:
         return "section int, clip string, item string"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return SubmissionWriter(self.options)
 
 
@@ -132,14 +148,17 @@ def submission_rows(detect: DataFrame, retrieve: DataFrame | None = None) -> Dat
     Without retrieval results the detections stand in both sections. A null clip_id has the name "null"; null fields are null.
     """
     def of(pred: DataFrame, sections: list[int]) -> DataFrame:
-        item = F.to_json(F.struct("label", "score", F.array("t_start", "t_end").alias("segment")), {"ignoreNullFields": "false"})
         clip = F.coalesce(F.col("clip_id").cast("string"), F.lit("null"))
-        return pred.select(F.explode(F.array(*map(F.lit, sections))).alias("section"), clip.alias("clip"), item.alias("item"), (-F.col("score")).alias("o"), F.col("pred_id").alias("i"))
+        once = spread(pred).select(clip.alias("clip"), (-F.col("score")).alias("o"), F.col("pred_id").alias("i"), "label", "t_start", "t_end")
+        # section and clip as one string: a sort looks at the first bytes of its first column alone before it compares rows
+        return once.select(F.explode(F.array([F.concat(F.lit(str(k)), "clip") for k in sections])).alias("place"), *once.columns[1:])
 
     rows = of(detect, [0, 1]) if retrieve is None else of(detect, [0]).unionByName(of(retrieve, [1]))
-    order = ["section", "clip", "o", "i", "item"]
+    order = ["place", "o", "i", "label", "t_start", "t_end"]
     ranged = rows.repartitionByRange(shuffle_width(rows.sparkSession), *order).sortWithinPartitions(*order)
-    return ranged.select("section", "clip", "item")
+    # the text is made behind the sort, so it is neither sampled, nor shuffled, nor compared
+    item = F.to_json(F.struct("label", (-F.col("o")).alias("score"), F.array("t_start", "t_end").alias("segment")), {"ignoreNullFields": "false"})
+    return ranged.select(F.substring("place", 1, 1).cast("int").alias("section"), F.expr("substring(place, 2)").alias("clip"), item.alias("item"))
 
 
 def write_submission(detect: DataFrame, path: str, retrieve: DataFrame | None = None, version: str = "1.0", challenge: str = "moment_queries") -> None:
@@ -152,16 +171,63 @@ def write_submission(detect: DataFrame, path: str, retrieve: DataFrame | None =
 RESULT = "map<string, array<struct<label: string, score: double, segment: array<double>>>>"
 
 
+def filled(marked: DataFrame, ends: bool) -> DataFrame:
+    """(file, block, s, c, item): items with the last section s and clip c above them in their file split.
+
+    Only where one of the two is missing are file and block, which name the split, given. ends asks for the last section and
+    clip of every split instead, items null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, held = None, [None, None]
+
+        def end() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*split, *held, None), kinds, strict=True)], names)
+
+        for b in batches:
+            names, kinds = b.schema.names, b.schema.types
+            # the lines of a split stand together, so one look at both ends tells most batches
+            same = b.num_rows and b["block"][0] == b["block"][-1] and b["file"][0] == b["file"][-1]
+            for i, j in [(0, b.num_rows)] if same else changes([b["block"], b["file"]]):
+                part = b.slice(i, j - i)
+                here = (part["file"][0].as_py(), part["block"][0].as_py())
+                if here != split:
+                    if ends and split:
+                        yield end()
+                    split, held = here, [None, None]
+                above = [pc.fill_null_forward(pa.concat_arrays([pa.array([h], part[c].type), part[c]]))[1:] for c, h in zip(("s", "c"), held, strict=True)]
+                held = [x[-1].as_py() for x in above]
+                if not ends:
+                    # an item that has both needs nothing from earlier splits, so it names none
+                    k = max(x.null_count for x in above)
+                    place = [pa.concat_arrays([part[c][:k], pa.nulls(j - i - k, part[c].type)]) for c in ("file", "block")]
+                    found = pa.RecordBatch.from_arrays([*place, *above, part["item"]], names)
+                    yield found.filter(part["item"].is_valid())
+        if ends and split:
+            yield end()
+
+    item = F.lit(None).cast("string").alias("item") if ends else "item"
+    return marked.select("file", "block", "s", "c", item).mapInArrow(run, "file string, block long, s string, c string, item string")
+
+
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
     """(results, clip_id, label, score, t_start, t_end) of a submission written here, split over tasks by its lines."""
-    from spanlake.sources.readers import LINE_ORDER, read_lines
+    from spanlake.sources.readers import read_lines
 
-    lines = read_lines(spark, path)
+    value = F.col("value")
+    is_item = value.startswith('{"label"')
     # the head and a line that closes one section name the section that follows
-    section = F.when(F.col("value").rlike(r'^(\{|\}, )".*": \{$'), F.regexp_extract("value", r'"(\w+)": \{$', 1))
-    clip = F.when(F.col("value").rlike(r'^".*": \[$'), F.from_json(F.concat(F.lit("["), F.regexp_extract("value", r'^(.*): \[$', 1), F.lit("]")), "array<string>")[0])
-    marked = lines.select(*LINE_ORDER, section.alias("s"), clip.alias("c"), F.when(F.col("value").startswith('{"label"'), F.regexp_replace("value", ",$", "")).alias("item"))
-    run = ordered_scan(marked, [], [F.col(c) for c in LINE_ORDER], {"results": ("last", F.col("s"), True), "clip_id": ("last", F.col("c"), True)})
+    section = F.when(~is_item & value.rlike(r'^(\{|\}, )".*": \{$'), F.regexp_extract("value", r'"(\w+)": \{$', 1))
+    clip = F.when(~is_item & value.rlike(r'^".*": \[$'), F.from_json(F.concat(F.lit("["), F.regexp_extract("value", r'^(.*): \[$', 1), F.lit("]")), "array<string>")[0])
+    marked = read_lines(spark, path).select("file", "block", section.alias("s"), clip.alias("c"), F.when(is_item, F.rtrim(value, F.lit(","))).alias("item"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = filled(marked, True).select("file", "block", *[F.last(x, ignorenulls=True).over(earlier).alias(f"{x}_before") for x in ("s", "c")], F.lit(True).alias("known"))
+    rows = filled(marked, False).join(F.broadcast(carry), ["file", "block"], "left")
+
+    def above(x: str):
+        # the two reads must cut the file alike
+        return F.coalesce(x, F.when(F.col("known"), F.col(f"{x}_before")).otherwise(F.raise_error(F.lit("the file was split in another way while it was read"))))
+
     item = F.from_json("item", "struct<label: string, score: double, segment: array<double>>")
-    rows = run.where("item IS NOT NULL").select("results", "clip_id", item.alias("x"))
-    return rows.select("results", "clip_id", "x.label", "x.score", F.col("x.segment")[0].alias("t_start"), F.col("x.segment")[1].alias("t_end"))
+    found = rows.select(above("s").alias("results"), above("c").alias("clip_id"), item.alias("x"))
+    return found.select("results", "clip_id", "x.label", "x.score", F.col("x.segment")[0].alias("t_start"), F.col("x.segment")[1].alias("t_end"))

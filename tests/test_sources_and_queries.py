@@ -101,6 +101,27 @@ def test_submission_without_rows_or_without_one_section(spark, tmp_path):
         assert (doc["detect_results"], doc["retrieve_results"]) == (nested(one) if name == "c" else {}, nested(one) if name == "b" else {})
 
 
+@pytest.mark.parametrize("split", [120, 1000, 1 << 27])
+def test_submission_is_read_split_by_split_and_never_sorted(spark, tmp_path, split):
+    rows = [(str(i % 3), i, "a" if i % 7 else None, float(i), i + 1.0, float("nan") if i == 5 else i / 200) for i in range(200)]
+    for name in ("a.json", "b.json"):  # with large splits one task reads both files
+        U.write_submission(spark.createDataFrame(rows, PRED), str(tmp_path / name))
+    sizes = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        back = U.read_submission(spark, str(tmp_path))
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        got = sorted(repr(tuple(r)) for r in back.collect())
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    # two scans of the text; only the ends of splits, one row each, are shuffled
+    assert plan.count("FileScan text") == 2 and plan.count("Exchange hashpartitioning") == 1 and "ExistingRDD" not in plan and "rangepartitioning" not in plan
+    want = [(s, c, x, v, a, b) for c, _, x, a, b, v in rows for s in ("detect_results", "retrieve_results")] * 2
+    assert got == sorted(repr(r) for r in want)
+
+
 def test_detections_have_one_shape_at_every_size(spark):
     frames = spark.range(5).withColumnRenamed("id", "frame_id")
     boxes = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id") % 4).cast("long").alias("frame_id"), F.col("id").alias("det_id"), F.lit("x").alias("label"))
