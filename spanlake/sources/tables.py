@@ -6,9 +6,11 @@ expression (CTES) for checking against another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanlake.session import shuffle_width
+
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z in microseconds
 
 
@@ -137,20 +139,41 @@ class Tables:
         )
 
     def texts(self) -> DataFrame:
-        """(id, pred, ref): a document and the next document of its source."""
-        docs = self.raw("documents").select("doc_id", "source", "text")
-        # the successor id comes from a narrow scan; the long text is joined only afterwards
-        from spanlake.plans.scan import ordered_scan
+        """(id, pred, ref): a document and the next document of its source.
 
-        nxt = ordered_scan(
-            docs.select("doc_id", "source"), ["source"], [F.col("doc_id").desc()],
-            {"next_id": ("last", F.col("doc_id"), False)},
-        ).where("next_id is not null")
+        Each text moves once: documents are dealt out by runs of (source, doc_id), and the first of a run goes to the run before
+        it, too, as the document that follows there.
+        """
+        docs = self.raw("documents").select("doc_id", "source", "text")
+        key = F.struct("source", "doc_id")
+        width = shuffle_width(self.spark)
+        # the smallest keys of even ranges, one row for each: runs are many more than tasks, so tasks get like shares
+        ranged = docs.select("source", "doc_id").repartitionByRange(4 * width, "source", "doc_id")
+        firsts = ranged.groupBy(F.spark_partition_id()).agg(F.min(key).alias("k")).orderBy("k").collect()
+        kind = docs.select(key.alias("k")).schema["k"].dataType
+        bounds = [F.struct(F.lit(x.k.source).alias("source"), F.lit(x.k.doc_id).alias("doc_id")).cast(kind) for x in firsts]
+        if not bounds:
+            return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("pred"), F.col("text").alias("ref")).where(F.lit(False))
+        step = max(1, int(len(bounds) ** 0.5))
+
+        def until(own: Column) -> Column:
+            """Number of bounds up to the row's key."""
+            return F.size(F.filter(own, lambda x: x <= F.col("_key")))
+
+        # bounds in two steps, as each is compared with the row's key
+        coarse = (until(F.array(*bounds[::step])) - 1) * step
+        marked = docs.withColumn("_key", key).withColumn("_coarse", coarse)
+        marked = marked.withColumn("_run", F.col("_coarse") + until(F.slice(F.array(*bounds), F.col("_coarse") + 1, F.lit(step))) - 1)
+        own = F.struct(F.col("_run").alias("run"), F.lit(False).alias("after"))
+        before = F.struct((F.col("_run") - 1).alias("run"), F.lit(True).alias("after"))
+        first = (F.col("_run") > 0) & (F.get(F.array(*bounds), F.col("_run")) == F.col("_key"))
+        dealt = marked.select("doc_id", "source", "text", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))).alias("_at"))
+        dealt = dealt.select("doc_id", "source", "text", F.col("_at.run").alias("_run"), F.col("_at.after").alias("_after")).repartition(width, "_run")
+        follows = Window.partitionBy("_run", "source").orderBy("doc_id")
         return (
-            docs.select(F.col("doc_id").alias("id"), F.col("text").alias("pred"))
-            .join(nxt.select(F.col("doc_id").alias("id"), "next_id"), "id")
-            .join(docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("ref")), "next_id")
-            .select("id", "pred", "ref")
+            dealt.withColumn("ref", F.lead("text").over(follows))
+            .where(~F.col("_after") & F.col("ref").isNotNull())
+            .select(F.col("doc_id").alias("id"), F.col("text").alias("pred"), "ref")
         )
 
 
