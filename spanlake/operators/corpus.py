@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlake.functions.text import _words, squeeze
-from spanlake.plans.scan import global_index, keyed_index
-from spanlake.session import cut
+from spanlake.functions.text import _words
+from spanlake.functions.vectors import bound
+from spanlake.plans.gram_batches import strings, words
+from spanlake.plans.row_batches import pack_rows, unpack_rows
+from spanlake.plans.scan import global_index
+from spanlake.session import cut_free, shuffle_width
 
 NONE, MAX, MIN, COUNT, SUM, AVERAGE = range(6)
 
@@ -189,39 +194,73 @@ def inception_score(preds: DataFrame, splits: int, order: list[str], probs: str
 # ---- out-of-vocabulary words ---------------------------------------------------------------
 
 
-def encode_oov(df: DataFrame, vocab: DataFrame, ident: str = "id", src: str = "src", tgt: str = "tgt", symbol: str = "symbol") -> DataFrame:
-    """Unknown source words become <unk-N>, N their first position; target words follow their source word."""
-    kept = cut(df.select(ident, src, tgt))
-    # each distinct word of a source moves once to meet the vocabulary; the unknown ones come back as one list a row
-    met = kept.select(ident, F.explode(F.array_distinct(_words(F.col(src)))).alias("tok"))
+def encode_oov(df: DataFrame, vocab: DataFrame, ident: str = "id", src: str = "src", tgt: str = "tgt", symbol: str = "symbol", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Unknown source words become <unk-N>, N their first position; target words follow their source word. Columns of keep stay as they are.
+
+    Rows are packed into compressed batches. Each different word of a batch's sources moves once to meet the vocabulary, and the
+    unknown ones come back as one list a batch.
+    """
+    cols = [F.col(ident).alias("_id"), F.col(src).cast("string").alias("_s"), F.col(tgt).cast("string").alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]]
+    flat = df.select(*cols)
+    width = shuffle_width(df.sparkSession)
+    packed = cut_free(pack_rows(flat))
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                texts, own = unpack_rows(rows.column("texts")[i].as_py(), rows.column("rows")[i].as_py())
+                found = set()
+                for s in strings(texts.take(own.column("_s").drop_null().unique())):
+                    found.update(words(s))
+                tok = pa.array(sorted(found), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(rows.column("batch")[i], len(tok)), tok], names=["batch", "tok"])
+
     known = vocab.select(F.col(symbol).alias("tok")).distinct()
-    oov = met.join(known, "tok", "left_anti").groupBy(ident).agg(F.array_join(F.collect_list("tok"), " ").alias("_oov"))
-
-    @F.pandas_udf("struct<src:string,tgt:string>")
-    def coded(source: pd.Series, target: pd.Series, unknown: pd.Series) -> pd.DataFrame:
-        def one(s, t, u) -> tuple[str, str]:
-            # words hold no blanks; they are cut row by row, so a batch holds texts and not their words
-            s, t, u = (x.split(" ") if x else [] for x in (s, t, u))
-            lost, first = set(u), {}
+    unknown = packed.mapInArrow(met, "batch long, tok string").join(known, "tok", "left_anti")
+    lost = cut_free(unknown.groupBy("batch").agg(F.array_join(F.collect_list("tok"), " ").alias("lost")))
+    names = ["_id", "_s", "_t", *[f"_k{i}" for i in range(len(keep))]]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(source: str | None, target: str | None, unknown: set[str]) -> tuple[str, str]:
+            # a batch holds texts; their words are cut row by row
+            s, t = (words(x) if x else [] for x in (source, target))
+            first = {}
             for i, w in enumerate(s):
-                if w in lost and w not in first:
+                if w in unknown and w not in first:
                     first[w] = f"<unk-{i}>"
             return " ".join([first.get(w, w) for w in s]), " ".join([first.get(w, w) for w in t])
 
-        return pd.DataFrame([one(*row) for row in zip(source, target, unknown)], columns=["src", "tgt"])
-
-    rows = kept.join(oov, ident, "left").select(ident, coded(squeeze(F.col(src)), squeeze(F.col(tgt)), "_oov").alias("c"))
-    return rows.select(ident, F.col("c.src").alias(src), F.col("c.tgt").alias(tgt))
+        for rows in batches:
+            for i in range(rows.num_rows):
+                texts, own = unpack_rows(rows.column("texts")[i].as_py(), rows.column("rows")[i].as_py())
+                absent = set((rows.column("lost")[i].as_py() or "").split(" "))
+                pairs = (strings(texts.take(own.column(c))) for c in ("_s", "_t"))
+                out = list(zip(*[one(s, t, absent) for s, t in zip(*pairs)]))
+                columns = {"_s": pa.array(out[0], pa.string()), "_t": pa.array(out[1], pa.string())}
+                for c in names:
+                    if c not in columns:
+                        columns[c] = texts.take(own.column(c)) if c in text else own.column(c)
+                yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+    kind = {f.name: f.dataType.simpleString() for f in flat.schema}
+    text = {c for c in names if kind[c] == "string"}
+    # a merge join: batches are far larger than their estimate
+    rows = packed.repartition(width, "batch").join(lost.hint("merge"), "batch", "left").select("texts", "rows", "lost")
+    done = rows.mapInArrow(coded, ", ".join(f"`{c}` {kind[c]}" for c in names))
+    return done.select(F.col("_id").alias(ident), F.col("_s").alias(src), F.col("_t").alias(tgt), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def decode_oov(src: Column, tgt: Column) -> Column:
     """<unk-N> in the target becomes source word N; a position beyond the source is an error."""
-    words = _words(src)
 
-    def one(t: Column) -> Column:
-        pos = F.regexp_extract(t, r"^<unk-([0-9]+)>$", 1)
-        at = F.when(pos != "", pos.cast("int"))
-        bad = F.raise_error(F.concat(F.lit("position outside the source: "), t))
-        return F.when(at.isNull(), t).when(at >= F.size(words), bad).otherwise(F.get(words, at))
+    def filled(known: Column) -> Column:
+        def one(t: Column) -> Column:
+            pos = F.regexp_extract(t, r"^<unk-([0-9]+)>$", 1)
+            at = F.when(pos != "", pos.cast("int"))
+            bad = F.raise_error(F.concat(F.lit("position outside the source: "), t))
+            return F.when(at.isNull(), t).when(at >= F.size(known), bad).otherwise(F.get(known, at))
+
+        return F.array_join(F.transform(_words(tgt), one), " ")
 
-    return F.array_join(F.transform(_words(tgt), one), " ")
+    # the source is cut into words once
+    return bound(_words(src), filled)

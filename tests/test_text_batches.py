@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanlake.functions.text import _words
+from spanlake.operators import corpus as C
 from spanlake.operators import text_metrics as M
 from spanlake.plans import gram_batches as G
+from spanlake.plans import row_batches as R
 from spanlake.sources.tables import Tables
 
 
@@ -139,3 +141,46 @@ def test_text_pairs_move_each_text_once(spark, tmp_path):
     assert plan.count("Join") == 0 and plan.count("Exchange") == 1
     spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert Tables(spark, str(tmp_path / "none")).texts().collect() == []
+
+
+def coded_by_hand(rows, vocab):
+    for i, s, t in rows:
+        first, s, t = {}, (s or "").split(), (t or "").split()
+        for at, w in enumerate(s):
+            if w not in vocab:
+                first.setdefault(w, f"<unk-{at}>")
+        yield i, " ".join(first.get(w, w) for w in s), " ".join(first.get(w, w) for w in t)
+
+
+@pytest.mark.parametrize("batch_bytes", [1 << 20, 100])
+def test_oov_in_batches(spark, monkeypatch, batch_bytes):
+    """Batches of one row and of many, missing texts, kept columns, and the way back."""
+    monkeypatch.setattr(R, "BATCH_BYTES", batch_bytes)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "b", "x", "yy", "zzz", "w"], k=rng.choice([0, 1, 4, 30]))) for _ in range(30)] + ["  a\t x\nx ", None]
+    rows = [(i, rng.choice(texts), rng.choice(texts)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, s string, t string").withColumn("plain", F.col("s"))
+    vocab = spark.createDataFrame([("a",), ("b",), ("a",)], "symbol string")
+    got = C.encode_oov(df, vocab, "id", "s", "t", keep=("plain",)).orderBy("id").collect()
+    assert [(r.id, r.s, r.t) for r in got] == list(coded_by_hand(rows, {"a", "b"}))
+    assert [r.plain for r in got] == [s for _, s, _ in rows]
+    back = C.encode_oov(df, vocab, "id", "s", "t", keep=("plain",)).where("plain IS NOT NULL").select("id", C.decode_oov(F.col("plain"), F.col("t")).alias("o"))
+    assert {r.id: r.o for r in back.collect()} == {i: " ".join((t or "").split()) for i, s, t in rows if s is not None}
+    none = C.encode_oov(df.select("id", F.lit(None).cast("string").alias("s"), F.lit(None).cast("string").alias("t")), vocab, "id", "s", "t").collect()
+    assert len(none) == 80 and {(r.s, r.t) for r in none} == {("", "")}
+
+
+def test_oov_leaves_few_bytes(spark):
+    """Stored rows and shuffle files together; whole texts were stored and then shuffled before."""
+    rng = np.random.default_rng(1)
+    text = [" ".join(map(str, w)) for w in rng.integers(1000, 9000, (400, 500))]
+    df = spark.createDataFrame([(i, text[i], text[i + 1]) for i in range(399)], "id long, src string, tgt string").repartition(4)
+
+    def used():
+        at = spark.sparkContext.getCheckpointDir()
+        return shuffle_bytes(spark) + sum(os.path.getsize(os.path.join(d, f)) for d, _, own in os.walk((at or "/none").removeprefix("file:")) for f in own)
+
+    before = used()
+    out = C.encode_oov(df, spark.range(1000, 9000, 2).select(F.col("id").cast("string").alias("symbol")))
+    assert out.agg(F.sum(F.length("src") + F.length("tgt"))).first()[0] > 0
+    assert used() - before < 2 * sum(map(len, text))
